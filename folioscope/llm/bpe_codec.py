@@ -22,6 +22,8 @@ from folioscope.llm.common import Bounded, id_and_text, texts_of
 
 #: Below this code point lower case and canonical forms are the same in every Unicode version.
 PLAIN_BELOW = "ɐ"
+#: White space by Unicode's property; unlike Python's, without U+001C to U+001F.
+WHITE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
 def default_file() -> str:
@@ -70,7 +72,7 @@ class Codec(Bounded):
         self.token |= {i: t for t, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))  # \x1c to \x1f are no white space there
+        self.words = regex.compile(pattern.replace(r"\s", WHITE))
         # the usual printable alphabet of the 256 bytes
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in own]
