@@ -81,7 +81,7 @@ class Codec(Bounded):
     def pretokens(self, unit: str) -> list[str]:
         if max(unit, default="") < PLAIN_BELOW:
             found = self.words.findall(unicodedata.normalize("NFC", unit).lower())
-            return [w if w.isascii() else "".join([self.alphabet[b] for b in w.encode()]) for w in found]
+            return [w if w.isascii() and w.isprintable() else "".join([self.alphabet[b] for b in w.encode()]) for w in found]
         return [w for w, _ in self.full.pre_tokenizer.pre_tokenize_str(self.full.normalizer.normalize_str(unit))]
 
     def encode_unit(self, unit: str) -> list[int]:
