@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.bpe_codec import encode_decode
 from folioscope.llm.common import table
 from folioscope.llm.packing import pack
-from folioscope.llm import language_id, quality_classifier, quality_rules, sharding
+from folioscope.llm import language_id, license_scan, media, quality_classifier, quality_rules, sharding
 from folioscope.llm.quality_classifier import held_out
 
 
@@ -28,6 +28,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = quality_rules.measure(docs, quality_rules.learn(docs))
@@ -40,6 +44,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -51,8 +59,10 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_language_id": op2_language_id,
+    "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
+    "op7_media": op7_media,
     "op9_packing": op9_packing,
     "op10_bpe_codec": op10_bpe_codec,
 }
