@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.bpe_codec import encode_decode
 from folioscope.llm.common import table
 from folioscope.llm.packing import pack
-from folioscope.llm import language_id, license_scan, media, quality_classifier, quality_rules, sharding
+from folioscope.llm import html_extract, language_id, license_scan, media, quality_classifier, quality_rules, sharding
 from folioscope.llm.quality_classifier import held_out
 
 
@@ -48,6 +48,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
     "op7_media": op7_media,
+    "op8_html_extract": op8_html_extract,
     "op9_packing": op9_packing,
     "op10_bpe_codec": op10_bpe_codec,
 }
