@@ -174,6 +174,14 @@ def predict(docs: DataFrame, model: Model, none: str = "und") -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    slim = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return with_prediction(slim, model, "lang_pred", "score", none).drop("text")
+
+
+def with_prediction(docs: DataFrame, model: Model, pred: str, score: str, none: str = "und") -> DataFrame:
+    """docs with two more columns, named pred and score: see predict."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, langs = Scorer(shared.value), shared.value.langs
         for batch in batches:
@@ -187,9 +195,9 @@ def predict(docs: DataFrame, model: Model, none: str = "und") -> DataFrame:
                 k = int(x.argmax())
                 names.append(langs[k])
                 scores.append(float(1 / np.exp(np.clip(x - x[k], -700, 0)).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, pred, score])
 
-    return id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(run, docs.schema.add(pred, "string").add(score, "double"))
 
 
 _ASCII_LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.bpe_codec import encode_decode
 from folioscope.llm.common import table
 from folioscope.llm.packing import pack
-from folioscope.llm import html_extract, language_id, license_scan, media, quality_classifier, quality_rules, sharding
+from folioscope.llm import html_extract, language_id, license_scan, media, ngram_join, quality_classifier, quality_rules, sharding
 from folioscope.llm.quality_classifier import held_out
 
 
@@ -28,6 +28,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_language_id": op2_language_id,
+    "op3_ngram_join": op3_ngram_join,
     "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
