@@ -7,7 +7,6 @@ product over its words, as no piece crosses a word's start.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -53,66 +52,120 @@ def as_pieces(word: bytes) -> str:
 @dataclass
 class Model:
     langs: list[str]
-    probs: dict[str, tuple[float, ...]]  # piece -> probability in each language
+    pieces: list[str]
+    probs: np.ndarray  # a row for each piece after row 0, which is 0; a column for each language
     unknown: float
-    longest: int
-
-    def forward(self, word: str) -> list[float]:
-        """Logarithm of the sum over all segmentations, for each language; a character may also stand as unknown."""
-        n, k, get = len(word), len(self.langs), self.probs.get
-        a = [[1.0] * k]
-        shift = [0.0] * k
-        for j in range(1, n + 1):
-            row = [x * self.unknown for x in a[j - 1]]
-            for i in range(max(0, j - self.longest), j):
-                p = get(word[i:j])
-                if p:
-                    row = [r + x * y for r, x, y in zip(row, a[i], p)]
-            a.append(row)
-            if j % 16 == 0:  # against underflow: the last rows are scaled together
-                top = [max(row[x], 1e-300) for x in range(k)]
-                for i in range(max(0, j - self.longest), j + 1):
-                    a[i] = [x / t for x, t in zip(a[i], top)]
-                shift = [s + math.log(t) for s, t in zip(shift, top)]
-                for i in range(max(0, j - self.longest)):
-                    if a[i]:
-                        a[i] = ()
-        return [s + math.log(max(x, 1e-300)) for s, x in zip(shift, a[n])]
+
+    def trie(self) -> dict:
+        """Character to [row of the piece that ends there or 0, trie of what may follow]."""
+        root: dict = {}
+        for k, piece in enumerate(self.pieces):
+            at = root
+            for c in piece[:-1]:
+                at = at.setdefault(c, [0, {}])[1]
+            at.setdefault(piece[-1], [0, {}])[0] = k + 1
+        return root
+
+    def forward(self, words: list[str]) -> np.ndarray:
+        """Logarithm of the sum over all segmentations of each word, for each language; a character may also stand as unknown."""
+        out = np.zeros((len(words), len(self.langs)))
+        by: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            by.setdefault(len(w), []).append(k)
+        for n, at in by.items():
+            step = max(1, FORWARD // n)
+            for k in range(0, len(at), step):
+                part = at[k : k + step]
+                out[part] = self._forward(n, [words[i] for i in part])
+        return out
+
+    def _forward(self, n: int, words: list[str]) -> np.ndarray:
+        if not hasattr(self, "_trie"):
+            self._trie = self.trie()
+        root, count = self._trie, len(words)
+        wide = max(map(len, self.pieces), default=0) + 1
+        found: list = [None] * (n * wide + wide)  # at start * wide + length: words with a piece there, its rows
+        for k, word in enumerate(words):
+            for i in range(n):
+                at, place = root, i * wide
+                for c in word[i : i + wide - 1]:
+                    place += 1
+                    step = at.get(c)
+                    if step is None:
+                        break
+                    row, at = step
+                    if row:
+                        hit = found[place]
+                        if hit is None:
+                            found[place] = [k], [row]
+                        else:
+                            hit[0].append(k)
+                            hit[1].append(row)
+        places = {(p // wide, p // wide + p % wide): x for p, x in enumerate(found) if x}
+        ends: dict[int, list[int]] = {}
+        for i, j in places:
+            ends.setdefault(i, []).append(j)
+        sums: dict[int, np.ndarray] = {0: np.ones((count, len(self.langs)))}
+        shift = np.zeros((count, 1))
+        for i in range(n):
+            a = sums.pop(i)
+            if i % 16 == 15:  # against underflow: the sums that are open are scaled together
+                top = np.maximum(a.max(1, keepdims=True), 1e-300)
+                a = a / top
+                for j in sums:
+                    sums[j] = sums[j] / top
+                shift += np.log(top)
+            sums[i + 1] = sums.get(i + 1, 0.0) + a * self.unknown
+            for j in ends.get(i, ()):
+                k, p = places[i, j]
+                if j not in sums:
+                    sums[j] = np.zeros_like(a)
+                sums[j][k] += a[k] * self.probs[p]
+        return np.log(np.maximum(sums[n], 1e-300)) + shift
+
+
+#: Characters of words that are summed at a time; bytes of texts scored at a time; bytes of words kept.
+FORWARD, SCORED, KEPT = 40_000, 2 << 20, 64 << 20
 
 
 class Scorer:
-    """Log-likelihoods of words, kept for words of usual length in a table of bounded size."""
+    """Log-likelihoods of texts; those of words are kept in a table of bounded size."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 1_000_000):
         self.model, self.most = model, most
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[bytes, int] = {}
-        self.rows = np.zeros((1024, len(self.model.langs)))
+        self.held, self.rows = 0, np.zeros((1024, len(self.model.langs)))
 
-    def put(self, word: bytes) -> int:
+    def put(self, words: set[bytes]) -> None:
+        if len(self.at) + len(words) > self.most or self.held > KEPT:
+            self.clear()
+        new = sorted(words.difference(self.at))
         k = len(self.at)
-        if k == len(self.rows):
+        while k + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[k] = self.model.forward(as_pieces(word))
-        self.at[word] = k
-        return k
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        if len(self.at) >= self.most:
-            self.clear()
-        total = np.zeros(len(self.model.langs))
-        at, found = self.at, []
-        for w in words_of(text):
-            k = at.get(w)
-            if k is None:
-                if len(w) > LONG:
-                    total += self.model.forward(as_pieces(w))
-                    continue
-                k = self.put(w)
-            found.append(k)
-        return total + self.rows[found].sum(0)
+        self.rows[k : k + len(new)] = self.model.forward([as_pieces(w) for w in new])
+        self.at.update(zip(new, range(k, k + len(new))))
+        self.held += sum(map(len, new))
+
+    def __call__(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """Texts are taken a few megabytes at a time."""
+        k = 0
+        while k < len(texts):
+            size, part = 0, []
+            while k < len(texts) and (not part or size + len(texts[k]) <= SCORED):
+                part.append(words_of(texts[k]))
+                size += len(texts[k])
+                k += 1
+            words: set[bytes] = set()
+            for ws in part:
+                words.update(ws)
+            if not words.issubset(self.at):
+                self.put(words.difference(self.at) if len(self.at) + len(words) <= self.most and self.held <= KEPT else words)
+            for ws in part:
+                yield self.rows[list(map(self.at.__getitem__, ws))].sum(0)
 
 
 def expected(words: Counter, probs: dict[str, float], longest: int) -> Counter:
@@ -162,7 +215,7 @@ def train(docs: DataFrame, path: str | None = None, rows_a_lang: int = ROWS_A_LA
             whole = sum(uses.values()) + 0.01 * len(pieces)
             probs = {p: (uses.get(p, 0.0) + 0.01) / whole for p in pieces}
         table[lang] = probs
-    return Model(langs, {p: tuple(table[x][p] for x in langs) for p in pieces} if langs else {}, 1e-9, longest)
+    return Model(langs, pieces, np.array([[0.0] * len(langs), *[[table[x][p] for x in langs] for p in pieces]]), 1e-9)
 
 
 def predict(docs: DataFrame, model: Model, none: str = "und") -> DataFrame:
@@ -185,16 +238,13 @@ def with_prediction(docs: DataFrame, model: Model, pred: str, score: str, none:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, langs = Scorer(shared.value), shared.value.langs
         for batch in batches:
-            names, scores = [], []
-            for text in bytes_of(batch):
-                if not langs or not text or not has_letter(text):
-                    names.append(none)
-                    scores.append(0.0)
-                    continue
-                x = scorer(text)
+            texts = bytes_of(batch)
+            real = [i for i, t in enumerate(texts) if langs and t and has_letter(t)]
+            names, scores = [none] * len(texts), [0.0] * len(texts)
+            for i, x in zip(real, scorer([texts[i] for i in real])):
                 k = int(x.argmax())
-                names.append(langs[k])
-                scores.append(float(1 / np.exp(np.clip(x - x[k], -700, 0)).sum()))
+                names[i] = langs[k]
+                scores[i] = float(1 / np.exp(np.clip(x - x[k], -700, 0)).sum())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, pred, score])
 
     return docs.mapInArrow(run, docs.schema.add(pred, "string").add(score, "double"))
