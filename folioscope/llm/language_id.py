@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.llm.common import bytes_of, id_and_text
 
@@ -247,7 +248,7 @@ def with_prediction(docs: DataFrame, model: Model, pred: str, score: str, none:
                 scores[i] = float(1 / np.exp(np.clip(x - x[k], -700, 0)).sum())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, pred, score])
 
-    return docs.mapInArrow(run, docs.schema.add(pred, "string").add(score, "double"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
 _ASCII_LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))

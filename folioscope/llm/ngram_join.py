@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.llm.common import Bounded, bytes_of, checkpointed, shared_dir
 
@@ -410,7 +411,7 @@ def one_of_each_group(docs: DataFrame, width: int, num: int, den: int) -> DataFr
     sets = "set_id"
     while sets in named.columns:
         sets += "_"
-    schema = named.schema.add(sets, "long", True)
+    schema = T.StructType([*named.schema.fields, T.StructField(sets, T.LongType())])
 
     def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
