@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from folioscope.plans import revision_queries
+
+QUERIES: dict = {**revision_queries.QUERIES}
+ORACLES: dict[str, str] = {**revision_queries.ORACLES}
