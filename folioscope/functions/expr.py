@@ -139,6 +139,12 @@ def comment_preview(body: Column, most: int = 100) -> Column:
     return F.when(F.length(plain) > most, F.concat(F.left(plain, F.lit(most)), F.lit("..."))).otherwise(plain)
 
 
+def editor_type(page: Column) -> Column:
+    """v1 or v2 by a page's property, else by the body formats it has; unknown without either. page is JSON."""
+    at = lambda p: F.get_json_object(page, p)
+    return F.coalesce(F.when(at("$.editor").isin("v1", "v2"), at("$.editor")), F.when(at("$.body.atlas_doc_format").isNotNull(), "v2"), F.when(at("$.body.storage").isNotNull(), "v1"), F.lit("unknown"))
+
+
 def quote_depth(indent: Column, width: Column, dash: Column) -> Column:
     """Depth of a block quote from its left border: 18 points a level; 0 where the border is not a quote's."""
     return F.when((width == 3) & (dash == "SOLID"), F.greatest(F.round(indent / 18).cast("int"), F.lit(1))).otherwise(0)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -67,6 +67,64 @@ def diff_align(left: DataFrame, right: DataFrame) -> DataFrame:
     return anchor.unionByName(more)
 
 
+def style_of(line: Column) -> Column:
+    """Style of a line by its mark: heading level, task, item, quote or text."""
+    return (
+        F.when(line.rlike("^#{1,6} "), F.concat(F.lit("HEADING_"), F.length(F.regexp_extract(line, "^(#+)", 1)).cast("string"))).when(line.rlike(r"^\s*[-*+] \[[ xX]\] "), "TASK")
+        .when(line.rlike(r"^\s*[-*+] "), "ITEM").when(line.startswith(">"), "QUOTE").otherwise("TEXT")
+    )
+
+
+def text_of(line: Column) -> Column:
+    """A line without its mark: what makes two lines the same text in another style."""
+    return F.regexp_replace(line, r"^(#{1,6} |\s*[-*+] \[[ xX]\] |\s*[-*+] |(> ?)+)", "")
+
+
+def unmatched(side: DataFrame, matches: DataFrame, place: str) -> DataFrame:
+    x = side.select("doc_id", F.col("j").cast("int").alias(place), style_of(F.col("line")).alias(f"{place}_style"), text_of(F.col("line")).alias("text"))
+    return x.join(matches.select("doc_id", place), ["doc_id", place], "left_anti")
+
+
+def diff_repair(left: DataFrame, right: DataFrame, matches: DataFrame) -> DataFrame:
+    """doc_id, l, r, l_style, r_style, text: unmatched lines with the same text are one line in another style.
+
+    Only texts that are unmatched once on either side; repeated ones are dealt by diff_assign. Blank texts are left out.
+    """
+    once = lambda x, p: x.where(r"text RLIKE '\\S'").groupBy("doc_id", "text").agg(F.min(p).alias(p), F.min(f"{p}_style").alias(f"{p}_style"), F.count("*").alias("c")).where("c = 1").drop("c")
+    return once(unmatched(left, matches, "l"), "l").join(once(unmatched(right, matches, "r"), "r"), ["doc_id", "text"])
+
+
+def structural_score(a: Column, b: Column) -> Column:
+    """2 for one style, 1 for both or neither being headings, 1 for both or neither being list items, 1 more where one is a quote and both are."""
+    heading, item = (lambda c: c.startswith("HEADING")), (lambda c: c.isin("TASK", "ITEM"))
+    return 2 * (a == b).cast("int") + (heading(a) == heading(b)).cast("int") + (item(a) == item(b)).cast("int") + ((a == "QUOTE") & (b == "QUOTE")).cast("int")
+
+
+def diff_assign(left: DataFrame, right: DataFrame, matches: DataFrame) -> DataFrame:
+    """doc_id, l, r, score: one-to-one pairs of unmatched lines with the same text, best structural scores first.
+
+    Pairs are ranked by score and place. Taking every pair that is the best of both its lines, again and again until
+    none is left, gives what taking them one by one in that order would. Each round is a job with its lineage cut.
+    """
+    a, b = (unmatched(x, matches, p).where(r"text RLIKE '\\S'") for x, p in ((left, "l"), (right, "r")))
+    pairs = a.join(b, ["doc_id", "text"]).withColumn("score", structural_score(F.col("l_style"), F.col("r_style"))).where("score > 0").select("doc_id", "l", "r", "score")
+    pairs, out = pairs.checkpoint(), None
+    while not pairs.isEmpty():
+        best = F.struct(-F.col("score"), "l", "r")
+        ranked = pairs.withColumns({"bl": F.min(best).over(W.partitionBy("doc_id", "l")), "br": F.min(best).over(W.partitionBy("doc_id", "r")), "own": best})
+        won = ranked.where("own = bl AND own = br").select("doc_id", "l", "r", "score").checkpoint()
+        out = won if out is None else out.unionByName(won)
+        pairs = pairs.join(won.select("doc_id", "l"), ["doc_id", "l"], "left_anti").join(won.select("doc_id", "r"), ["doc_id", "r"], "left_anti").checkpoint()
+    return out if out is not None else pairs
+
+
+def style_align(left: DataFrame, right: DataFrame) -> DataFrame:
+    """doc_id, l, r, l_style, r_style: lines aligned by text alone, for restyling."""
+    plain = lambda x: x.select("doc_id", "j", text_of(F.col("line")).alias("line"))
+    styles = lambda x, p: x.select("doc_id", F.col("j").cast("int").alias(p), style_of(F.col("line")).alias(f"{p}_style"))
+    return diff_align(plain(left), plain(right)).join(styles(left, "l"), ["doc_id", "l"]).join(styles(right, "r"), ["doc_id", "r"])
+
+
 def opcodes(left: DataFrame, right: DataFrame, matches: DataFrame) -> DataFrame:
     """doc_id, kind, j (place), old, new, edit: unmatched lines between two matches form one edit; they pair up by
     position as change, what is left over is remove or add. Matched lines are unchanged."""

@@ -290,6 +290,12 @@ def heading_rank(spark, d):
     return long(h.select(X.heading_rank(F.concat(F.lit("HEADING_"), F.col("level").cast("string"))).alias("n")).groupBy("n").agg(F.count("*").alias("c")), "n")
 
 
+@query("editor_type", "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'v2' WHEN page_id % 4 = 1 THEN 'v2' WHEN page_id % 4 = 2 THEN 'v1' ELSE 'unknown' END AS editor FROM pages")
+def editor_type(spark, d):
+    body = F.expr("""CASE page_id % 4 WHEN 0 THEN '{"editor":"v2","body":{"storage":"x"}}' WHEN 1 THEN '{"body":{"atlas_doc_format":"x","storage":"y"}}' WHEN 2 THEN '{"body":{"storage":"x"}}' ELSE '{}' END""")
+    return V.pages(spark, d).select("page_id", X.editor_type(body).alias("editor"))
+
+
 @query("sql_functions", f"SELECT doc_id, {SLUG.format('left(text, 40)')} AS slug, sha256(text) AS sha FROM documents")
 def sql_functions(spark, d):
     X.register(spark)

@@ -533,3 +533,47 @@ def apply_resolutions(spark, d):
     c = b.join(o, "doc_id").join(t, "doc_id").where("doc_id % 6 <> 0").selectExpr("doc_id", "remote", "CASE WHEN doc_id % 2 = 0 THEN o END AS backup", "base", "CASE WHEN doc_id % 5 = 0 THEN '<<<<<<< ours' ELSE o END AS merged")
     choices = V.documents(spark, d).selectExpr("doc_id", "CASE doc_id % 3 WHEN 0 THEN 'remote' WHEN 1 THEN 'local' ELSE 'merged' END AS strategy")
     return Y.apply_resolutions(c, choices)
+
+
+#: A revision that changes marks only: some headings get deeper, some items are ticked.
+RESTYLE = "CASE WHEN (doc_id + {i}) % 5 = 0 AND line LIKE '## %' THEN concat('#', line) WHEN (doc_id + {i}) % 3 = 0 AND line LIKE '- [ ] %' THEN concat('> ', substring(line, 7)) ELSE line END"
+
+
+def restyled(spark, d):
+    return V.base(spark, d).withColumn("content", F.expr(f"array_join(transform(split(content, '\\n', -1), (line, i) -> {RESTYLE.format(i='i')}), '\\n')"))
+
+
+def restyled_sides(spark, d):
+    split = lambda x: x.select("doc_id", F.posexplode(F.split("content", "\n", -1)).alias("j", "line"))
+    return split(V.base(spark, d)), split(restyled(spark, d))
+
+
+@query("diff_repair")
+def diff_repair(spark, d):
+    a, b = restyled_sides(spark, d)
+    return D.diff_repair(a, b, D.diff_align(a, b))
+
+
+@query("diff_assign")
+def diff_assign(spark, d):
+    from folioscope.sources.files import ensure_checkpoints
+
+    ensure_checkpoints(spark)
+    a, b = restyled_sides(spark, d)
+    return D.diff_assign(a, b, D.diff_align(a, b))
+
+
+RESTYLED = f"{V.SQL_BASE}, {V.sql_lines('base')}, rl AS (SELECT doc_id, j, line, {RESTYLE.format(i='j')} AS now FROM base_lines)"
+STYLE = r"CASE WHEN regexp_matches({0}, '^#{{1,6}} ') THEN concat('HEADING_', length(regexp_extract({0}, '^(#+)', 1))) WHEN regexp_matches({0}, '^\s*[-*+] \[[ xX]\] ') THEN 'TASK' WHEN regexp_matches({0}, '^\s*[-*+] ') THEN 'ITEM' WHEN {0} LIKE '>%' THEN 'QUOTE' ELSE 'TEXT' END"
+
+
+@query("style_align", f"WITH {RESTYLED} SELECT doc_id, j AS l, j AS r, {STYLE.format('line')} AS l_style, {STYLE.format('now')} AS r_style FROM rl")
+def style_align(spark, d):
+    """The marks alone change, so the texts of both sides are the same lines."""
+    return long(D.style_align(*restyled_sides(spark, d)), "l", "r")
+
+
+@query("style_upgrades", f"WITH {RESTYLED} SELECT doc_id, count(*) AS n FROM rl WHERE {STYLE.format('line')} <> 'QUOTE' AND {STYLE.format('now')} = 'QUOTE' GROUP BY doc_id")
+def style_upgrades(spark, d):
+    """Lines that became quotes, by document."""
+    return D.style_align(*restyled_sides(spark, d)).where("l_style <> 'QUOTE' AND r_style = 'QUOTE'").groupBy("doc_id").agg(F.count("*").alias("n"))

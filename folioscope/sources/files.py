@@ -20,6 +20,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """A place for checkpoints: spark.checkpoint.dir if it is set, else a local one (tests)."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
