@@ -7,10 +7,10 @@
    the same nodes in their prefixes form one block.
 3. In each block every node is compared with the block's smallest one, and what is linked becomes one
    component. Blocks of one component are done.
-4. In the other blocks the prefixes are stored in a trie; a node's prefix walks it, nodes with a common start
-   share the overlap found so far, and subtrees are left where the lengths that remain can't reach the overlap
-   that is needed. Blocks of any size are cut into tiles, so that no task takes a whole one; pairs inside a
-   component are left out, pairs inside a block's largest component not even tried.
+4. In the other blocks the prefixes, written as runs of n-grams with the same nodes, are stored in a trie; a node's
+   prefix walks it, nodes with a common start share the overlap found so far, and subtrees are left where the lengths
+   that remain can't reach the overlap that is needed. Blocks of any size are cut into tiles, so that no task takes a
+   whole one; pairs inside a component are left out, pairs inside a block's largest component not even tried.
 5. Pairs that are left are compared on their whole texts; linked nodes make the final components.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import Bounded, bytes_of, checkpointed, shared_dir
+from folioscope.llm.common import Bounded, bytes_of, checkpointed, shared_dir, tidy
 
 WIDTH, NUM, DEN = 4, 85, 100
 #: At most so many n-grams are ordered last; a batch reports those that LOCAL of its documents hold.
@@ -140,49 +140,55 @@ def signatures(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 
 class Trie:
-    """Prefixes in global order; every trie node knows the least and largest set size below it."""
+    """Paths of (n-gram run, number of n-grams) in one order; every trie node knows the sizes and the longest rest below it."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.root: list = [{}, [], 1 << 62, 0]  # children, leaves (node, size, component), least, largest size
+        self.root: list = [{}, [], 1 << 62, 0, 0]  # children by run, leaves (node, size, component), least and largest size, longest rest
+
+    def add(self, runs: list[int], counts: list[int], node: int, size: int, comp: int) -> None:
+        at, rest = self.root, sum(counts)
+        for run, count in zip([*runs, None], [*counts, 0]):
+            at[2], at[3], at[4] = min(at[2], size), max(at[3], size), max(at[4], rest)
+            if run is None:
+                at[1].append((node, size, comp))
+            else:
+                at = at[0].setdefault(run, [{}, [], 1 << 62, 0, 0])
+                rest -= count
 
-    def add(self, prefix: list[int], node: int, size: int, comp: int) -> None:
-        at = self.root
-        for g in prefix:
-            at[2], at[3] = min(at[2], size), max(at[3], size)
-            at = at[0].setdefault(g, [{}, [], 1 << 62, 0])
-        at[2], at[3] = min(at[2], size), max(at[3], size)
-        at[1].append((node, size, comp))
+    def least_shared(self, n: int, m: int) -> int:
+        """N-grams that the prefixes of similar sets of n and m must share: what lies behind a prefix can make up no more."""
+        num, den = self.num, self.den
+        return needed(n, m, num, den) - max(-(-num * n // den), -(-num * m // den)) + 1
 
-    def partners(self, prefix: list[int], node: int, n: int, comp: int) -> Iterator[int]:
-        """Nodes of other components that may be similar, by what the two prefixes show.
+    def partners(self, runs: list[int], counts: list[int], node: int, n: int, comp: int) -> Iterator[int]:
+        """Nodes of other components whose prefixes share enough n-grams.
 
-        With u n-grams of this set, and v of the other, known to be unmatched, the overlap is at most the less of
-        n - u and m - v; this bounds the sizes m below a trie node that are worth going on for.
+        Nodes below one trie node share the overlap found so far. A subtree is left if this overlap and the lesser of
+        both remaining lengths do not reach what the sizes below ask for.
         """
         num, den = self.num, self.den
-        where = {g: i for i, g in enumerate(prefix)}
-        last = prefix[-1]
-        stack = [(self.root, 0, 0, 0)]  # trie node, n-grams of the other seen, overlap, n-grams of this one passed
+        where = {r: i for i, r in enumerate(runs)}
+        rest = [0]
+        for c in reversed(counts):
+            rest.append(rest[-1] + c)
+        rest.reverse()  # n-grams of this path from a place on
+        low, high = -(-num * n // den), den * n // num
+        stack = [(self.root, 0, 0)]  # trie node, overlap, place in this path
         while stack:
-            at, seen, overlap, passed = stack.pop()
-            u, v = passed - overlap, seen - overlap
-            least = -(-(num * n + (num + den) * v) // den)
-            largest = ((num + den) * (n - u) - num * n) // num
-            if at[3] < least or at[2] > largest:
+            at, overlap, place = stack.pop()
+            least, largest = max(low, at[2]), min(high, at[3])
+            if least > largest or overlap + min(rest[place], at[4]) < min(self.least_shared(n, least), self.least_shared(n, largest)):
                 continue
-            if overlap:
-                for other, m, c in at[1]:
-                    if c != comp and least <= m <= largest and other != node:
-                        yield other
-            for g, below in at[0].items():
-                i = where.get(g)
+            for other, m, c in at[1]:
+                if c != comp and other != node and low <= m <= high and overlap >= self.least_shared(n, m):
+                    yield other
+            for run, below in at[0].items():
+                i = where.get(run)
                 if i is not None:
-                    stack.append((below, seen + 1, overlap + 1, i + 1))
-                elif g < last:
-                    stack.append((below, seen + 1, overlap, bisect_left(prefix, g)))
-                elif overlap:  # past this prefix: whether g is matched is not known
-                    stack.append((below, seen, overlap, len(prefix)))
+                    stack.append((below, overlap + counts[i], i + 1))
+                else:
+                    stack.append((below, overlap, bisect_left(runs, run, place)))
 
 
 def walk_tiles(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -195,18 +201,13 @@ def walk_tiles(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterato
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
     for batch in batches:
-        keys = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
-        prefixes = batch.column(7)
-        flat, offsets = prefixes.values.to_numpy().view(np.uint64), prefixes.offsets.to_numpy()
-        nodes, sizes, comps = (batch.column(i).to_pylist() for i in (4, 5, 6))
-        for r, k in enumerate(keys):
-            if k[:3] != key:
-                key, trie = k[:3], Trie(num, den)
-            prefix = flat[offsets[r] : offsets[r + 1]].tolist()
-            if k[3] == 0:
-                trie.add(prefix, nodes[r], sizes[r], comps[r])
+        for block, i, j, role, node, n, comp, runs, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            if (block, i, j) != key:
+                key, trie = (block, i, j), Trie(num, den)
+            if role == 0:
+                trie.add(runs, counts, node, n, comp)
             else:
-                found.update((min(nodes[r], x), max(nodes[r], x)) for x in trie.partners(prefix, nodes[r], sizes[r], comps[r]))
+                found.update((min(node, x), max(node, x)) for x in trie.partners(runs, counts, node, n, comp))
         if len(found) > 100_000:
             yield flush()
     yield flush()
@@ -327,8 +328,13 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int
     other columns are not read. Hashes have 63 and 64 bits: in a billion documents, two different sets get one
     node with a chance of 3 in 100.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with tidy(docs.sparkSession):
+        return _similar_groups(docs, width, num, den)
+
+
+def _similar_groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/ngram-{uuid.uuid4().hex}"
     signatures(docs, width, num, den).write.parquet(f"{folder}/signatures")
     sig = spark.read.parquet(f"{folder}/signatures")
@@ -362,19 +368,23 @@ def with_sizes(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def block_members(nodes: DataFrame) -> DataFrame:
-    """block, node, pos and lead (the block's least node), of n-grams that two nodes or more have in their prefixes.
+    """block, node, count (n-grams of the block) and lead (its least node), of n-grams that the prefixes of two nodes or more have.
 
-    N-grams with the same nodes are one block: the blocks are told apart by number and exclusive or of their nodes,
-    which are hashes; should two blocks get one name, they are only compared together.
+    N-grams with the same nodes are one block: blocks are told apart by number and exclusive or of their nodes, which
+    are hashes; should two blocks get one name, their nodes are only compared once too often.
     """
-    grams = nodes.select("node", F.posexplode("prefix").alias("pos", "g"))
+    grams = nodes.select("node", F.explode("prefix").alias("g"))
     block = grams.groupBy("g").agg(F.count("*").alias("k"), F.bit_xor("node").alias("x"), F.min("node").alias("lead")).where("k > 1")
     block = checkpointed(block.select("g", F.xxhash64("k", "x", "lead").alias("block"), "lead"))
-    return grams.join(block, "g").groupBy("block", "node").agg(F.min("pos").alias("pos"), F.min("lead").alias("lead"))
+    return grams.join(block, "g").groupBy("block", "node").agg(F.count("*").alias("count"), F.min("lead").alias("lead"))
 
 
 def tile_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of nodes of different components that may be similar, from the tries of all tiles."""
+    """Pairs of nodes of different components that may be similar, from the tries of all tiles.
+
+    A node's path is the list of its blocks in order, each with its number of n-grams. A block's tile holds the
+    paths from that block on: two nodes are found with their whole shared count in the tile of their first common block.
+    """
     spark = members.sparkSession
     m = members.select("block", "node").join(roots, "node", "left").select("block", "node", F.coalesce("root", "node").alias("comp"))
     m = checkpointed(m)
@@ -384,8 +394,11 @@ def tile_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame, num: int,
     m = m.join(state, "block")
     spot = F.xxhash64("node", F.lit(3))
     m = m.select("block", "node", "comp", "few", "big", (F.col("comp") == F.col("top")).alias("in_big"), F.when(F.col("comp") == F.col("top"), F.col("few") + F.pmod(spot, F.col("big"))).otherwise(F.pmod(spot, F.col("few"))).cast("int").alias("tile"))
-    m = m.join(nodes.select("node", "n", "prefix"), "node")
-    cols = ["block", "i", "j", "role", "node", "n", "comp", "prefix"]
+    paths = members.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("block", F.col("count").cast("int").alias("count")))).alias("path"))
+    m = m.join(paths, "node").join(nodes.select("node", "n"), "node")
+    later = F.filter("path", lambda x: x["block"] >= F.col("block"))
+    m = m.withColumn("path", later).select("*", F.col("path.block").alias("runs"), F.col("path.count").alias("counts")).drop("path")
+    cols = ["block", "i", "j", "role", "node", "n", "comp", "runs", "counts"]
     probes = m.where("not in_big").withColumn("i", F.col("tile")).withColumn("j", F.explode(F.sequence(F.col("tile"), F.col("few") + F.col("big") - 1))).withColumn("role", F.lit(1))
     index = m.withColumn("j", F.col("tile")).withColumn("i", F.explode(F.sequence(F.lit(0), F.least(F.col("tile"), F.col("few") - 1)))).withColumn("role", F.lit(0))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
