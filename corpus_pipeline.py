@@ -17,8 +17,10 @@ LEAST_SCORE = 0.5
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; references are learnt from all documents."""
-    rules = fresh_name(docs, "rules")
-    return quality_rules.measure(docs, quality_rules.learn(docs), rules).where(F.col(rules)["kept"]).drop(rules)
+    rules, mark = fresh_name(docs, "rules"), fresh_name(docs, "mark")
+    # a column that differs by row keeps the filter above the rules; below, it would be spelt out anew at each step
+    judged = quality_rules.measure(docs, quality_rules.learn(docs), rules).withColumn(mark, F.monotonically_increasing_id())
+    return judged.where(F.col(rules)["kept"] & (F.col(mark) >= 0)).drop(rules, mark)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
