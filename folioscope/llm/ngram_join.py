@@ -161,11 +161,12 @@ class Trie:
         num, den = self.num, self.den
         return needed(n, m, num, den) - max(-(-num * n // den), -(-num * m // den)) + 1
 
-    def partners(self, runs: list[int], counts: list[int], node: int, n: int, comp: int) -> Iterator[int]:
-        """Nodes of other components whose prefixes share enough n-grams.
+    def partners(self, runs: list[int], counts: list[int], node: int, n: int, comp: int, block: int) -> Iterator[int]:
+        """Nodes of other components whose prefixes share enough n-grams, block being the first run that both have.
 
-        Nodes below one trie node share the overlap found so far. A subtree is left if this overlap and the lesser of
-        both remaining lengths do not reach what the sizes below ask for.
+        Nodes below one trie node share the overlap found so far. A subtree is left if an earlier run is shared (its own
+        tiles have those pairs), or if the overlap and the lesser of both remaining lengths do not reach what the sizes
+        below ask for.
         """
         num, den = self.num, self.den
         where = {r: i for i, r in enumerate(runs)}
@@ -174,7 +175,8 @@ class Trie:
             rest.append(rest[-1] + c)
         rest.reverse()  # n-grams of this path from a place on
         low, high = -(-num * n // den), den * n // num
-        stack = [(self.root, 0, 0)]  # trie node, overlap, place in this path
+        start = where[block]
+        stack = [(self.root, 0, start)]  # trie node, overlap, place in this path
         while stack:
             at, overlap, place = stack.pop()
             least, largest = max(low, at[2]), min(high, at[3])
@@ -185,10 +187,11 @@ class Trie:
                     yield other
             for run, below in at[0].items():
                 i = where.get(run)
-                if i is not None:
+                if i is None:
+                    if overlap or run < block:
+                        stack.append((below, overlap, bisect_left(runs, run, place)))
+                elif i >= start:
                     stack.append((below, overlap + counts[i], i + 1))
-                else:
-                    stack.append((below, overlap, bisect_left(runs, run, place)))
 
 
 def walk_tiles(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -207,9 +210,9 @@ def walk_tiles(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterato
             if role == 0:
                 trie.add(runs, counts, node, n, comp)
             else:
-                found.update((min(node, x), max(node, x)) for x in trie.partners(runs, counts, node, n, comp))
-        if len(found) > 100_000:
-            yield flush()
+                found.update((min(node, x), max(node, x)) for x in trie.partners(runs, counts, node, n, comp, block))
+                if len(found) > 20_000:
+                    yield flush()
     yield flush()
 
 
@@ -382,8 +385,8 @@ def block_members(nodes: DataFrame) -> DataFrame:
 def tile_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of nodes of different components that may be similar, from the tries of all tiles.
 
-    A node's path is the list of its blocks in order, each with its number of n-grams. A block's tile holds the
-    paths from that block on: two nodes are found with their whole shared count in the tile of their first common block.
+    A node's path is the list of its blocks in order, each with its number of n-grams. Two nodes are compared in the
+    tile of the first block that both have, and in no other.
     """
     spark = members.sparkSession
     m = members.select("block", "node").join(roots, "node", "left").select("block", "node", F.coalesce("root", "node").alias("comp"))
@@ -396,8 +399,7 @@ def tile_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame, num: int,
     m = m.select("block", "node", "comp", "few", "big", (F.col("comp") == F.col("top")).alias("in_big"), F.when(F.col("comp") == F.col("top"), F.col("few") + F.pmod(spot, F.col("big"))).otherwise(F.pmod(spot, F.col("few"))).cast("int").alias("tile"))
     paths = members.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("block", F.col("count").cast("int").alias("count")))).alias("path"))
     m = m.join(paths, "node").join(nodes.select("node", "n"), "node")
-    later = F.filter("path", lambda x: x["block"] >= F.col("block"))
-    m = m.withColumn("path", later).select("*", F.col("path.block").alias("runs"), F.col("path.count").alias("counts")).drop("path")
+    m = m.select("*", F.col("path.block").alias("runs"), F.col("path.count").alias("counts")).drop("path")
     cols = ["block", "i", "j", "role", "node", "n", "comp", "runs", "counts"]
     probes = m.where("not in_big").withColumn("i", F.col("tile")).withColumn("j", F.explode(F.sequence(F.col("tile"), F.col("few") + F.col("big") - 1))).withColumn("role", F.lit(1))
     index = m.withColumn("j", F.col("tile")).withColumn("i", F.explode(F.sequence(F.lit(0), F.least(F.col("tile"), F.col("few") - 1)))).withColumn("role", F.lit(0))
