@@ -148,3 +148,21 @@ def test_quality_does_not_learn_from_held_out(spark):
     assert quality_classifier.train(docs, swapped.where(~out)) == clean
     rows = QUERIES["op1_quality_classifier"](spark, SF).select("doc_id", "held_out").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+
+
+def test_text_without_common_words_is_rejected(spark):
+    rnd = random.Random(5)
+    clean = [" ".join(rnd.choice(["the", "of", "and", "to"]) if rnd.random() < 0.25 else f"{''.join(rnd.choice('abcdefgh') for _ in range(7))}" for _ in range(120)) for _ in range(40)]
+    without = " ".join("".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(120))
+    rows = [(i, t, "aa") for i, t in enumerate(clean)] + [(100, without, "aa"), (101, without + " z", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.rules for r in quality_rules.measure(docs, quality_rules.learn(docs)).collect()}
+    assert all(got[i].kept for i in range(40))
+    for i in (100, 101):
+        assert not got[i].base_failed and got[i].char_distance <= quality_rules.CHAR_LIMIT and not got[i].kept
+    # a language whose texts need not hold any common word is not judged by them
+    spaceless = ["".join(rnd.choice("abcdefgh") for _ in range(9)) for _ in range(60)]
+    rows += [(200 + i, " ".join(f"{x}{i}" for x in spaceless), "zz") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.rules for r in quality_rules.measure(docs, quality_rules.learn(docs)).collect()}
+    assert not got[100].kept and all(got[200 + i].kept and got[200 + i].word_distance is None for i in range(3))
