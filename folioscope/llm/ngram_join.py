@@ -161,6 +161,18 @@ class Trie:
         num, den = self.num, self.den
         return needed(n, m, num, den) - max(-(-num * n // den), -(-num * m // den)) + 1
 
+    def least_below(self, n: int, least: int, largest: int) -> int:
+        """No more than least_shared(n, m) of any m from least to largest.
+
+        Up to n it rises with m. From n on it falls with m but for the two ceilings, which can make a greater m's value
+        more than a lesser one's by 1, no more.
+        """
+        if least == largest:
+            return self.least_shared(n, least)
+        rising = [self.least_shared(n, least)] if least < n else []
+        falling = [self.least_shared(n, largest) - 1] if largest > n else []
+        return min(rising + falling)
+
     def partners(self, runs: list[int], counts: list[int], node: int, n: int, comp: int, block: int) -> Iterator[int]:
         """Nodes of other components whose prefixes share enough n-grams, block being the first run that both have.
 
@@ -180,7 +192,7 @@ class Trie:
         while stack:
             at, overlap, place = stack.pop()
             least, largest = max(low, at[2]), min(high, at[3])
-            if least > largest or overlap + min(rest[place], at[4]) < min(self.least_shared(n, least), self.least_shared(n, largest)):
+            if least > largest or overlap + min(rest[place], at[4]) < self.least_below(n, least, largest):
                 continue
             for other, m, c in at[1]:
                 if c != comp and other != node and low <= m <= high and overlap >= self.least_shared(n, m):

@@ -89,3 +89,32 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_bound_holds_for_all_sizes():
+    for num, den in ((85, 100), (80, 100), (1, 2)):
+        t = ngram_join.Trie(num, den)
+        for n in range(1, 90):
+            sizes = range(-(-num * n // den), den * n // num + 1)
+            for least in sizes:
+                lowest = 1 << 30
+                for largest in range(least, sizes[-1] + 1):
+                    lowest = min(lowest, t.least_shared(n, largest))
+                    assert t.least_below(n, least, largest) <= lowest
+
+
+def test_link_to_a_big_component_in_both_node_orders(spark):
+    tail = set(range(4, 21))
+    sets = {"A": {0} | tail, "B": {1, 2} | tail, "C": {1, 3} | tail - {20}, "D": {1, 2, 3} | tail}
+    similar = lambda x, y: 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y])
+    assert [x + y for x in "ABCD" for y in "ABCD" if x < y and similar(x, y)] == ["AB", "BC", "BD", "CD"]
+    for order in ("CDBA", "DCBA", "ABCD", "BACD"):
+        ids = {x: 10 + i for i, x in enumerate(order)}
+        rows = [(ids[x], i, len(s), sorted(s)[: ngram_join.prefix_length(len(s), 85, 100)]) for i, (x, s) in enumerate(sets.items())]
+        nodes = spark.createDataFrame(rows, "node long, doc_id long, n long, prefix array<long>")
+        members = ngram_join.checkpointed(ngram_join.block_members(nodes))
+        first = {tuple(sorted((r.lead, r.node))) for r in members.collect() if r.lead != r.node}
+        links = [(a, b) for a, b in first if similar(order[a - 10], order[b - 10])]
+        roots = ngram_join.components(spark.createDataFrame(links, "a long, b long"))
+        found = {tuple(r) for r in ngram_join.tile_pairs(members, roots, nodes, 85, 100).collect()}
+        assert tuple(sorted((ids["A"], ids["B"]))) in found | set(links), order
