@@ -1,9 +1,9 @@
 """License scan with a positional index of licence texts.
 
-Every word of every licence template is posted with its position. A file's licence words are ranked by their
-inverse document frequency over all documents; the postings of the rarest are looked up at every place they
-stand in the file. A place minus a posting's position is where the template would begin: the template with
-enough rare words agreeing on a beginning is verified by its key phrases, which must stand at their positions.
+Every word of every licence template has its position, and a weight by its inverse document frequency over all
+documents. A template whose key phrases have all their words in a file is looked up by the rarest of these words, at
+every place it stands. A place minus the word's position is where the template would begin: it is verified by its key
+phrases, which must stand at their positions, and by the weight of its words in place. No template is left untried.
 """
 
 from __future__ import annotations
@@ -48,8 +48,8 @@ TEMPLATES = [
 
 #: Digits, letters in lower case and all bytes of other characters; the rest are spaces.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Rarest licence words of a file that are looked up, words that must agree on a beginning, least share of weight found.
-RAREST, AGREE, LEAST_SHARE = 8, 2, 0.5
+#: Words that must agree on a beginning, least share of weight found.
+AGREE, LEAST_SHARE = 2, 0.5
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -60,7 +60,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Template:
     label: str
     words: list[bytes]
-    keys: list[tuple[int, list[bytes]]]  # (position, words)
+    keys: list[tuple[int, list[bytes]]]  # (position, words), one at least
 
 
 def templates(source=TEMPLATES) -> list[Template]:
@@ -81,13 +81,14 @@ class Index:
     def __init__(self, df: dict[bytes, int], n: int, source=TEMPLATES, base=BASE):
         self.templates = templates(source)
         self.base = [(p.encode().split(), label) for p, label in base.items()]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, x in enumerate(self.templates):
-            for i, w in enumerate(x.words):
-                self.postings[w].append((t, i))
-        self.vocabulary = frozenset(self.postings) | {w for p, _ in self.base for w in p}
+        self.vocabulary = frozenset(w for x in self.templates for w in x.words) | {w for p, _ in self.base for w in p}
         self.idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1e-6 for w in self.vocabulary}
         self.weight = [sum(self.idf[w] for w in x.words) for x in self.templates]
+        self.anchors: list[tuple[frozenset[bytes], bytes, int]] = []  # words that must be there, the rarest, its position
+        for x in self.templates:
+            placed = [(i + j, w) for i, k in x.keys for j, w in enumerate(k)]
+            i, w = min(placed, key=lambda p: (-self.idf[p[1]], p))
+            self.anchors.append((frozenset(w for _, w in placed), w, i))
 
     def scan(self, words: list[bytes]) -> tuple[int, int | None, int | None, str, str, float]:
         """n_base, first_word, last_word, base_labels, labels, score."""
@@ -108,17 +109,18 @@ class Index:
                     starts += found
                     base.add(label)
         labels, score = set(base), 1.0 if base else 0.0
-        agreed: dict[tuple[int, int], int] = Counter()
-        for w in sorted(present, key=lambda w: (-self.idf[w], w))[:RAREST]:
-            for t, i in self.postings.get(w, ()):
-                for place in at[w]:
-                    agreed[t, place - i] += 1
-        for (t, begin), n in agreed.items():
-            x = self.templates[t]
-            if n < AGREE or any(begin + i < 0 or words[begin + i : begin + i + len(k)] != k for i, k in x.keys):
+        for t, (needs, word, position) in enumerate(self.anchors):
+            if not present.issuperset(needs):
                 continue
-            share = sum(self.idf[w] for i, w in enumerate(x.words) if 0 <= begin + i < len(words) and words[begin + i] == w) / self.weight[t]
-            if share >= LEAST_SHARE:
+            x = self.templates[t]
+            for place in at[word]:
+                begin = place - position
+                if any(begin + i < 0 or words[begin + i : begin + i + len(k)] != k for i, k in x.keys):
+                    continue
+                there = [self.idf[w] for i, w in enumerate(x.words) if 0 <= begin + i < len(words) and words[begin + i] == w]
+                share = sum(there) / self.weight[t]
+                if len(there) < AGREE or share < LEAST_SHARE:
+                    continue
                 labels.add(x.label)
                 score = max(score, min(1.0, share))
         return len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score

@@ -81,3 +81,16 @@ def test_license_scan(spark):
     text = {r.doc_id: r.text for r in real.collect()}
     for r in license_scan.scan(real).collect():
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute(text[r.doc_id])
+
+
+def test_several_notices_in_one_file():
+    real = {b"the": 900, b"of": 800, b"to": 700, b"by": 300, b"in": 300, b"and": 600, b"license": 60, b"licensed": 50, b"cc": 40, b"mit": 30}
+    index = license_scan.Index(real, 1000)
+    notice = {label: text for label, text, _ in license_scan.TEMPLATES[::-1]}
+    notice["mit long"] = license_scan.TEMPLATES[2][1]
+    notice["bsd"] = license_scan.TEMPLATES[9][1]
+    for a, b in (("mit long", "cc-by-nc"), ("bsd", "mit"), ("gpl", "isc")):
+        got = index.scan(license_scan.words_of(f"{notice[a]} some words between {notice[b]}".encode()))[4]
+        assert {a.split()[0], b} <= set(got.split(",")), (a, b, got)
+    every = " x ".join(text for _, text, _ in license_scan.TEMPLATES)
+    assert set(index.scan(license_scan.words_of(every.encode()))[4].split(",")) == {label for label, _, _ in license_scan.TEMPLATES}
