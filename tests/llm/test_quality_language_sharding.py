@@ -166,3 +166,27 @@ def test_text_without_common_words_is_rejected(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.doc_id: r.rules for r in quality_rules.measure(docs, quality_rules.learn(docs)).collect()}
     assert not got[100].kept and all(got[200 + i].kept and got[200 + i].word_distance is None for i in range(3))
+
+
+def test_more_languages_than_are_spelt_out(spark, monkeypatch):
+    rnd = random.Random(6)
+
+    def text(stock, letters, n):
+        return " ".join(rnd.choice(stock) if rnd.random() < 0.3 else "".join(rnd.choice(letters) for _ in range(7)) for _ in range(n))
+
+    latin, georgian = "abcdefgh", "ბგდევზთი"
+    rows = [(f"l{k}", text([f"{a}{chr(97 + k)}" for a in "xyzw"], latin, 90)) for k in range(3) for _ in range(12)]
+    rows += [("ka", text(["და", "არ", "ეს", "რომ"], georgian, 80)) for _ in range(12)] + [("ka", text(["ჯჯჯჯჯჯჯ"], georgian, 80).replace("ჯჯჯჯჯჯჯ", "ბგბგ" * 2)), (None, text(["და", "არ", "ეს", "რომ"], georgian, 80)), (None, text(["xa", "ya", "za", "wa"], latin, 90))]
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    whole = {r.doc_id: r.rules for r in quality_rules.measure(docs, quality_rules.learn(docs)).collect()}
+    assert [i for i, r in whole.items() if not r.kept] == [48]
+    monkeypatch.setattr(quality_rules, "MOST_LANGS", 2)
+    for broadcast in (100, 0):
+        monkeypatch.setattr(quality_rules, "BROADCAST_LANGS", broadcast)
+        got = quality_rules.measure(docs, quality_rules.learn(docs))
+        assert got.columns == [*docs.columns, "rules"]
+        got = {r.doc_id: r.rules for r in got.collect()}
+        assert len(got) == len(rows) and {i: r.kept for i, r in got.items()} == {i: r.kept for i, r in whole.items()}
+        for i in range(49):  # each row's own language is the nearest one
+            assert abs(got[i].char_distance - whole[i].char_distance) < 1e-9 or rows[i][0] != "ka"
+            assert abs(got[i].word_distance - whole[i].word_distance) < 1e-9
