@@ -153,3 +153,21 @@ def test_files(spark, tmp_path):
     page = spark.createDataFrame([("1", "T", "S", 1, "current", "", "", "", "", None, "", ["l"])], files.PAGE)
     files.save_crawl(page, f"file://{tmp_path}/crawl")
     assert files.scan_crawl(spark, f"file://{tmp_path}/crawl").first().labels == ["l"]
+
+
+def test_merge3_query_has_every_document(spark):
+    from folioscope.plans import fixtures as V
+    from folioscope.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    b, o, t = ({r.doc_id: r.content for r in f(spark, sf).collect()} for f in (V.base, V.ours, V.theirs))
+    got = QUERIES["merge3"](spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(b)
+    kinds = set()
+    for r in got:
+        x, y, z = b[r.doc_id], o[r.doc_id], t[r.doc_id]
+        kinds.add((x == y, x == z))
+        if x == y or x == z or y == z:
+            assert (r.merged, r.has_conflicts, r.conflict_count) == (z if x == y else y, False, 0)
+        assert r.merged is not None and r.has_conflicts == (r.conflict_count > 0)
+    assert len(kinds) == 4
