@@ -2,15 +2,23 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from folioscope.llm import ngram_join
 
 
-def brute(rows, width=4, num=85, den=100):
-    """component_id and n_shingles by row, from all pairs of sets that share a shingle."""
+def sets_of(rows, width):
     sets = []
     for _, text in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
         sets.append(frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else []))
+    return sets
+
+
+def brute(rows, width=4, num=85, den=100):
+    """component_id and n_shingles by row, from all pairs of sets that share a shingle."""
+    sets = sets_of(rows, width)
     root = list(range(len(rows)))
 
     def find(x):
@@ -110,11 +118,57 @@ def test_link_to_a_big_component_in_both_node_orders(spark):
     assert [x + y for x in "ABCD" for y in "ABCD" if x < y and similar(x, y)] == ["AB", "BC", "BD", "CD"]
     for order in ("CDBA", "DCBA", "ABCD", "BACD"):
         ids = {x: 10 + i for i, x in enumerate(order)}
-        rows = [(ids[x], i, len(s), sorted(s)[: ngram_join.prefix_length(len(s), 85, 100)]) for i, (x, s) in enumerate(sets.items())]
-        nodes = spark.createDataFrame(rows, "node long, doc_id long, n long, prefix array<long>")
+        rows = [(ids[x], i, i, len(s), sorted(s)[: ngram_join.prefix_length(len(s), 85, 100)]) for i, (x, s) in enumerate(sets.items())]
+        rows = [(*r, ngram_join.sketch_of(np.array(sorted(sets[order[r[0] - 10]]), np.uint64))) for r in rows]
+        nodes = spark.createDataFrame(rows, "node long, doc_id long, key long, n long, prefix array<long>, sketch binary")
         members = ngram_join.checkpointed(ngram_join.block_members(nodes))
         first = {tuple(sorted((r.lead, r.node))) for r in members.collect() if r.lead != r.node}
         links = [(a, b) for a, b in first if similar(order[a - 10], order[b - 10])]
         roots = ngram_join.components(spark.createDataFrame(links, "a long, b long"))
-        found = {tuple(r) for r in ngram_join.tile_pairs(members, roots, nodes, 85, 100).collect()}
+        schema = "block long, i int, j int, node long, key long, comp long, partners array<long>"
+        tiles = ngram_join.tile_rows(members, roots, nodes)
+        got = tiles.mapInArrow(lambda it: ngram_join.walk_tiles(it, 85, 100, False), schema).collect() if tiles is not None else []
+        found = {tuple(sorted((r.node, x))) for r in got for x in r.partners}
         assert tuple(sorted((ids["A"], ids["B"]))) in found | set(links), order
+
+
+def test_sets_of_texts():
+    rnd = random.Random(4)
+    words = ["a", "B", "b", "ab", "ba", "É", "é", "x" * 50, "\x1f", "\xa0", "中文", "aa", "aaa", "0"]
+    texts = [None, "", " ", "a", "A\tb", *[rnd.choice(["", " "]) + rnd.choice([" ", "\n", "\r\x0b "]).join(rnd.choices(words, k=rnd.randrange(60))) for _ in range(300)]]
+    grams = ngram_join.Grams(3)
+    column = pa.array(["left out", *texts])[1:]
+    sets = [frozenset(g.tolist()) for g in grams(column)]
+    plain = [sets_of([(0, t)], 3)[0] for t in texts]
+    assert [len(s) for s in sets] == [len(s) for s in plain]
+    for a in range(0, len(texts), 7):
+        assert [len(sets[a] & s) for s in sets] == [len(plain[a] & s) for s in plain]
+
+
+def test_long_texts_are_read_in_slices(monkeypatch):
+    text = " ".join(f"w{i % 977} {'y' * (i % 50)}" for i in range(4000)) + " " + "z" * 9000 + " end of it"
+    whole = next(iter(ngram_join.Grams(4)(pa.array([text]))))
+    monkeypatch.setattr(ngram_join, "SLICE", 500)
+    got = list(ngram_join.Grams(4)(pa.array(["short one", text, None, text + " more"])))
+    assert got[1].tolist() == whole.tolist() and len(got[2]) == 0 and set(whole) < set(got[3])
+
+
+def test_sketches_bound_the_difference():
+    rnd = random.Random(6)
+    for _ in range(300):
+        n = rnd.randrange(1, 1200)
+        x = {rnd.randrange(1 << 63) for _ in range(n)}
+        y = set(rnd.sample(sorted(x), rnd.randrange(1, n + 1))) | {rnd.randrange(1 << 63) for _ in range(rnd.randrange(40))}
+        a, b = (ngram_join.Sketch(ngram_join.sketch_of(np.array(sorted(s), np.uint64))) for s in (x, y))
+        assert a.apart(b) <= len(x ^ y)
+        assert a.apart(a) == 0
+
+
+def test_long_paths_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "AHEAD", 3)
+    monkeypatch.setattr(ngram_join, "BEHIND", 2)
+    monkeypatch.setattr(ngram_join, "TILE", 8)
+    rnd = random.Random(11)
+    rows = list(enumerate(family(rnd, 80, 200, 26) + family(rnd, 40, 40, 6)))
+    rows += [(None, t) for t in family(rnd, 30, 90, 9)] + [(7, t) for t in family(rnd, 30, 90, 9)]
+    check(spark, rows)
