@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -17,35 +19,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one of our own where that is unset (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir; where that is unset, a folder of our own in local mode only."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     jdir = sc._jsc.sc().getCheckpointDir()
     if not found and jdir.isDefined():
         found = jdir.get()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="folioscope-ckpt-")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='folioscope-')}"
     if not jdir.isDefined():
         sc.setCheckpointDir(found)
     return found
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df with their lineage cut, in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Folders of tidy() that are open, the last one in use.
+_open: list[str] = []
+
+
+def checkpointed(df: DataFrame, lasting: bool = False) -> DataFrame:
+    """The rows of df, written to the shared folder and read again: lineage is cut and a lost executor costs no recomputation.
+
+    A table, not checkpoint(): that computes the last stage twice and keeps estimated sizes, which joins multiply from
+    round to round. Inside tidy() the table goes when the block ends, unless it is `lasting`.
+    """
+    spark = df.sparkSession
+    top = _open[-1] if _open and not lasting else shared_dir(spark)
+    path = f"{top}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Inside, Spark removes a job's shuffle files as the job ends; for jobs whose results are written or checkpointed."""
+def tidy(spark: SparkSession) -> Iterator[str]:
+    """Inside, Spark removes a job's shuffle files as the job ends, and checkpointed() writes to a folder that goes at the end.
+
+    For jobs whose results are written; gives the folder.
+    """
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
+    _open.append(f"{shared_dir(spark)}/tidy-{uuid.uuid4().hex}")
     try:
-        yield
+        yield _open[-1]
     finally:
         spark.conf.set(key, before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(_open.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh_name(df: DataFrame, name: str) -> str:

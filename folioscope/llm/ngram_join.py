@@ -20,7 +20,6 @@ in which the sets differ, so a pair that this bound excludes is not similar. Eve
 
 from __future__ import annotations
 
-import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import checkpointed, fresh_name, shared_dir, tidy
+from folioscope.llm.common import checkpointed, fresh_name, tidy
 
 WIDTH, NUM, DEN = 4, 85, 100
 #: At most so many n-grams are ordered last; a batch reports those that LOCAL of its documents hold.
@@ -606,14 +605,10 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int
 
 
 def _similar_groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/ngram-{uuid.uuid4().hex}"
-    signatures(docs, width, num, den).write.parquet(f"{folder}/signatures")
-    sig = spark.read.parquet(f"{folder}/signatures")
+    sig = checkpointed(signatures(docs, width, num, den))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")).alias("one")
     nodes = sig.where("node is not null").groupBy("node").agg(one, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
-    nodes.select("node", "one.doc_id", "one.key", "n", "prefix", "sketch").write.parquet(f"{folder}/nodes")
-    nodes = spark.read.parquet(f"{folder}/nodes")
+    nodes = checkpointed(nodes.select("node", "one.doc_id", "one.key", "n", "prefix", "sketch"))
 
     members = checkpointed(block_members(nodes))
     leads = members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
@@ -637,8 +632,9 @@ def _similar_groups(docs: DataFrame, width: int, num: int, den: int) -> DataFram
 
     least = nodes.join(roots, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = nodes.select("node", "doc_id").join(roots, "node", "left").join(least, "root", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("root", "node").alias("root"))
-    out = sig.select("doc_id", "n", "node").join(checkpointed(named), "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("node").isNull(), F.col("doc_id")), F.col("component_id")).alias("component_id"), F.col("node").alias("set_id"), "root")
+    out = sig.select("doc_id", "n", "node").join(named, "node", "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("node").isNull(), F.col("doc_id")), F.col("component_id")).alias("component_id"), F.col("node").alias("set_id"), "root")
+    return checkpointed(out, lasting=True)
 
 
 def block_members(nodes: DataFrame) -> DataFrame:
