@@ -20,6 +20,7 @@ in which the sets differ, so a pair that this bound excludes is not similar. Eve
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,11 +36,13 @@ from folioscope.llm.common import checkpointed, fresh_name, tidy
 
 WIDTH, NUM, DEN = 4, 85, 100
 #: At most so many n-grams are ordered last; a batch reports those that LOCAL of its documents hold.
-HEAVY, LOCAL, BATCH_HASHES = 32_768, 4, 2_000_000
+HEAVY, LOCAL, BATCH_HASHES = 131_072, 4, 2_000_000
 #: Nodes and n-grams of a tile on each side, nodes compared with one copy of a probe.
 TILE, TILE_GRAMS, FAN = 128, 1 << 20, 64
 #: Runs of a path that a tile's row holds: behind the tile's block, and before it.
 AHEAD, BEHIND = 64, 32
+#: Bits an n-gram of the sketches in tiles.
+ROUGH = 0.5
 #: Bytes of text hashed at a time; ids above which no bitmap is made.
 SLICE, MOST_MARKED = 1 << 20, 1 << 24
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -158,9 +161,9 @@ def key_of(doc_id: int | None, node: int) -> int:
     return xxhash.xxh3_64_intdigest(f"{doc_id} {node}") - (1 << 63)
 
 
-def sketch_of(grams: np.ndarray) -> bytes:
-    """For each value of the hashes' last bits, whether an odd number of n-grams has it; 2 bits an n-gram at least, 256 in all."""
-    bits = 1 << max(8, (2 * len(grams) - 1).bit_length())
+def sketch_of(grams: np.ndarray, bits_a_gram: float = 2) -> bytes:
+    """For each value of the hashes' last bits, whether an odd number of n-grams has it; so many bits an n-gram at least, 256 in all."""
+    bits = 1 << max(8, (int(bits_a_gram * len(grams)) - 1).bit_length())
     odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -233,7 +236,7 @@ def heavy_grams(texts: DataFrame, width: int) -> np.ndarray:
 class Order:
     """The global order as unsigned numbers: hashes below 2 ** 63, heavy n-grams from there by rank."""
 
-    MASK = np.uint64((1 << 20) - 1)
+    MASK = np.uint64((1 << 22) - 1)
 
     def __init__(self, heavy: np.ndarray):
         at = np.argsort(heavy)
@@ -256,26 +259,27 @@ class Order:
 
 
 def signatures(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, n (n-grams), node, key, prefix and sketch of every row; only doc_id and n without words."""
+    """doc_id, n (n-grams), node, key, prefix and two sketches of every row; only doc_id and n without words."""
     order = docs.sparkSession.sparkContext.broadcast(Order(heavy_grams(docs, width)))
-    names = ["doc_id", "n", "node", "key", "prefix", "sketch"]
+    names = ["doc_id", "n", "node", "key", "prefix", "sketch", "rough"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(width)
         for batch in batches:
-            n, nodes, keys, prefixes, sketches = [], [], [], [], []
+            n, nodes, keys, prefixes, sketches, rough = [], [], [], [], [], []
             for doc, g in zip(batch.column(0).to_pylist(), grams(batch.column(1))):
                 n.append(len(g))
                 nodes.append(node_of(g) if len(g) else None)
                 keys.append(key_of(doc, nodes[-1]) if len(g) else None)
                 prefixes.append(order.value(g)[: prefix_length(len(g), num, den)].view(np.int64))
                 sketches.append(sketch_of(g) if len(g) else None)
+                rough.append(sketch_of(g, ROUGH) if len(g) else None)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes], dtype=np.int64)]).astype(np.int32)
             flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(sketches, pa.binary())]
+            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(sketches, pa.binary()), pa.array(rough, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, key long, prefix array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, key long, prefix array<long>, sketch binary, rough binary")
 
 
 @dataclass
@@ -323,8 +327,8 @@ class Trie:
         falling = [self.least_shared(n, largest) - 1] if largest > n else []
         return min(rising + falling)
 
-    def partners(self, runs: list[int], counts: list[int], probe: Leaf) -> Iterator[tuple[int, Leaf]]:
-        """Leaves of other components that may be similar to probe, with the n-grams in which they differ at least.
+    def partners(self, runs: list[int], counts: list[int], probe: Leaf) -> Iterator[Leaf]:
+        """Leaves of other components that may be similar to probe.
 
         All paths begin with the tile's block, so that leaves below one trie node share the overlap found so far. A
         subtree is left if the overlap and the lesser of both remaining lengths do not reach what the sizes below ask
@@ -347,9 +351,8 @@ class Trie:
             for leaf in at[1]:
                 m = leaf.n
                 if leaf.comp != probe.comp and leaf.node != probe.node and low <= m <= high and overlap + probe.tail + leaf.tail >= self.least_shared(n, m) and probe.early.isdisjoint(leaf.early):
-                    apart = probe.sketch.apart(leaf.sketch)
-                    if apart <= n + m - 2 * needed(n, m, num, den):
-                        yield apart, leaf
+                    if probe.sketch.apart(leaf.sketch) <= n + m - 2 * needed(n, m, num, den):
+                        yield leaf
             for run, below in at[0].items():
                 i = where.get(run)
                 if i is None:
@@ -358,16 +361,14 @@ class Trie:
                     stack.append((below, overlap + counts[i], i + 1))
 
 
-def walk_tiles(batches: Iterator[pa.RecordBatch], num: int, den: int, best: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block, i, j and role (the trie's rows first) to what may be similar.
-
-    best: each probe with its nearest partner only, as pairs. Else one row for each node of the tile that has a partner
+def walk_tiles(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block, i, j and role (the trie's rows first) to one row for each node of a tile that has a partner
     or is one, a probe's row with the nodes of its partners.
     """
     place, trie = None, None
     rows: list[tuple] = []
     named: set[int] = set()
-    schema = pa.schema(NEAREST if best else PARTNERS)
+    schema = pa.schema(PARTNERS)
 
     def flush() -> pa.RecordBatch:
         cols = list(zip(*rows)) if rows else [[] for _ in schema]
@@ -385,12 +386,9 @@ def walk_tiles(batches: Iterator[pa.RecordBatch], num: int, den: int, best: bool
                 trie.add(runs, counts, leaf)
                 continue
             found = list(trie.partners(runs, counts, leaf))
-            if found and best:
-                apart, x = min(found, key=lambda f: (f[0] / (f[1].n + n), f[1].node))
-                rows.append((x.node, node, x.key, key, apart / (x.n + n)))
-            elif found:
-                rows.append((*place, node, key, comp, [x.node for _, x in found]))
-                for _, x in found:
+            if found:
+                rows.append((*place, node, key, comp, [x.node for x in found]))
+                for x in found:
                     if x.node not in named:
                         named.add(x.node)
                         rows.append((*place, x.node, x.key, x.comp, []))
@@ -400,7 +398,7 @@ def walk_tiles(batches: Iterator[pa.RecordBatch], num: int, den: int, best: bool
 
 
 NEAREST = [("a", pa.int64()), ("b", pa.int64()), ("ka", pa.int64()), ("kb", pa.int64()), ("off", pa.float64())]
-PARTNERS = [("block", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("node", pa.int64()), ("key", pa.int64()), ("comp", pa.int64()), ("partners", pa.list_(pa.int64()))]
+PARTNERS = [("block", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("node", pa.int64()), ("key", pa.int64()), ("comp", pa.int64()), ("partners", pa.list_(pa.int64()))]
 
 
 def tile_links(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -607,8 +605,8 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int
 def _similar_groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     sig = checkpointed(signatures(docs, width, num, den))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")).alias("one")
-    nodes = sig.where("node is not null").groupBy("node").agg(one, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
-    nodes = checkpointed(nodes.select("node", "one.doc_id", "one.key", "n", "prefix", "sketch"))
+    nodes = sig.where("node is not null").groupBy("node").agg(one, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("rough").alias("rough"))
+    nodes = checkpointed(nodes.select("node", "one.doc_id", "one.key", "n", "prefix", "sketch", "rough"))
 
     members = checkpointed(block_members(nodes))
     leads = members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
@@ -619,15 +617,10 @@ def _similar_groups(docs: DataFrame, width: int, num: int, den: int) -> DataFram
     if not more.isEmpty():
         links = checkpointed(links.unionByName(verified(more, docs, nodes, width, num, den)))
         roots = components(links)
-    for best in (True, False):
-        tiles = tile_rows(members, roots, nodes)
-        if tiles is None:
-            break
-        found = tiles.mapInArrow(lambda it, best=best: walk_tiles(it, num, den, best), "a long, b long, ka long, kb long, off double" if best else "block long, i int, j int, node long, key long, comp long, partners array<long>")
-        found = checkpointed(nearest(found) if best else found)
-        if found.isEmpty():
-            break
-        links = checkpointed(links.unionByName(verified(found, docs, nodes, width, num, den) if best else compared(found, docs, nodes, width, num, den)))
+    tiles = tile_rows(members, roots, nodes, num, den)
+    if tiles is not None:
+        found = checkpointed(tiles.mapInArrow(lambda it: walk_tiles(it, num, den), "block long, i long, j long, node long, key long, comp long, partners array<long>"))
+        links = checkpointed(links.unionByName(compared(found, docs, nodes, width, num, den)))
         roots = components(links)
 
     least = nodes.join(roots, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -649,36 +642,56 @@ def block_members(nodes: DataFrame) -> DataFrame:
     return grams.join(block, "g").groupBy("block", "node").agg(F.count("*").cast("int").alias("count"), F.min("lead").alias("lead"), F.min("n").alias("n"))
 
 
-def tile_rows(members: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame | None:
+def tile_rows(members: DataFrame, roots: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame | None:
     """Rows of the tiles of all blocks with more than one component, dealt and sorted for walk_tiles; None without any.
 
+    A block's least node is left out: it has been compared with all others. Nodes are put in classes by size, so that
+    similar ones are in one class or in two next to each other; only such classes meet in a tile. Those of a block's largest
+    component are cut into tiles apart from the few others and do not probe.
+
     A row has the node's next runs from the tile's block on, and some before it; so a long path is not repeated whole
     for each of its blocks. Two nodes are compared in the tile of the first block that both have, or again in a later
     one if more than BEHIND runs lie between.
     """
     spark = members.sparkSession
-    m = checkpointed(members.select("block", "node", "n").join(roots, "node", "left").select("block", "node", "n", F.coalesce("root", "node").alias("comp")))
-    parts = m.groupBy("block", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
-    state = parts.groupBy("block").agg(F.max(F.struct("c", "w", "comp")).alias("top"), F.sum("c").alias("k"), F.sum("w").alias("w"), F.count("*").alias("comps")).where("comps > 1")
-    tiles = lambda c, w: F.ceil(F.greatest(c / TILE, w / TILE_GRAMS)).cast("int")
-    state = checkpointed(state.select("block", F.col("top.comp").alias("top"), tiles(F.col("top.c"), F.col("top.w")).alias("big"), tiles(F.col("k") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("few")))
+    size_class = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * 1.000001)).cast("int")
+    m = checkpointed(members.where("node != lead").select("block", "node", "n", size_class.alias("cls")).join(roots, "node", "left").select("block", "node", "n", "cls", F.coalesce("root", "node").alias("comp")))
+    parts = m.groupBy("block", "comp", "cls").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    whole = parts.groupBy("block", "comp").agg(F.sum("c").alias("c")).groupBy("block").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    parts = parts.join(whole.select("block", F.col("top.comp").alias("top")), "block").withColumn("in_big", F.col("comp") == F.col("top"))
+    of = lambda x, big: F.coalesce(F.sum(F.when(F.col("in_big") == big, F.col(x))), F.lit(0))
+    tiles = lambda big: F.ceil(F.greatest(of("c", big) / TILE, of("w", big) / TILE_GRAMS)).cast("int")
+    classes = parts.groupBy("block", "cls").agg(F.first("top").alias("top"), tiles(False).alias("few"), tiles(True).alias("big"), F.sum("c").alias("c"))
+    state = checkpointed(classes.groupBy("block").agg(F.first("top").alias("top"), F.collect_list(F.struct("cls", "few", "big", "c")).alias("classes")))  # a few classes a block
     if state.isEmpty():
         return None
     m = m.join(state, "block")
-    spot, in_big = F.xxhash64("node", F.lit(3)), F.col("comp") == F.col("top")
-    m = checkpointed(m.select("block", "node", "n", "comp", "few", "big", in_big.alias("in_big"), F.when(in_big, F.col("few") + F.pmod(spot, F.col("big"))).otherwise(F.pmod(spot, F.col("few"))).cast("int").alias("tile")))
+    own = lambda step, x: F.coalesce(F.get(F.filter("classes", lambda k: k["cls"] == F.col("cls") + step), F.lit(0))[x], F.lit(0)).cast("int")
+    m = m.withColumns({"in_big": F.col("comp") == F.col("top"), "c": own(0, "c")} | {x + k: own(step, x) for k, step in (("0", 0), ("u", 1), ("d", -1)) for x in ("few", "big")})
+    spot = F.xxhash64("node", F.lit(3))
+    m = m.withColumn("tile", F.when(F.col("in_big"), F.col("few0") + F.pmod(spot, F.col("big0"))).otherwise(F.pmod(spot, F.col("few0"))).cast("int"))
+    name = lambda step, t: F.shiftleft((F.col("cls") + step).cast("long"), 32) + t
+
+    def some(step: int, first: Column, last: Column, where: Column) -> Column:
+        """Names of the tiles from first to last of a class next to this one, or of this one."""
+        return F.transform(F.when(where & (first <= last), F.sequence(first, last)).otherwise(F.expr("cast(array() AS array<int>)")), lambda t: name(step, t))
+
+    zero, yes, few, big = F.lit(0), F.lit(True), lambda k: F.col("few" + k), lambda k: F.col("big" + k)
+    probed = F.concat(some(0, F.col("tile"), few("0") + big("0") - 1, F.col("c") > 1), some(1, zero, few("u") + big("u") - 1, yes), some(-1, few("d"), few("d") + big("d") - 1, yes))
+    probing = F.concat(some(0, zero, F.least(F.col("tile"), few("0") - 1), F.col("c") > 1), some(-1, zero, few("d") - 1, yes), some(1, zero, few("u") - 1, F.col("in_big")))
+    m = m.select("block", "node", "n", "comp", name(0, F.col("tile")).alias("tile"), F.when(F.col("in_big"), F.expr("cast(array() AS array<bigint>)")).otherwise(probed).alias("probed"), probing.alias("probing"))
+    m = checkpointed(m.where((F.size("probed") > 0) | (F.size("probing") > 0)))
     open_nodes = m.select("node").distinct()
     paths = members.join(open_nodes, "node", "left_semi").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("block", "count"))).alias("path"))
-    paths = paths.join(nodes.select("node", "key", "sketch"), "node")
+    paths = paths.join(nodes.select("node", "key", F.col("rough").alias("sketch")), "node")
     m = m.join(paths, "node").withColumn("at", F.array_position("path.block", F.col("block")).cast("int"))
     early = F.slice(F.col("path.block"), F.greatest(F.lit(1), F.col("at") - BEHIND), F.least(F.lit(BEHIND), F.col("at") - 1))
     tail = F.aggregate(F.slice(F.col("path.count"), F.col("at") + AHEAD, F.size("path")), F.lit(0), lambda s, x: s + x)
-    m = m.select("block", "tile", "few", "big", "in_big", "node", "n", "comp", "key", "sketch", early.alias("early"), F.slice(F.col("path.block"), F.col("at"), AHEAD).alias("runs"), F.slice(F.col("path.count"), F.col("at"), AHEAD).alias("counts"), tail.alias("tail"))
-    cols = ["block", "i", "j", "role", "node", "n", "comp", "key", "sketch", "early", "runs", "counts", "tail"]
-    probes = m.where("not in_big").withColumn("i", F.col("tile")).withColumn("j", F.explode(F.sequence(F.col("tile"), F.col("few") + F.col("big") - 1))).withColumn("role", F.lit(1))
-    index = m.withColumn("j", F.col("tile")).withColumn("i", F.explode(F.sequence(F.lit(0), F.least(F.col("tile"), F.col("few") - 1)))).withColumn("role", F.lit(0))
+    m = m.select("block", "tile", "probed", "probing", "node", "n", "comp", "key", "sketch", early.alias("early"), F.slice(F.col("path.block"), F.col("at"), AHEAD).alias("runs"), F.slice(F.col("path.count"), F.col("at"), AHEAD).alias("counts"), tail.alias("tail"))
+    places = F.concat(F.transform("probed", lambda t: F.struct(F.col("tile").alias("i"), t.alias("j"), F.lit(1).alias("role"))), F.transform("probing", lambda t: F.struct(t.alias("i"), F.col("tile").alias("j"), F.lit(0).alias("role"))))
+    rows = m.withColumn("place", F.explode(places)).select("block", "place.i", "place.j", "place.role", "node", "n", "comp", "key", "sketch", "early", "runs", "counts", "tail")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return probes.select(cols).unionByName(index.select(cols)).repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j", "role")
+    return rows.repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j", "role")
 
 
 def compared(found: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:

@@ -119,15 +119,15 @@ def test_link_to_a_big_component_in_both_node_orders(spark):
     for order in ("CDBA", "DCBA", "ABCD", "BACD"):
         ids = {x: 10 + i for i, x in enumerate(order)}
         rows = [(ids[x], i, i, len(s), sorted(s)[: ngram_join.prefix_length(len(s), 85, 100)]) for i, (x, s) in enumerate(sets.items())]
-        rows = [(*r, ngram_join.sketch_of(np.array(sorted(sets[order[r[0] - 10]]), np.uint64))) for r in rows]
-        nodes = spark.createDataFrame(rows, "node long, doc_id long, key long, n long, prefix array<long>, sketch binary")
+        rows = [(*r, *[ngram_join.sketch_of(np.array(sorted(sets[order[r[0] - 10]]), np.uint64))] * 2) for r in rows]
+        nodes = spark.createDataFrame(rows, "node long, doc_id long, key long, n long, prefix array<long>, sketch binary, rough binary")
         members = ngram_join.checkpointed(ngram_join.block_members(nodes))
         first = {tuple(sorted((r.lead, r.node))) for r in members.collect() if r.lead != r.node}
         links = [(a, b) for a, b in first if similar(order[a - 10], order[b - 10])]
         roots = ngram_join.components(spark.createDataFrame(links, "a long, b long"))
-        schema = "block long, i int, j int, node long, key long, comp long, partners array<long>"
-        tiles = ngram_join.tile_rows(members, roots, nodes)
-        got = tiles.mapInArrow(lambda it: ngram_join.walk_tiles(it, 85, 100, False), schema).collect() if tiles is not None else []
+        schema = "block long, i long, j long, node long, key long, comp long, partners array<long>"
+        tiles = ngram_join.tile_rows(members, roots, nodes, 85, 100)
+        got = tiles.mapInArrow(lambda it: ngram_join.walk_tiles(it, 85, 100), schema).collect() if tiles is not None else []
         found = {tuple(sorted((r.node, x))) for r in got for x in r.partners}
         assert tuple(sorted((ids["A"], ids["B"]))) in found | set(links), order
 
