@@ -27,25 +27,40 @@ TEMPLATES = [
     ("mit", "released under the mit license", ["mit license"]),
     ("mit", "licensed under the mit license", ["mit license"]),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted free of charge", "associated documentation files"]),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["this permission notice", "substantial portions of the software"]),
+    ("mit", "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ["merge publish distribute sublicense"]),
     ("apache-2.0", "licensed under the apache license version 2 0", ["apache license version 2 0"]),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at", ["except in compliance with the license"]),
+    ("apache-2.0", "apache license version 2 0 january 2004", ["apache license version 2 0"]),
     ("gpl", "this work is licensed under the gnu general public license version 3", ["gnu general public license"]),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ["free software", "gnu general public license"]),
     ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ["gnu lesser general public license"]),
+    ("lgpl", "gnu lesser general public license", ["lesser general public license"]),
+    ("lgpl", "gnu library general public license", ["library general public license"]),
+    ("agpl", "gnu affero general public license", ["affero general public license"]),
     ("agpl", "licensed under the gnu affero general public license version 3", ["gnu affero general public license"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["source and binary forms", "following conditions are met"]),
     ("bsd", "licensed under the bsd 3 clause license", ["bsd 3 clause"]),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistributions of source code must retain"]),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", ["redistributions in binary form must reproduce"]),
+    ("bsd", "may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote products derived from this software"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at", ["copy of the mpl was not distributed"]),
     ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
     ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
     ("cc-by", "licensed under cc by 4 0", ["cc by 4 0"]),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
     ("cc0", "dedicated to the public domain under the cc0 1 0 universal public domain dedication", ["cc0 1 0 universal"]),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary", ["anyone is free to copy modify publish use compile sell"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
     ("reserved", "copyright all rights reserved", ["all rights reserved"]),
 ]
 
+#: Label and how the words of a licence identifier line begin.
+IDENTIFIERS = [("mit", "mit"), ("apache-2.0", "apache 2 0"), ("gpl", "gpl"), ("lgpl", "lgpl"), ("agpl", "agpl"), ("bsd", "bsd"), ("isc", "isc"), ("mpl-2.0", "mpl 2 0"), ("cc-by-nc", "cc by nc"), ("cc-by-sa", "cc by sa"), ("cc-by", "cc by 4 0"), ("cc-by", "cc by 3 0"), ("cc0", "cc0 1 0"), ("unlicense", "unlicense")]
+TEMPLATES += [(label, f"spdx license identifier {name}", [f"spdx license identifier {name}"]) for label, name in IDENTIFIERS]
+
 #: Digits, letters in lower case and all bytes of other characters; the rest are spaces.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Words that must agree on a beginning, least share of weight found.
@@ -93,7 +108,7 @@ class Index:
     def scan(self, words: list[bytes]) -> tuple[int, int | None, int | None, str, str, float]:
         """n_base, first_word, last_word, base_labels, labels, score."""
         present = self.vocabulary.intersection(words)
-        if len(present) < 2:
+        if not present:
             return 0, None, None, "", "", 0.0
         starts: list[int] = []
         base: set[str] = set()

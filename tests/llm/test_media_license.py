@@ -87,10 +87,65 @@ def test_several_notices_in_one_file():
     real = {b"the": 900, b"of": 800, b"to": 700, b"by": 300, b"in": 300, b"and": 600, b"license": 60, b"licensed": 50, b"cc": 40, b"mit": 30}
     index = license_scan.Index(real, 1000)
     notice = {label: text for label, text, _ in license_scan.TEMPLATES[::-1]}
-    notice["mit long"] = license_scan.TEMPLATES[2][1]
-    notice["bsd"] = license_scan.TEMPLATES[9][1]
+    notice["mit long"] = next(t for _, t, _ in license_scan.TEMPLATES if t.startswith("permission is hereby granted"))
+    notice["bsd"] = next(t for _, t, _ in license_scan.TEMPLATES if t.startswith("redistribution and use"))
     for a, b in (("mit long", "cc-by-nc"), ("bsd", "mit"), ("gpl", "isc")):
         got = index.scan(license_scan.words_of(f"{notice[a]} some words between {notice[b]}".encode()))[4]
         assert {a.split()[0], b} <= set(got.split(",")), (a, b, got)
     every = " x ".join(text for _, text, _ in license_scan.TEMPLATES)
     assert set(index.scan(license_scan.words_of(every.encode()))[4].split(",")) == {label for label, _, _ in license_scan.TEMPLATES}
+
+
+def plain_labels(index, words):
+    """Labels and score from every template at every place of a text, without an index."""
+    base = {label for phrase, label in license_scan.BASE.items() if f" {phrase} " in f" {b' '.join(words).decode()} "}
+    labels, score = set(base), 1.0 if base else 0.0
+    for label, notice, keys in license_scan.TEMPLATES:
+        notice = notice.encode().split()
+        weights = [index.idf[w] for w in notice]
+        for begin in range(-len(notice), len(words)):
+            at = [words[begin + i] if 0 <= begin + i < len(words) else None for i in range(len(notice))]
+            joined = lambda ws: " " + " ".join("?" if w is None else w.decode() for w in ws) + " "
+            places = [joined(notice[:i] + [b"<"]).split().index("<") for i in range(len(notice))]
+            ok = True
+            for key in keys:
+                key = key.encode().split()
+                i = next(i for i in places if notice[i : i + len(key)] == key)
+                ok = ok and at[i : i + len(key)] == key
+            there = [w for x, y, w in zip(notice, at, weights) if x == y]
+            if ok and len(there) >= license_scan.AGREE and sum(there) / sum(weights) >= license_scan.LEAST_SHARE:
+                labels.add(label)
+                score = max(score, min(1.0, sum(there) / sum(weights)))
+    return ",".join(sorted(labels)), score
+
+
+def test_labels_and_score_against_every_place():
+    rnd = random.Random(12)
+    vocabulary = sorted(license_scan.Index({}, 0).vocabulary)
+    index = license_scan.Index({w: rnd.randrange(1, 900) for w in vocabulary}, 1000)
+    seen = set()
+    for n in range(1, 15):
+        words = []
+        for _, notice, _ in rnd.sample(license_scan.TEMPLATES, n):
+            notice = notice.encode().split()
+            if rnd.random() < 0.5:  # damaged: words lost at an end, or one word changed
+                notice = notice[rnd.randrange(3) :] if rnd.random() < 0.5 else [*notice[:-1], b"x"]
+            words += [*rnd.choices(vocabulary, k=rnd.randrange(4)), *notice]
+        labels, score = index.scan(words)[4:]
+        want = plain_labels(index, words)
+        assert labels == want[0] and abs(score - want[1]) < 1e-9
+        seen.update(labels.split(","))
+    assert len(seen) > 12
+
+
+def test_several_notices_names_and_identifier_lines():
+    index = license_scan.Index({}, 1000)
+    labels = lambda text: index.scan(license_scan.words_of(text.encode()))[4]
+    assert labels("GNU Lesser General Public License v3") == "gpl,lgpl"
+    assert labels("// SPDX-License-Identifier: MPL-2.0") == "mpl-2.0" and labels("# SPDX-License-Identifier: GPL-3.0-or-later") == "gpl"
+    assert labels("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.") == "mit"
+    assert labels("License: MIT-like words, spdx identifier license mit") == ""
+    one = license_scan.Index({}, 10, base={"copyleft": "copyleft"})
+    assert one.scan([b"copyleft"])[:5] == (1, 0, 0, "copyleft", "copyleft")
+    long = "w " * 300_000 + "Released under the MIT License. " + "MIT license " * 20_000
+    assert labels(long) == "mit"
