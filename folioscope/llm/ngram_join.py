@@ -39,6 +39,8 @@ WIDTH, NUM, DEN = 4, 85, 100
 HEAVY, LOCAL, BATCH_HASHES = 131_072, 4, 2_000_000
 #: Nodes and n-grams of a tile on each side, nodes compared with one copy of a probe.
 TILE, TILE_GRAMS, FAN = 128, 1 << 20, 64
+#: Blocks up to this size are looked through for possible partners before they are cut into tiles.
+PEERS = 64
 #: Runs of a path that a tile's row holds: behind the tile's block, and before it.
 AHEAD, BEHIND = 64, 32
 #: Bits an n-gram of the sketches in tiles.
@@ -655,7 +657,8 @@ def tile_rows(members: DataFrame, roots: DataFrame, nodes: DataFrame, num: int,
     """
     spark = members.sparkSession
     size_class = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * 1.000001)).cast("int")
-    m = checkpointed(members.where("node != lead").select("block", "node", "n", size_class.alias("cls")).join(roots, "node", "left").select("block", "node", "n", "cls", F.coalesce("root", "node").alias("comp")))
+    m = members.where("node != lead").select("block", "node", "n", size_class.alias("cls")).join(roots, "node", "left").select("block", "node", "n", "cls", F.coalesce("root", "node").alias("comp"))
+    m = checkpointed(with_partners(m.join(members.groupBy("node").agg(F.sum("count").alias("shared")), "node"), num, den))
     parts = m.groupBy("block", "comp", "cls").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
     whole = parts.groupBy("block", "comp").agg(F.sum("c").alias("c")).groupBy("block").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
     parts = parts.join(whole.select("block", F.col("top.comp").alias("top")), "block").withColumn("in_big", F.col("comp") == F.col("top"))
@@ -694,6 +697,27 @@ def tile_rows(members: DataFrame, roots: DataFrame, nodes: DataFrame, num: int,
     return rows.repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j", "role")
 
 
+def with_partners(m: DataFrame, num: int, den: int) -> DataFrame:
+    """Members of the blocks with more than one component; of blocks up to PEERS, only those that may have a partner there.
+
+    shared counts the n-grams of a node's prefix that any other prefix has: no pair shares more than the lesser of both.
+    """
+    m = checkpointed(m)
+    blocks = m.groupBy("block").agg(F.count("*").alias("k"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least != most")
+    m = checkpointed(m.join(blocks.select("block", "k"), "block"))
+    peers = m.where(F.col("k") <= PEERS).groupBy("block").agg(F.collect_list(F.struct("n", "shared", "comp")).alias("peers"))
+    up = lambda x, y: F.floor((x + (y - 1)) / y)
+
+    def fits(p: Column) -> Column:
+        n, o = F.col("n"), p["n"]
+        lesser, greater = F.least(n, o), F.greatest(n, o)
+        least_shared = up(num * (n + o), num + den) - up(num * greater, den) + 1
+        return (p["comp"] != F.col("comp")) & (lesser * den >= greater * num) & (F.least(F.col("shared"), p["shared"]) >= least_shared)
+
+    m = m.join(peers, "block", "left").where(F.col("peers").isNull() | F.exists("peers", fits))
+    return m.select("block", "node", "n", "cls", "comp")
+
+
 def compared(found: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links of the tiles' rows that walk_tiles found, on whole sets; of a node's rows in a tile, only one needs the text."""
     found = found.groupBy("block", "i", "j", "node").agg(F.first("key").alias("key"), F.first("comp").alias("comp"), F.flatten(F.collect_list("partners")).alias("partners"))

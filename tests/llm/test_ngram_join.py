@@ -77,6 +77,7 @@ def test_against_all_pairs(spark):
 def test_tiles_and_fans(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "TILE", 8)
     monkeypatch.setattr(ngram_join, "FAN", 4)
+    monkeypatch.setattr(ngram_join, "PEERS", 5)
     rnd = random.Random(9)
     rows = list(enumerate(family(rnd, 90, 150, 18) + family(rnd, 50, 60, 9)))
     check(spark, rows)
