@@ -84,11 +84,14 @@ def heading_rank(style: Column) -> Column:
 
 
 def front_matter(content: Column) -> Column:
-    """Flat keys of a leading --- block as a map; empty without one."""
+    """Flat keys of a leading --- block as a map, empty without one; of a key that is given twice the last counts."""
     block = F.regexp_extract(content, r"^---\n((?:[^\n]*\n)*?)---(?:\n|$)", 1)
     lines = F.filter(F.split(block, "\n"), lambda x: x.rlike(r"^[A-Za-z_][\w\-]*:"))
-    entry = lambda x: F.struct(F.regexp_extract(x, r"^([^:]*):", 1), F.regexp_replace(strip(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)), r"""^["']|["']$""", ""))
-    return F.map_from_entries(F.array_distinct(F.transform(lines, entry)))
+    key = lambda x: F.regexp_extract(x, r"^([^:]*):", 1)
+    value = lambda x: F.regexp_replace(strip(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)), r"""^["']|["']$""", "")
+    keys = F.transform(lines, key)
+    last = F.filter(lines, lambda x, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), key(x)))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(key(x), value(x))))
 
 
 def body_after_front_matter(content: Column) -> Column:

@@ -100,22 +100,30 @@ def structural_score(a: Column, b: Column) -> Column:
     return 2 * (a == b).cast("int") + (heading(a) == heading(b)).cast("int") + (item(a) == item(b)).cast("int") + ((a == "QUOTE") & (b == "QUOTE")).cast("int")
 
 
+def dealt(a: DataFrame, b: DataFrame, left_key: Column, right_key: Column) -> DataFrame:
+    """Lines with one text and key, paired by their rank in place order."""
+    rank = lambda p: F.row_number().over(W.partitionBy("doc_id", "text", "key").orderBy(p))
+    a, b = (x.withColumn("key", k).where("key IS NOT NULL").withColumn("nth", rank(p)) for x, k, p in ((a, left_key, "l"), (b, right_key, "r")))
+    return a.join(b, ["doc_id", "text", "key", "nth"]).select("doc_id", "l", "r", "l_style", "r_style")
+
+
 def diff_assign(left: DataFrame, right: DataFrame, matches: DataFrame) -> DataFrame:
     """doc_id, l, r, score: one-to-one pairs of unmatched lines with the same text, best structural scores first.
 
-    Pairs are ranked by score and place. Taking every pair that is the best of both its lines, again and again until
-    none is left, gives what taking them one by one in that order would. Each round is a job with its lineage cut.
+    What taking pairs one by one by score and place would give, without a list of pairs. Equal styles score most, so lines
+    of one text and style are paired by rank. What is left of a style is on one side alone; next are other styles of
+    the same kind (headings, list items, the rest), by rank again. Last, what is left of `the rest` on one side meets
+    headings and items of the other side; these two score nothing with each other.
     """
     a, b = (unmatched(x, matches, p).where(r"text RLIKE '\\S'") for x, p in ((left, "l"), (right, "r")))
-    pairs = a.join(b, ["doc_id", "text"]).withColumn("score", structural_score(F.col("l_style"), F.col("r_style"))).where("score > 0").select("doc_id", "l", "r", "score")
-    pairs, out = pairs.checkpoint(), None
-    while not pairs.isEmpty():
-        best = F.struct(-F.col("score"), "l", "r")
-        ranked = pairs.withColumns({"bl": F.min(best).over(W.partitionBy("doc_id", "l")), "br": F.min(best).over(W.partitionBy("doc_id", "r")), "own": best})
-        won = ranked.where("own = bl AND own = br").select("doc_id", "l", "r", "score").checkpoint()
+    kind = lambda p: F.when(F.col(f"{p}_style").startswith("HEADING"), "heading").when(F.col(f"{p}_style").isin("TASK", "ITEM"), "item").otherwise("rest")
+    steps = [(F.col("l_style"), F.col("r_style")), (kind("l"), kind("r")), (F.when(kind("l") == "rest", "left").otherwise("right"), F.when(kind("r") == "rest", "right").otherwise("left"))]
+    out = None
+    for left_key, right_key in steps:
+        won = dealt(a, b, left_key, right_key).checkpoint()
+        a, b = a.join(won.select("doc_id", "l"), ["doc_id", "l"], "left_anti"), b.join(won.select("doc_id", "r"), ["doc_id", "r"], "left_anti")
         out = won if out is None else out.unionByName(won)
-        pairs = pairs.join(won.select("doc_id", "l"), ["doc_id", "l"], "left_anti").join(won.select("doc_id", "r"), ["doc_id", "r"], "left_anti").checkpoint()
-    return out if out is not None else pairs
+    return out.select("doc_id", "l", "r", structural_score(F.col("l_style"), F.col("r_style")).alias("score"))
 
 
 def style_align(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,30 +15,34 @@ from folioscope.functions.expr import anchor_target, cross_doc_fragment, cross_d
 def heading_slugs(headings: DataFrame) -> DataFrame:
     """headings with slug: repeats of a base slug get -1, -2 and so on, passing over names that another heading owns.
 
-    Documents in which a suffixed name meets another heading's base slug are folded heading by heading; all others
-    are numbered by a window.
+    Headings are numbered by a window. Documents in which a suffixed name meets another heading's name are gone through
+    heading by heading in place order, each name once, so that any document takes time in proportion to its headings.
     """
     h = headings.withColumn("base", slugify(F.col("title")))
     h = h.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "base").orderBy("j")) - 1)
     h = h.withColumn("plain", F.when(F.col("nth") == 0, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("nth").cast("string"))))
-    d = W.partitionBy("doc_id")
-    h = h.withColumn("clash", F.size(F.array_distinct(F.collect_list("plain").over(d))) < F.count("*").over(d))
-    easy = h.where("NOT clash").withColumn("slug", F.col("plain"))
-    start = F.struct(F.expr("cast(map() AS map<string,int>)").alias("uses"), F.expr("cast(array() AS array<string>)").alias("out"))
-
-    def step(s, x):
-        base, uses = x["base"], s["uses"]
-        first = ~F.map_contains_key(uses, base)
-        tries = F.sequence(F.coalesce(F.try_element_at(uses, base), F.lit(0)) + 1, F.size(uses) + F.coalesce(F.try_element_at(uses, base), F.lit(0)) + 2)
-        free = F.get(F.filter(tries, lambda n: ~F.map_contains_key(uses, F.concat(base, F.lit("-"), n.cast("string")))), F.lit(0))
-        slug = F.when(first, base).otherwise(F.concat(base, F.lit("-"), free.cast("string")))
-        counted = F.when(first, uses).otherwise(F.map_concat(F.map_filter(uses, lambda k, v: k != base), F.create_map(base, free)))
-        return F.struct(F.map_concat(counted, F.create_map(slug, F.lit(0))).alias("uses"), F.array_append(s["out"], slug).alias("out"))
-
-    rows = h.where("clash").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("j", "level", "title", "base"))).alias("hs"))
-    hard = rows.select("doc_id", F.posexplode(F.arrays_zip("hs", F.aggregate("hs", start, step, lambda s: s["out"]).alias("ss"))).alias("k", "z"))
-    hard = hard.select("doc_id", F.col("z.hs.j").alias("j"), F.col("z.hs.level").alias("level"), F.col("z.hs.title").alias("title"), F.col("z.ss").alias("slug"))
-    return easy.select("doc_id", "j", "level", "title", "slug").unionByName(hard)
+    h = h.withColumn("clash", F.max(F.count("*").over(W.partitionBy("doc_id", "plain")) > 1).over(W.partitionBy("doc_id")))
+    easy = h.where("NOT clash").select("doc_id", "j", "level", "title", F.col("plain").alias("slug"))
+    hard = h.where("clash").select("doc_id", "j", "level", "title", F.col("base").alias("slug"))
+    n = int(h.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return easy.unionByName(hard.repartition(n, "doc_id").sortWithinPartitions("doc_id", "j").mapInArrow(numbered_in_order, hard.schema))
+
+
+def numbered_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by doc_id and j, with the base slug as slug, to those with names that no earlier heading has."""
+    doc, last = None, {}  # last: highest suffix given to each name of the document
+    for batch in batches:
+        out = []
+        for d, base in zip(batch.column("doc_id").to_pylist(), batch.column("slug").to_pylist()):
+            if d != doc:
+                doc, last = d, {}
+            slug = base
+            while slug in last:
+                last[base] += 1
+                slug = f"{base}-{last[base]}"
+            last[slug] = 0
+            out.append(slug)
+        yield batch.set_column(batch.schema.get_field_index("slug"), "slug", pa.array(out, pa.string()))
 
 
 def anchors(links: DataFrame) -> DataFrame:

@@ -340,19 +340,68 @@ def duplicate_images(spark, d):
 # sections
 
 
-@query("split_sections", f"WITH {SECTIONS} SELECT doc_id, section, first_line, n_lines, title FROM sections")
+SPLIT = SECTIONS + r""",
+ ranked AS (
+   SELECT doc_id, count(*) AS n_lines, max(rank) AS deepest, coalesce(bool_or(rank = 2), false) AS split
+   FROM (SELECT doc_id, CASE WHEN NOT in_code THEN nullif(length(regexp_extract(line, '^(#{1,6}) ', 1)), 0) END AS rank FROM flagged)
+   GROUP BY doc_id),
+ stuck AS (SELECT * FROM ranked WHERE deepest IS NOT NULL AND NOT split),
+ parts AS (
+   SELECT doc_id, section, first_line, n_lines, title, text FROM sections WHERE doc_id NOT IN (SELECT doc_id FROM stuck)
+   UNION ALL
+   SELECT doc_id, 0, NULL, 0, '', '' FROM sections GROUP BY doc_id HAVING min(section) > 0)"""
+
+
+@query(
+    "split_sections",
+    f"""WITH {SPLIT}
+    SELECT doc_id, section, first_line, n_lines, title, NULL::varchar AS error FROM parts
+    UNION ALL
+    SELECT doc_id, NULL, NULL, n_lines, '', concat('no heading of level 2; the deepest is of level ', deepest) FROM stuck""",
+)
 def split_sections(spark, d):
     return long(S.split_sections(lines(spark, d), 2), "section")
 
 
-NAMES = SECTIONS + f", names AS (SELECT doc_id, section, concat(lpad(cast(section AS varchar), greatest(2, length(cast(max(section) OVER (PARTITION BY doc_id) AS varchar)))::int, '0'), '-', CASE WHEN {SLUG.format('title')} = '' THEN 'section' ELSE {SLUG.format('title')} END, '.md') AS filename, {SLUG.format('title')} AS slug, text FROM sections)"
+#: Slugs of titles, repeats numbered; no suffixed name of these titles meets another title.
+NAMES = (
+    SPLIT
+    + f""",
+ sluggish AS (SELECT *, CASE WHEN section = 0 THEN 'preamble' ELSE {SLUG.format('title')} END AS base FROM parts),
+ repeated AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section > 0, base ORDER BY section) - 1 AS nth FROM sluggish),
+ slugged AS (SELECT *, CASE WHEN nth = 0 THEN base ELSE concat(base, '-', nth) END AS slug FROM repeated),
+ names AS (
+   SELECT doc_id, section, title, slug, text,
+     concat(lpad(cast(section AS varchar), greatest(2, length(cast(max(section) OVER (PARTITION BY doc_id) AS varchar)))::int, '0'),
+       '-', CASE WHEN slug = '' THEN 'section' ELSE slug END, '.md') AS filename
+   FROM slugged)"""
+)
 
 
 def manifest(spark, d):
-    s = S.split_sections(lines(spark, d), 2).withColumn("slug", X.slugify(F.col("title")))
+    s = S.section_slugs(S.split_sections(lines(spark, d), 2))
     return s.join(S.section_files(s), ["doc_id", "section"])
 
 
+def earlier(m):
+    """The manifest before: every third section had another title, every second a slug from an older rule."""
+    title = F.when((F.col("doc_id") + F.col("section")) % 3 == 0, F.concat(F.lit("Old "), "title")).otherwise(F.col("title"))
+    slug = F.when((F.col("doc_id") + F.col("section")) % 2 == 0, F.concat("slug", F.lit("-legacy"))).otherwise(F.col("slug"))
+    return m.select("doc_id", F.concat(F.lit("h."), F.col("section").cast("string")).alias("heading_id"), title.alias("title"), slug.alias("slug"))
+
+
+@query(
+    "section_slugs",
+    f"""WITH {NAMES}
+    SELECT doc_id, section,
+      CASE WHEN section > 0 AND (doc_id + section) % 3 <> 0 AND (doc_id + section) % 2 = 0 THEN concat(slug, '-legacy') ELSE slug END AS slug
+    FROM names""",
+)
+def section_slugs(spark, d):
+    s = S.split_sections(lines(spark, d), 2).withColumn("heading_id", F.concat(F.lit("h."), F.col("section").cast("string")))
+    return S.section_slugs(s, earlier(manifest(spark, d))).select("doc_id", F.col("section").cast("long").alias("section"), "slug")
+
+
 @query("section_files", f"WITH {NAMES} SELECT doc_id, section, filename FROM names")
 def section_files(spark, d):
     return long(manifest(spark, d).select("doc_id", "section", "filename"), "section")
@@ -399,7 +448,7 @@ SECTION_SYNC = NAMES + ", t AS (SELECT doc_id, filename, sha256(CASE WHEN (doc_i
 
 @query("section_sync_action", f"WITH {SECTION_SYNC} SELECT doc_id, filename, action FROM acts")
 def section_sync_action(spark, d):
-    m = manifest(spark, d).select("doc_id", "section", "filename").join(section_texts(spark, d), ["doc_id", "section"])
+    m = manifest(spark, d).select("doc_id", "section", "filename").join(section_texts(spark, d), ["doc_id", "section"], "left").fillna("", ["text"])
     t = m.selectExpr("doc_id", "filename", "sha2(CASE WHEN (doc_id + section) % 3 = 0 THEN concat(text, 'x') ELSE text END, 256) AS sha")
     s = m.where("section % 7 <> 6").selectExpr("doc_id", "filename", "sha2(text, 256) AS base_hash", "sha2(text, 256) AS local_hash")
     lo = m.where("section % 11 <> 5").selectExpr("doc_id", "filename", "sha2(CASE WHEN (doc_id + section) % 4 = 0 THEN concat(text, 'y') ELSE text END, 256) AS sha")

@@ -1,12 +1,13 @@
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import expr as X
 from folioscope.operators import blocks as B
-from folioscope.operators import crawl, diff, links, sync, tree
+from folioscope.operators import crawl, diff, links, sections, sync, tree
 from folioscope.sources import files
 from folioscope.sources.mappings import clean_mappings, load_mappings
 
@@ -171,3 +172,79 @@ def test_merge3_query_has_every_document(spark):
             assert (r.merged, r.has_conflicts, r.conflict_count) == (z if x == y else y, False, 0)
         assert r.merged is not None and r.has_conflicts == (r.conflict_count > 0)
     assert len(kinds) == 4
+
+
+def test_front_matter_with_repeated_keys(spark):
+    df = spark.createDataFrame([("---\na: 1\nb: 2\na: 3\n---\n",)], "content string")
+    assert df.select(X.front_matter(F.col("content"))).first()[0] == {"b": "2", "a": "3"}
+
+
+def flagged_lines(spark, *docs):
+    rows = [(d, j, x, False) for d, text in enumerate(docs) for j, x in enumerate(text.split("\n"))]
+    return spark.createDataFrame(rows, "doc_id long, j int, line string, in_code boolean")
+
+
+def test_sections_of_every_kind(spark):
+    docs = flagged_lines(spark, "start\n# Intro\nfirst\n## Sub\n# Intro\nsecond", "# Intro-1\n# Intro\n# Intro", "no heading", "## Other level\ntext")
+    got = sorted(map(tuple, sections.split_sections(docs, 1).collect()), key=str)
+    assert (0, 0, 0, 1, "", None) in got and (0, 1, 1, 3, "Intro", None) in got and (0, 2, 4, 2, "Intro", None) in got
+    assert (1, 0, None, 0, "", None) in got and (2, 0, 0, 1, "", None) in got
+    assert [r for r in got if r[0] == 3] == [(3, None, None, 2, "", "no heading of level 1; the deepest is of level 2")]
+    named = sections.section_slugs(sections.split_sections(docs, 1))
+    slugs = {(r.doc_id, r.section): r.slug for r in named.collect()}
+    assert slugs == {(0, 0): "preamble", (0, 1): "intro", (0, 2): "intro-1", (1, 0): "preamble", (1, 1): "intro-1", (1, 2): "intro", (1, 3): "intro-2", (2, 0): "preamble"}
+    files = {(r.doc_id, r.section): r.filename for r in sections.section_files(named).collect()}
+    assert files[0, 0] == "00-preamble.md" and files[0, 2] == "02-intro-1.md"
+    known = spark.createDataFrame([(0, "h.1", "Intro", "intro-legacy"), (0, "h.2", "Was else", "else"), (0, "", "Intro", "no")], "doc_id long, heading_id string, title string, slug string")
+    ided = sections.split_sections(docs, 1).withColumn("heading_id", F.concat(F.lit("h."), "section"))
+    again = {(r.doc_id, r.section): r.slug for r in sections.section_slugs(ided, known).collect()}
+    assert again == slugs | {(0, 1): "intro-legacy"}
+
+
+def test_many_headings_of_one_document_are_quick(spark):
+    titles = [t for i in range(3000) for t in ("Part", f"Part-{i}", "Other")]
+    rows = spark.createDataFrame([(1, j, 2, t) for j, t in enumerate(titles)], "doc_id long, j int, level int, title string")
+    began = time.time()
+    got = [r.slug for r in links.heading_slugs(rows).orderBy("j").collect()]
+    assert time.time() - began < 15 and len(set(got)) == len(got) == 9000
+
+
+def plain_assign(left, right):
+    """Pairs of (place, style) by score, then place, one by one."""
+    def score(a, b):
+        kind = lambda s: "h" if s.startswith("HEADING") else "i" if s in ("TASK", "ITEM") else "r"
+        return 2 * (a == b) + ((kind(a) == "h") == (kind(b) == "h")) + ((kind(a) == "i") == (kind(b) == "i")) + (a == b == "QUOTE")
+
+    pairs = sorted((-score(a, b), i, j) for i, a in enumerate(left) for j, b in enumerate(right) if score(a, b))
+    used_l, used_r, out = set(), set(), set()
+    for s, i, j in pairs:
+        if i not in used_l and j not in used_r:
+            used_l.add(i), used_r.add(j), out.add((i, j, -s))
+    return out
+
+
+def test_assignment_against_one_by_one(spark):
+    rnd = random.Random(3)
+    marks = {"HEADING_1": "# ", "HEADING_2": "## ", "TASK": "- [ ] ", "ITEM": "- ", "QUOTE": "> ", "TEXT": ""}
+    docs = []
+    for _ in range(40):
+        sides = []
+        for _ in "lr":
+            some = rnd.sample(sorted(marks), rnd.randrange(1, 5))
+            sides.append([rnd.choice(some) for _ in range(rnd.randrange(12))])
+        docs.append(sides)
+    frame = lambda k: spark.createDataFrame([(d, j, marks[s] + "same") for d, x in enumerate(docs) for j, s in enumerate(x[k])], "doc_id long, j int, line string")
+    none = spark.createDataFrame([], "doc_id long, l int, r int")
+    got = {}
+    for r in diff.diff_assign(frame(0), frame(1), none).collect():
+        got.setdefault(r.doc_id, set()).add((r.l, r.r, r.score))
+    for d, (a, b) in enumerate(docs):
+        assert got.get(d, set()) == plain_assign(a, b), (a, b)
+
+
+def test_repeated_text_is_no_pair_list(spark):
+    rows = [(1, j, f"{'- ' if j % 2 else ''}same") for j in range(1800)]
+    side = spark.createDataFrame(rows, "doc_id long, j int, line string")
+    began = time.time()
+    got = diff.diff_assign(side, side, spark.createDataFrame([], "doc_id long, l int, r int"))
+    assert got.count() == 1800 and time.time() - began < 15
