@@ -92,16 +92,24 @@ def bytes_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
 
 
 class Bounded(dict):
-    """A cache that is emptied when it holds `most` entries; subclasses give `make`."""
+    """A cache that is emptied when it holds `most` entries or MOST_HELD characters; long keys are not kept. Subclasses give `make`."""
+
+    MOST_HELD, LONG_KEY = 16 << 20, 2048
 
     def __init__(self, most: int):
         super().__init__()
-        self.most = most
+        self.most, self.held = most, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        value = self.make(key)
+        size = len(key[0]) if isinstance(key, tuple) else len(key)
+        if size > self.LONG_KEY:
+            return value
+        if len(self) >= self.most or self.held + size > self.MOST_HELD:
             self.clear()
-        value = self[key] = self.make(key)
+            self.held = 0
+        self[key] = value
+        self.held += size
         return value
 
     def make(self, key):

@@ -200,7 +200,7 @@ def train(docs: DataFrame, path: str | None = None, rows_a_lang: int = ROWS_A_LA
     ids = rows.withColumn("r", F.row_number().over(near)).where(F.col("r") <= rows_a_lang).withColumn("r", F.row_number().over(far)).where(F.col("r") <= rows_a_lang)
     got = ids.select("doc_id", "lang", "h").collect()
     wanted = docs.sparkSession.createDataFrame([(r.doc_id, r.lang) for r in got], "doc_id long, lang string")
-    sample = docs.where("text is not null").select("doc_id", "lang", F.substring(F.col("text").cast("binary"), 1, BYTES_A_ROW).alias("b")).join(F.broadcast(wanted), ["doc_id", "lang"]).limit(2 * max(1, len(got))).collect()
+    sample = docs.where("text is not null").select("doc_id", "lang", F.substring(F.col("text").cast("binary"), 1, BYTES_A_ROW).alias("b")).join(F.broadcast(wanted), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("b").alias("b")).collect()  # of repeated ids one row
     langs = sorted({r.lang for r in sample})
     pieces = vocabulary(path)
     longest = min(16, max(map(len, pieces), default=1))
@@ -226,8 +226,6 @@ def predict(docs: DataFrame, model: Model, none: str = "und") -> DataFrame:
     language that sorts first. Texts are read whole; a word of any length is summed without being kept; repeated
     rows get equal results; other columns are not read. The model's size is bounded by vocabulary times languages.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     slim = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     return with_prediction(slim, model, "lang_pred", "score", none).drop("text")
 

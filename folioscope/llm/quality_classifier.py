@@ -93,8 +93,8 @@ def train(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS)
     for q in (0, 1):  # at most 2 * rows_a_class ids a class: bounded, so they may be broadcast
         part = labels.where(F.col("quality") == q).select("doc_id", "quality", F.xxhash64("doc_id").alias("h")).orderBy(*order).limit(2 * rows_a_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = id_and_text(docs).where("text is not null").join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "quality", F.substring(F.col("text").cast("binary"), 1, BYTES_A_ROW).alias("b"))
-    rows = sorted(texts.limit(4 * rows_a_class).collect(), key=lambda r: (r.quality, r.h, r.doc_id))
+    texts = id_and_text(docs).where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("h", "doc_id", "quality").agg(F.min(F.substring(F.col("text").cast("binary"), 1, BYTES_A_ROW)).alias("b"))
+    rows = sorted(texts.collect(), key=lambda r: (r.quality, r.h, r.doc_id))  # of repeated ids one row
     by = {q: [bytes(r.b) for r in rows if r.quality == q] for q in (0, 1)}
     total = sum(counts.values())
     model = Model(b"", b"", [0.0] * 3, [1.0] * 3, [0.0] * 10)
@@ -122,7 +122,7 @@ def dictionary(samples: list[bytes], most: int = DICT_BYTES) -> bytes:
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, score and predicted of every row.
 
-    Null and empty texts are scored as texts of no bytes; texts are compressed whole; repeated rows get equal
+    Equal texts have equal scores, and a score of the very threshold counts as above it. Null and empty texts are scored as texts of no bytes; texts are compressed whole; repeated rows get equal
     scores; other columns are not read. The model (two dictionaries of at most DICT_BYTES) goes with the tasks.
     """
     packed = docs.sparkSession.sparkContext.broadcast(model)

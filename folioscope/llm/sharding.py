@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import checkpointed
+from folioscope.llm.common import checkpointed, fresh_name
 
 #: Ranks are counted inside hash buckets of about so many rows, on top of each bucket's offset.
 BUCKET_ROWS = 2048
@@ -25,18 +25,17 @@ def assign_shards(rows: DataFrame, n_shards: int, stratum: str = "source", key:
 
     Every row gets a place, repeated rows too; rows alike in key and ties may swap places. A null source is a
     source of its own; null keys are ordered first. An empty table gives an empty result. Columns of rows keep
-    their names; shard and slot must not be among them. `rows` should hold few columns: it is shuffled twice.
+    their names; if shard or slot is among them, the new one gets underscores. `rows` should hold few columns: it is
+    shuffled twice. Texts play no part, so their length does not matter.
 
     No source meets in one task: a row's rank is its place in a (source, hash bucket) group plus the sizes of
     the buckets before; the second order is counted likewise in buckets of the fractional rank.
     """
-    clash = {"shard", "slot"} & {c.lower() for c in rows.columns}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are already there")
+    names = [fresh_name(rows, "shard"), fresh_name(rows, "slot")]
     total = rows.count()
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, total / BUCKET_ROWS)))))
     body = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("body")
-    h = F.xxhash64(F.lit(seed), F.col(f"`{key}`"))
+    h = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in (key, *ties)])  # null keys alone would share one hash
     name = F.col(f"`{stratum}`").cast("string")
     keyed = rows.select(body, F.when(name.isNull(), "-").otherwise(F.concat(F.lit("+"), name)).alias("s"), h.alias("h"), F.shiftrightunsigned(h, 64 - bits).alias("b"))
 
@@ -57,7 +56,7 @@ def assign_shards(rows: DataFrame, n_shards: int, stratum: str = "source", key:
     shard = F.expr(f"p * {n_shards} div {max(1, total)}")
     placed = placed.withColumn("shard", shard.cast("int"))
     start = F.expr(f"(shard * cast({total} as bigint) + {n_shards - 1}) div {n_shards}")
-    return placed.select("body.*", "shard", (F.col("p") - start).alias("slot"))
+    return placed.select("body.*", F.col("shard").alias(names[0]), (F.col("p") - start).alias(names[1]))
 
 
 def text_rows(docs: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 import math
 import random
+import struct
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import xxhash
+import zstandard
 
 from folioscope.llm import language_id, quality_classifier, quality_rules, sharding
 from folioscope.llm.queries import QUERIES
@@ -190,3 +193,86 @@ def test_more_languages_than_are_spelt_out(spark, monkeypatch):
         for i in range(49):  # each row's own language is the nearest one
             assert abs(got[i].char_distance - whole[i].char_distance) < 1e-9 or rows[i][0] != "ka"
             assert abs(got[i].word_distance - whole[i].word_distance) < 1e-9
+
+
+def long_hash(values, seed=42):
+    """Spark's xxhash64 of longs, a null leaves the hash as it is; ints are given as bytes."""
+    for v in values:
+        if v is not None:
+            seed = xxhash.xxh64(v if isinstance(v, bytes) else struct.pack("<q", v), seed=seed).intdigest()
+    return seed
+
+
+def plain_shards(rows, n, seed=20):
+    """(shard, slot) of each row (doc_id, source, size, text_crc32): sources shuffled by seed, all sorted by fractional rank, cut evenly."""
+    sources = {}
+    for i, (doc, source, size, crc) in enumerate(rows):
+        name = "-" if source is None else "+" + source
+        h = long_hash([struct.pack("<i", seed), doc, crc, size])
+        sources.setdefault(name, []).append((h, (doc is not None, doc or 0), crc, size, i))
+    order = []
+    for name, members in sources.items():
+        hashed = xxhash.xxh64(name.encode(), seed=long_hash([struct.pack("<i", seed)])).intdigest()
+        phase = (hashed % (1 << 20) + 0.5) / (1 << 20)
+        order += [((r - phase) / len(members), name, r, m[-1]) for r, m in enumerate(sorted(members), 1)]
+    out = [None] * len(rows)
+    for p, (_, _, _, i) in enumerate(sorted(order)):
+        shard = p * n // len(rows)
+        out[i] = (shard, p - (shard * len(rows) + n - 1) // n)
+    return out
+
+
+def test_sharding_against_a_plain_version(spark):
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice(["a", "b", "b", "b", "é", None]), rnd.randrange(9, 5000), rnd.randrange(1 << 32)) for i in range(3000)]
+    rows += [(None, "b", rnd.randrange(9, 5000), rnd.randrange(1 << 32)) for _ in range(400)] + [(7, "b", 10, k) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long, text_crc32 long")
+    for n in (24, 7, 5000):
+        want = sorted((str(r), *p) for r, p in zip(rows, plain_shards(rows, n)))
+        got = sharding.assign_shards(docs.repartition(5), n, ties=("text_crc32", "size")).collect()
+        assert sorted((str(tuple(r[:4])), r.shard, r.slot) for r in got) == want
+    clash = sharding.assign_shards(docs.withColumnsRenamed({"size": "Shard", "text_crc32": "slot"}), 3)
+    assert clash.columns == ["doc_id", "source", "Shard", "slot", "shard_", "slot_"] and clash.count() == len(rows)
+
+
+def test_quality_against_a_plain_version(spark):
+    """Dictionaries, sizes and curve worked out anew from the description, the curve by plain gradient steps."""
+    rnd = random.Random(13)
+    texts = [(words(rnd, "aa", rnd.randrange(5, 90)) if i % 3 else words(rnd, "bb", rnd.randrange(5, 90))) for i in range(90)]
+    texts[5], texts[6] = texts[8], "x" * 5000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0 or i == 9)) for i in range(60)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality_classifier.score(docs, quality_classifier.train(docs, labels)).collect()}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    by = {q: [texts[i].encode()[: quality_classifier.BYTES_A_ROW] for i in sorted(range(60), key=lambda i: (signed(long_hash([i])), i)) if int(i % 3 > 0 or i == 9) == q] for q in (0, 1)}
+    size = [len(by[0]), len(by[1])]
+    dictionaries = []
+    for q in (1, 0):
+        first = by[q][0::2]
+        dictionaries.append(quality_classifier.dictionary(first))
+        assert all(t[:60] in dictionaries[-1] for t in first)
+
+    def feature(t):
+        packed = []
+        for d in dictionaries:
+            z = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False, write_checksum=False)
+            packed.append(sum(len(z.compress(t[k : k + 1024])) for k in range(0, len(t), 1024)))
+        return [(packed[1] - packed[0]) / max(1, sum(packed)), packed[0] / max(1, len(t)), math.log1p(len(t))]
+
+    rest = [(feature(t), q, size[q] / 60 / len(by[q][1::2])) for q in (0, 1) for t in by[q][1::2]]
+    x, y, w = (np.array(v, float) for v in zip(*rest))
+    w = w * len(y)
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+
+    def curve(f):
+        z = (np.array(f) - mean) / scale
+        return np.array([1, *z, *[z[i] * z[j] for i in range(3) for j in range(i, 3)]])
+
+    m = np.array([curve(f) for f in x])
+    b = np.zeros(10)
+    for _ in range(60_000):
+        b -= 0.002 * (m.T @ (w * (1 / (1 + np.exp(-m @ b)) - y)) + b)
+    for i, t in enumerate(texts):
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(curve(feature(t.encode())) @ b, -30, 30)))) < 1e-3, i
+    # ties: equal texts score alike
+    assert got[5] == got[8]
