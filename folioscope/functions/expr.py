@@ -148,9 +148,40 @@ def editor_type(page: Column) -> Column:
     return F.coalesce(F.when(at("$.editor").isin("v1", "v2"), at("$.editor")), F.when(at("$.body.atlas_doc_format").isNotNull(), "v2"), F.when(at("$.body.storage").isNotNull(), "v1"), F.lit("unknown"))
 
 
-def quote_depth(indent: Column, width: Column, dash: Column) -> Column:
-    """Depth of a block quote from its left border: 18 points a level; 0 where the border is not a quote's."""
-    return F.when((width == 3) & (dash == "SOLID"), F.greatest(F.round(indent / 18).cast("int"), F.lit(1))).otherwise(0)
+#: Left border of a block quote (colour, points, dash), points of indent a level, greatest difference of a colour.
+QUOTE_COLOUR, QUOTE_WIDTH, QUOTE_DASH, QUOTE_INDENT, COLOUR_TOLERANCE = (0.494, 0.549, 0.612), 1, "SOLID", 18, 0.003
+
+
+def quote_depth(indent: Column, width: Column, dash: Column, red: Column, green: Column, blue: Column) -> Column:
+    """Depth of a block quote: its indent in levels, rounded; 0 without an indent or where the left border is not a quote's.
+
+    A colour that was stored in 8 bits comes back a little changed, so colours need only be near.
+    """
+    near = F.lit(True)
+    for own, want in zip((red, green, blue), QUOTE_COLOUR):
+        near = near & (F.abs(own - want) < COLOUR_TOLERANCE)
+    depth = F.bround(indent / QUOTE_INDENT).cast("int")
+    return F.when(near & (width == QUOTE_WIDTH) & (dash == QUOTE_DASH) & (indent > 0) & (depth > 0), depth).otherwise(0)
+
+
+def inline_code(text: Column) -> Column:
+    """A code span: ticks longer than any run inside, a space where the content's own ticks or outer spaces would be lost."""
+    runs = F.transform(F.regexp_extract_all(text, F.lit("(`+)"), F.lit(1)), F.length)
+    ticks = F.repeat(F.lit("`"), F.coalesce(F.array_max(runs), F.lit(0)) + 1)
+    pad = text.startswith("`") | text.endswith("`") | (text.startswith(" ") & text.endswith(" ") & (F.trim(text) != ""))
+    return F.when(text == "", text).otherwise(F.concat(ticks, F.when(pad, F.concat(F.lit(" "), text, F.lit(" "))).otherwise(text), ticks))
+
+
+def render_spans(spans: Column) -> Column:
+    """Markdown of an array of spans (text, monospace, bold, italic, link): code, bold, italic, link, from the inside out."""
+
+    def one(x: Column) -> Column:
+        text = F.when(x["monospace"], inline_code(x["text"])).otherwise(x["text"])
+        for mark, flag in (("**", "bold"), ("*", "italic")):
+            text = F.when(x[flag], F.concat(F.lit(mark), text, F.lit(mark))).otherwise(text)
+        return F.when(x["link"] != "", F.concat(F.lit("["), text, F.lit("]("), x["link"], F.lit(")"))).otherwise(text)
+
+    return F.array_join(F.transform(spans, one), "")
 
 
 #: SQL bodies of functions that a session can have without Python.

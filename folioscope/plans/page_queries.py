@@ -10,6 +10,7 @@ from folioscope.operators import crawl as K
 from folioscope.operators import tree as N
 from folioscope.plans import fixtures as V
 from folioscope.plans.revision_queries import BASE, LINES, LINKS, SLUG, TYPED, lines, long, typed
+from folioscope.sources import files
 from folioscope.sources.files import shared_folder
 from folioscope.streaming import stream as T
 
@@ -278,10 +279,79 @@ def comment_preview(spark, d):
     return V.conversations(spark, d).select("conv_id", "turn", X.comment_preview(F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>"))).alias("preview"))
 
 
-@query("quote_depth", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE greatest(1, doc_id % 5) END AS depth FROM documents")
+@query(
+    "quote_depth",
+    """SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR doc_id % 7 = 0 OR doc_id % 9 = 0 THEN 0 ELSE (doc_id % 50 + 9) // 18 END AS depth FROM documents""",
+)
 def quote_depth(spark, d):
+    """Widths, dashes and colours of a quote's border and of others; indents of 0 to 49 points, none of them half a level."""
     i = F.col("doc_id")
-    return long(V.documents(spark, d).select("doc_id", X.quote_depth(i % 5 * 18, F.when(i % 4 == 0, 1).otherwise(3), F.lit("SOLID")).alias("depth")), "depth")
+    width, dash = F.when(i % 4 == 0, 2).otherwise(1), F.when(i % 7 == 0, "DOT").otherwise("SOLID")
+    # 0.494 comes back from 8 bits as 126 / 255
+    red = F.when(i % 9 == 0, 0.5).when(i % 2 == 0, F.lit(126 / 255)).otherwise(F.lit(0.494))
+    indent = (i % 50).cast("double") + 0.25
+    return long(V.documents(spark, d).select("doc_id", X.quote_depth(indent, width, dash, red, F.lit(0.549), F.lit(0.612)).alias("depth")), "depth")
+
+
+@query(
+    "private_use_only",
+    r"""SELECT doc_id, doc_id % 5 IN (0, 1) AS mark FROM documents""",
+)
+def private_use_only(spark, d):
+    """Marks of private use alone, among spaces, next to a letter, none, or the document's text."""
+    i = F.col("doc_id")
+    text = F.when(i % 5 == 0, "\ue000\uf8ff").when(i % 5 == 1, " \ue123\n").when(i % 5 == 2, F.concat(F.lit("\ue000"), F.left("text", F.lit(1)), F.lit("x"))).when(i % 5 == 3, "  ").otherwise(F.concat(F.lit("a"), "text"))
+    return V.documents(spark, d).select("doc_id", X.private_use_only(text).alias("mark"))
+
+
+@query(
+    "render_spans",
+    """WITH x AS (SELECT doc_id, source AS a, lang AS b FROM documents)
+    SELECT doc_id, concat(
+      CASE WHEN doc_id % 2 = 0 THEN concat('`', a, '`') ELSE a END,
+      CASE WHEN doc_id % 3 = 0 THEN concat('`` `x`', b, ' ``') WHEN doc_id % 3 = 1 THEN concat('**', 'x`', b, '**') ELSE concat('*', 'x`', b, '*') END,
+      CASE WHEN doc_id % 5 = 0 THEN concat('[***', b, '***](u', doc_id, ')') ELSE b END) AS md
+    FROM x""",
+)
+def render_spans(spark, d):
+    """Three spans a document: perhaps code, code with a tick inside that ends in a space, bold or italic, all of bold, italic and link."""
+    i = F.col("doc_id")
+
+    def span(text, code, bold, italic, link):
+        return F.struct(text.alias("text"), code.alias("monospace"), bold.alias("bold"), italic.alias("italic"), link.alias("link"))
+
+    no, none = F.lit(False), F.lit(None).cast("string")
+    first = span(F.col("source"), i % 2 == 0, no, no, none)
+    # a tick inside makes the delimiters longer; outer spaces are kept by one more on either side
+    second = span(F.when(i % 3 == 0, F.concat(F.lit("`x`"), "lang")).otherwise(F.concat(F.lit("x`"), "lang")), i % 3 == 0, i % 3 == 1, i % 3 == 2, F.lit(""))
+    third = span(F.col("lang"), no, i % 5 == 0, i % 5 == 0, F.when(i % 5 == 0, F.concat(F.lit("u"), i.cast("string"))))
+    return V.documents(spark, d).select("doc_id", X.render_spans(F.array(first, second, third)).alias("md"))
+
+
+@query(
+    "scan_crawl_files",
+    f"""WITH {PAGES} SELECT cast(page_id AS varchar) AS id, title, space_key, 1 AS version, status, cast(parent_id AS varchar) AS parent_id, url,
+      [concat('kind', page_id % 4)] AS labels FROM meta""",
+)
+def scan_crawl_files(spark, d):
+    """Pages saved as JSON files, a folder for each space, and read back."""
+    p = V.pages(spark, d).select(F.col("page_id").cast("string").alias("id"), "title", "space_key", F.lit(1).alias("version"), "status", F.col("parent_id").cast("string").alias("parent_id"), "url", F.array(F.expr("concat('kind', page_id % 4)")).alias("labels"))
+    folder = shared_folder(spark, "crawl")
+    files.save_crawl(p, folder)
+    return files.scan_crawl(spark, folder).select("id", "title", "space_key", "version", "status", "parent_id", "url", "labels")
+
+
+@query(
+    "conflict_log_files",
+    """SELECT doc_id, source AS local, CASE doc_id % 3 WHEN 0 THEN 'both' WHEN 1 THEN 'ours' ELSE 'theirs' END AS kind, cast(doc_id % 60 AS varchar) AS at FROM documents""",
+)
+def conflict_log_files(spark, d):
+    """Conflicts appended to one log in three runs and read back."""
+    rows = V.documents(spark, d).select("doc_id", F.col("source").alias("local"), F.expr("CASE doc_id % 3 WHEN 0 THEN 'both' WHEN 1 THEN 'ours' ELSE 'theirs' END").alias("kind"), F.expr("cast(doc_id % 60 AS string)").alias("at"))
+    folder = shared_folder(spark, "conflicts")
+    for kind in ("both", "ours", "theirs"):
+        files.append_conflicts(rows.where(F.col("kind") == kind), folder)
+    return files.read_conflicts(spark, folder)
 
 
 @query("heading_rank", f"WITH {LINES} SELECT n, count(*) AS c FROM (SELECT length(regexp_extract(line, '^(#+) ', 1)) AS n FROM flagged WHERE NOT in_code AND regexp_matches(line, '^#{{1,6}} ')) GROUP BY n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.plans import page_queries, revision_queries
+from folioscope.plans import numbered_queries, page_queries, revision_queries
 
-QUERIES: dict = {**revision_queries.QUERIES, **page_queries.QUERIES}
-ORACLES: dict[str, str] = {**revision_queries.ORACLES, **page_queries.ORACLES}
+QUERIES: dict = {**revision_queries.QUERIES, **page_queries.QUERIES, **numbered_queries.QUERIES}
+ORACLES: dict[str, str] = {**revision_queries.ORACLES, **page_queries.ORACLES, **numbered_queries.ORACLES}
