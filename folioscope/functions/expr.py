@@ -184,15 +184,78 @@ def render_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, one), "")
 
 
-#: SQL bodies of functions that a session can have without Python.
+#: SQL bodies of functions that a session can have without Python; they call each other where one builds on another.
 SQL_FUNCTIONS = {
     "fs_strip": ("s string", "string", r"regexp_replace(s, '^\\s+|\\s+$', '')"),
     "fs_slugify": ("s string", "string", r"replace(regexp_replace(lower(regexp_replace(s, '^\\s+|\\s+$', '')), '[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\-_ ]', ''), ' ', '-')"),
+    "fs_anchor_target": ("href string", "string", "CASE WHEN startswith(href, '#') AND length(href) > 1 THEN try_url_decode(replace(substring(href, 2), '+', '%2B')) END"),
+    "fs_cross_doc_path": ("href string", "string", r"""CASE WHEN NOT href RLIKE '^([A-Za-z][A-Za-z0-9+.\\-]*:|/|#|\\?)' THEN nullif(regexp_extract(href, '^([^#?]*)', 1), '') END"""),
+    "fs_cross_doc_fragment": ("href string", "string", "nullif(regexp_extract(href, '#(.*)$', 1), '')"),
+    "fs_norm_path": (
+        "path string", "string",
+        r"""array_join(aggregate(split(replace(path, '\\', '/'), '/'), cast(array() AS array<string>), (o, x) -> CASE WHEN x IN ('', '.') THEN o
+          WHEN x = '..' AND size(o) > 0 AND coalesce(try_element_at(o, -1), '') <> '..' THEN slice(o, 1, greatest(size(o) - 1, 0)) ELSE array_append(o, x) END), '/')""",
+    ),
+    "fs_page_id_of_url": ("url string", "string", "CASE WHEN url RLIKE '^[0-9]+$' THEN url ELSE nullif(regexp_extract(url, '/wiki/spaces/[^/]+/pages/([0-9]+)', 1), '') END"),
+    "fs_space_of_url": ("url string", "string", "nullif(regexp_extract(url, '/wiki/spaces/([^/]+)/pages/[0-9]+', 1), '')"),
+    "fs_unwrap_redirect": ("href string", "string", r"""coalesce(try_url_decode(nullif(regexp_extract(href, '^https?://www\\.google\\.com/url\\?(?:[^#]*&)?q=([^&#]*)', 1), '')), href)"""),
     "fs_norm_page_name": ("s string", "string", r"regexp_replace(regexp_replace(lower(s), '[ \\-_]+', '-'), '[^a-z0-9_\\-]', '')"),
-    "fs_utf16_len": ("s string", "bigint", "cast(octet_length(encode(s, 'UTF-16BE')) / 2 AS bigint)"),
-    "fs_content_hash": ("s string", "string", "sha2(s, 256)"),
+    "fs_snake_key": ("k string", "string", "lower(regexp_replace(regexp_replace(replace(k, '-', '_'), '([A-Z]+)([A-Z][a-z])', '$1_$2'), '([a-z0-9])([A-Z])', '$1_$2'))"),
+    "fs_edit_distance": ("a string, b string", "int", "levenshtein(a, b)"),
     "fs_safe_filename": ("s string", "string", r"""trim(left(regexp_replace(s, '[<>:"/\\\\|?*]', '_'), 100))"""),
-}
+    "fs_content_hash": ("s string", "string", "sha2(s, 256)"),
+    "fs_utf16_len": ("s string", "bigint", "cast(octet_length(encode(s, 'UTF-16BE')) / 2 AS bigint)"),
+    "fs_private_use_only": ("s string", "boolean", r"regexp_replace(s, '^\\s+|\\s+$', '') RLIKE '^[\\uE000-\\uF8FF]+$'"),
+    "fs_heading_rank": ("style string", "int", "CASE WHEN style IN ('TITLE', 'SUBTITLE') THEN 0 ELSE try_cast(regexp_extract(style, '^HEADING_([0-9]+)$', 1) AS int) END"),
+    "fs_front_matter": (
+        "content string", "map<string, string>",
+        r"""aggregate(filter(split(regexp_extract(content, '^---\\n((?:[^\\n]*\\n)*?)---(?:\\n|$)', 1), '\\n'), x -> x RLIKE '^[A-Za-z_][\\w\\-]*:'), cast(map() AS map<string, string>), (m, x) ->
+          map_concat(map_filter(m, (k, v) -> k <> regexp_extract(x, '^([^:]*):', 1)),
+            map(regexp_extract(x, '^([^:]*):', 1), regexp_replace(regexp_replace(regexp_extract(x, '^[^:]*:(.*)$', 1), '^\\s+|\\s+$', ''), '^["\']|["\']$', ''))))""",
+    ),
+    "fs_doc_title": (
+        "meta string, content string, path string", "string",
+        r"""coalesce(nullif(meta, ''), nullif(regexp_replace(regexp_extract(content, '(?m)^# (.*)$', 1), '^\\s+|\\s+$', ''), ''), regexp_extract(path, '([^/]*?)(?:\\.[^./]*)?$', 1))""",
+    ),
+    "fs_modified_since": ("mtime timestamp, synced timestamp", "boolean", "coalesce(mtime > synced + interval 2 seconds, true)"),
+    "fs_oneway_action": (
+        "synced timestamp, file_exists boolean, doc_modified timestamp, file_modified timestamp", "string",
+        "CASE WHEN synced IS NULL THEN 'copy: first sync' WHEN NOT file_exists THEN 'copy: file is missing' WHEN doc_modified > file_modified THEN 'copy: document is newer' ELSE 'skip: file is current' END",
+    ),
+    "fs_conflict_hint": (
+        "a timestamp, b timestamp", "string",
+        """CASE WHEN abs(unix_timestamp(a) - unix_timestamp(b)) < 60 THEN 'simultaneous'
+          ELSE concat(CASE WHEN a > b THEN 'document' ELSE 'file' END, ' newer by ', cast(floor(abs(unix_timestamp(a) - unix_timestamp(b)) / 60) AS string), ' min') END""",
+    ),
+    "fs_fence_for": ("code string", "string", "repeat('`', greatest(3, 1 + coalesce(array_max(transform(regexp_extract_all(code, '(`+)', 1), x -> length(x))), 0)))"),
+    "fs_mermaid_key": ("code string", "string", "left(sha2(code, 256), 12)"),
+    "fs_macro_params": (
+        "params string", "map<string, string>",
+        r"""aggregate(filter(split(params, '\\|'), x -> contains(x, '=')), cast(map() AS map<string, string>), (m, x) ->
+          map_concat(map_filter(m, (k, v) -> k <> trim(substring_index(x, '=', 1))), map(trim(substring_index(x, '=', 1)), trim(substring(x, instr(x, '=') + 1)))))""",
+    ),
+    "fs_comment_preview": (
+        "body string", "string",
+        r"""CASE WHEN length(regexp_replace(regexp_replace(body, '<[^>]*>', ''), '^\\s+|\\s+$', '')) > 100
+          THEN concat(left(regexp_replace(regexp_replace(body, '<[^>]*>', ''), '^\\s+|\\s+$', ''), 100), '...') ELSE regexp_replace(regexp_replace(body, '<[^>]*>', ''), '^\\s+|\\s+$', '') END""",
+    ),
+    "fs_editor_type": (
+        "page string", "string",
+        """CASE WHEN get_json_object(page, '$.editor') IN ('v1', 'v2') THEN get_json_object(page, '$.editor') WHEN get_json_object(page, '$.body.atlas_doc_format') IS NOT NULL THEN 'v2'
+          WHEN get_json_object(page, '$.body.storage') IS NOT NULL THEN 'v1' ELSE 'unknown' END""",
+    ),
+    "fs_quote_depth": (
+        "indent double, width double, dash string, red double, green double, blue double", "int",
+        """CASE WHEN abs(red - 0.494) < 0.003 AND abs(green - 0.549) < 0.003 AND abs(blue - 0.612) < 0.003 AND width = 1 AND dash = 'SOLID' AND indent > 0
+          THEN cast(greatest(bround(indent / 18), 0) AS int) ELSE 0 END""",
+    ),
+    "fs_inline_code": (
+        "s string", "string",
+        """CASE WHEN s = '' THEN s ELSE concat(repeat('`', 1 + coalesce(array_max(transform(regexp_extract_all(s, '(`+)', 1), x -> length(x))), 0)),
+          CASE WHEN startswith(s, '`') OR endswith(s, '`') OR (startswith(s, ' ') AND endswith(s, ' ') AND trim(s) <> '') THEN concat(' ', s, ' ') ELSE s END,
+          repeat('`', 1 + coalesce(array_max(transform(regexp_extract_all(s, '(`+)', 1), x -> length(x))), 0))) END""",
+    ),
+}
 
 
 def register(spark: SparkSession) -> list[str]:

@@ -366,11 +366,18 @@ def editor_type(spark, d):
     return V.pages(spark, d).select("page_id", X.editor_type(body).alias("editor"))
 
 
-@query("sql_functions", f"SELECT doc_id, {SLUG.format('left(text, 40)')} AS slug, sha256(text) AS sha FROM documents")
+@query(
+    "sql_functions",
+    f"""SELECT doc_id, {SLUG.format('text')} AS slug, sha256(text) AS sha, length(text) AS units, levenshtein(source, lang) AS distance,
+      concat(source, '/b.md') AS path, concat('x ', doc_id) AS target, left(sha256(text), 12) AS short FROM documents""",
+)
 def sql_functions(spark, d):
     X.register(spark)
     V.documents(spark, d).createOrReplaceTempView("fs_documents")
-    return spark.sql("SELECT doc_id, fs_slugify(left(text, 40)) AS slug, fs_content_hash(text) AS sha FROM fs_documents")
+    return spark.sql(
+        """SELECT doc_id, fs_slugify(text) AS slug, fs_content_hash(text) AS sha, fs_utf16_len(text) AS units, cast(fs_edit_distance(source, lang) AS bigint) AS distance,
+          fs_norm_path(concat('./', source, '/a/../b.md')) AS path, fs_anchor_target(concat('#x%20', doc_id)) AS target, fs_mermaid_key(text) AS short FROM fs_documents"""
+    )
 
 
 # streams

@@ -248,3 +248,27 @@ def test_repeated_text_is_no_pair_list(spark):
     began = time.time()
     got = diff.diff_assign(side, side, spark.createDataFrame([], "doc_id long, l int, r int"))
     assert got.count() == 1800 and time.time() - began < 15
+
+
+def test_sql_functions_are_the_column_functions(spark):
+    X.register(spark)
+    texts = ["", "  Some Title (2) ", "#a%20b+c", "#", "../x/./y.md#Part-1", "https://e.org/a", "a\\\\b/../../c", "12345", "/wiki/spaces/AB/pages/77/T", "https://www.google.com/url?sa=D&q=https%3A%2F%2Fe.org%2Fx&ust=1", "fooBarHTTPServer-x", 'a<b>:"c"', "\ue000 ", "HEADING_3", "TITLE", "---\na: 1\nb: 'x'\na: 2\n---\n# Head\nbody", "```` x ``", "`t`", " s ", "k = v|w=1=2|k=3|z", "<p>" + "word " * 40 + "</p>", '{"editor":"v1"}', '{"body":{"storage":"x"}}', "{}"]
+    one = spark.createDataFrame([(t,) for t in texts], "s string")
+    s = F.col("s")
+    pairs = {
+        "strip": X.strip, "slugify": X.slugify, "anchor_target": X.anchor_target, "cross_doc_path": X.cross_doc_path, "cross_doc_fragment": X.cross_doc_fragment, "norm_path": X.norm_path, "page_id_of_url": X.page_id_of_url,
+        "space_of_url": X.space_of_url, "unwrap_redirect": X.unwrap_redirect, "norm_page_name": X.norm_page_name, "snake_key": X.snake_key, "safe_filename": X.safe_filename, "utf16_len": X.utf16_len, "private_use_only": X.private_use_only,
+        "heading_rank": X.heading_rank, "front_matter": X.front_matter, "fence_for": X.fence_for, "mermaid_key": X.mermaid_key, "macro_params": X.macro_params, "comment_preview": X.comment_preview, "editor_type": X.editor_type, "inline_code": X.inline_code,
+    }
+    row = one.select(*[f(s).alias(k) for k, f in pairs.items()], *[F.expr(f"fs_{k}(s)").alias(f"sql_{k}") for k in pairs]).collect()
+    for k in pairs:
+        assert [r[k] for r in row] == [r[f"sql_{k}"] for r in row], k
+    assert one.select(F.expr("fs_doc_title('', s, 'a/b.c.md')").alias("a"), X.doc_title(F.lit(""), s, F.lit("a/b.c.md")).alias("b")).where("a <> b").count() == 0
+    x = spark.createDataFrame([(i, v, 1.0, w, r) for i in (0.0, 9.0, 18.0, 27.0, 40.0, -18.0) for v in (1.0, 3.0) for w in ("SOLID", "DOT") for r in (0.494, 126 / 255, 0.6)], "indent double, width double, pad double, dash string, red double")
+    args = [F.col("indent"), F.col("width"), F.col("dash"), F.col("red"), F.lit(0.549), F.lit(0.612)]
+    got = x.select("*", X.quote_depth(*args).alias("a"), F.expr("fs_quote_depth(indent, width, dash, red, 0.549D, 0.612D)").alias("b")).collect()
+    assert all(r.a == r.b for r in got) and {r.a for r in got} == {0, 1, 2} and all(r.a == 0 for r in got if r.width == 3 or r.red == 0.6 or r.indent <= 9)
+    when = "timestamp'2024-01-01 00:10:00'"
+    for other in ("timestamp'2024-01-01 00:10:30'", "timestamp'2024-01-01 00:02:00'", "timestamp'2024-01-01 01:00:00'"):
+        r = spark.range(1).select(F.expr(f"fs_conflict_hint({when}, {other})"), X.conflict_hint(F.expr(when), F.expr(other)), F.expr(f"fs_modified_since({when}, {other})"), X.modified_since(F.expr(when), F.expr(other)), F.expr(f"fs_oneway_action({when}, true, {when}, {other})"), X.oneway_action(F.expr(when), F.lit(True), F.expr(when), F.expr(other))).first()
+        assert r[0] == r[1] and r[2] == r[3] and r[4] == r[5]
