@@ -8,14 +8,26 @@ from pyspark.sql import functions as F
 
 
 def page_tree(pages: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
-    """root, page_id, depth, place: descendants to a depth, in depth-first order; one join for each level."""
+    """root, page_id, depth, place: descendants to a depth, in depth-first order; one join for each level.
+
+    A page's place follows from the sizes of the trees before it: those of the earlier siblings of each page on its path.
+    So no site is ordered in one task; only the children of one page meet.
+    """
     kids = pages.select(F.col("page_id").alias("kid"), F.col("parent_id").alias("page_id"))
     level = roots.select(F.col("page_id").alias("root"), "page_id", F.lit(0).alias("depth"), F.array("page_id").alias("path"))
     out = level
     for k in range(1, max_depth + 1):
-        level = level.join(kids, "page_id").where(~F.array_contains("path", F.col("kid"))).select("root", F.col("kid").alias("page_id"), F.lit(k).alias("depth"), F.array_append("path", F.col("kid")).alias("path"))
+        level = level.join(kids, "page_id").where(~F.array_contains("path", F.col("kid"))).select("root", F.col("kid").alias("page_id"), F.lit(k).alias("depth"), F.array_append("path", F.col("kid")).alias("path")).checkpoint()
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
-    return out.select("root", "page_id", "depth", F.row_number().over(W.partitionBy("root").orderBy("path")).alias("place"))
+    on_path = out.select("root", "page_id", "depth", F.posexplode("path").alias("step", "x"))
+    sizes = on_path.groupBy("root", "x").agg(F.count("*").alias("size"))
+    nodes = out.where("depth > 0").select("root", F.col("page_id").alias("x"), F.get("path", F.col("depth") - 1).alias("parent")).join(sizes, ["root", "x"])
+    siblings = W.partitionBy("root", "parent").orderBy("x")
+    before = nodes.select("root", "x", (F.sum("size").over(siblings) - F.col("size") + 1).alias("before"))
+    placed = on_path.join(before, ["root", "x"], "left")
+    return placed.groupBy("root", "page_id", "depth").agg((F.coalesce(F.sum("before"), F.lit(0)) + 1).alias("place"))
 
 
 def page_by_title(pages: DataFrame, wanted: DataFrame) -> DataFrame:

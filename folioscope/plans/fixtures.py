@@ -9,21 +9,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The rule that turns line `line` number `i` (from 0) of a document into markdown; valid in both SQL dialects.
+#: The rule that turns line `line` number `i` (from 0) of a document into markdown; valid in both SQL dialects. No text is
+#: left out: where a mark takes a line's place, the line follows it.
 MARKDOWN = """CASE (doc_id * 7 + {i} * 13) % 20
-  WHEN 0 THEN concat('# ', left(line, 30))
-  WHEN 1 THEN concat('## Section ', cast({i} % 4 AS string))
-  WHEN 2 THEN concat('## Section ', cast({i} % 4 AS string))
-  WHEN 3 THEN concat('- [x] ', left(line, 60))
-  WHEN 4 THEN concat('- [ ] ', left(line, 60))
-  WHEN 5 THEN concat('- ', left(line, 60))
-  WHEN 6 THEN concat('See [ref](#section-', cast((doc_id + {i}) % 6 AS string), ') now')
-  WHEN 7 THEN concat('[doc](../', lang, '/', cast((doc_id * 3 + {i}) % 1000 AS string), '.md#section-1)')
-  WHEN 8 THEN concat('[[Doc ', cast((doc_id + {i}) % 500 AS string), ']]')
-  WHEN 9 THEN concat('![img](img/', cast({i} % 5 AS string), '.png)')
-  WHEN 10 THEN concat('> ', left(line, 60))
-  WHEN 11 THEN concat('```sql', chr(10), left(line, 60), chr(10), '```')
-  WHEN 12 THEN concat('| a | b |', chr(10), '|---|---|', chr(10), '| x | ', cast({i} AS string), ' |')
+  WHEN 0 THEN concat('# ', line)
+  WHEN 1 THEN concat('## Section ', cast({i} % 4 AS string), chr(10), line)
+  WHEN 2 THEN concat('## Section ', cast({i} % 4 AS string), chr(10), line)
+  WHEN 3 THEN concat('- [x] ', line)
+  WHEN 4 THEN concat('- [ ] ', line)
+  WHEN 5 THEN concat('- ', line)
+  WHEN 6 THEN concat('See [ref](#section-', cast((doc_id + {i}) % 6 AS string), ') now ', line)
+  WHEN 7 THEN concat('[doc](../', lang, '/', cast((doc_id * 3 + {i}) % 1000 AS string), '.md#section-1) ', line)
+  WHEN 8 THEN concat('[[Doc ', cast((doc_id + {i}) % 500 AS string), ']] ', line)
+  WHEN 9 THEN concat('![img](img/', cast({i} % 5 AS string), '.png)', chr(10), line)
+  WHEN 10 THEN concat('> ', line)
+  WHEN 11 THEN concat('```sql', chr(10), line, chr(10), '```')
+  WHEN 12 THEN concat('| a | b |', chr(10), '|---|---|', chr(10), '| x | ', cast({i} AS string), ' |', chr(10), chr(10), line)
   ELSE line END"""
 
 #: The rules that turn line number `i` of the base into the lines of the two revisions; {list} builds an array.

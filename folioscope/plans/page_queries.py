@@ -82,10 +82,19 @@ def scan_crawl(spark, d):
     return V.pages(spark, d).select("page_id", "title", "parent_id", "space_key", "status", "labels")
 
 
-@query("page_tree", f"WITH RECURSIVE {PAGES}, r AS (SELECT page_id AS root, page_id, 0 AS depth, [page_id] AS path FROM meta WHERE page_id % 21 = 5 UNION ALL SELECT r.root, m.page_id, r.depth + 1, list_append(r.path, m.page_id) FROM r JOIN meta m ON m.parent_id = r.page_id WHERE r.depth < 3) SELECT root, page_id, depth, row_number() OVER (PARTITION BY root ORDER BY path) AS place FROM r")
+@query(
+    "page_tree",
+    f"""WITH RECURSIVE {PAGES},
+    r AS (
+      SELECT page_id AS root, page_id, 0 AS depth, [page_id] AS path FROM meta WHERE parent_id IS NULL OR page_id < 5
+      UNION ALL
+      SELECT r.root, m.page_id, r.depth + 1, list_append(r.path, m.page_id) FROM r JOIN meta m ON m.parent_id = r.page_id WHERE r.depth < 8)
+    SELECT root, page_id, depth, row_number() OVER (PARTITION BY root ORDER BY path) AS place FROM r""",
+)
 def page_tree(spark, d):
+    """All pages below the top page, and the trees of its children."""
     p = V.pages(spark, d).select("page_id", "parent_id")
-    return long(K.page_tree(p, p.where("page_id % 21 = 5"), 3), "depth", "place")
+    return long(K.page_tree(p, p.where("parent_id IS NULL OR page_id < 5"), 8), "depth", "place")
 
 
 @query("page_by_title", f"WITH {PAGES} SELECT concat('S', x.k % 3) AS space_key, x.title, min(m.page_id) AS page_id FROM (SELECT DISTINCT title, page_id % 5 AS k FROM meta) x LEFT JOIN meta m ON m.title = x.title AND m.space_key = concat('S', x.k % 3) GROUP BY 1, 2")
@@ -118,9 +127,17 @@ def tags_and_labels(spark, d):
 KNOWN = ["click", "view", "signup", "purchase", "login"]
 
 
-@query("closest_key", "WITH k AS (SELECT DISTINCT regexp_replace(left(text, 6), '[^ -~]', '?', 'g') AS key FROM documents), x AS (SELECT key, unnest(['click', 'view', 'signup', 'purchase', 'login']) AS k, unnest([0, 1, 2, 3, 4]) AS i FROM k), r AS (SELECT key, k, levenshtein(key, k) AS d, row_number() OVER (PARTITION BY key ORDER BY levenshtein(key, k), i) AS n FROM x WHERE true) SELECT key, CASE WHEN d <= 5 THEN k END AS closest FROM r WHERE n = 1")
+@query(
+    "closest_key",
+    """WITH k AS (SELECT DISTINCT CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN concat(event_type, 's') WHEN 2 THEN reverse(event_type) ELSE concat('my ', event_type, ' key') END AS key FROM events),
+    x AS (SELECT key, unnest(['click', 'view', 'signup', 'purchase', 'login']) AS k, unnest([0, 1, 2, 3, 4]) AS i FROM k),
+    r AS (SELECT key, k, levenshtein(key, k) AS d, row_number() OVER (PARTITION BY key ORDER BY levenshtein(key, k), i) AS n FROM x)
+    SELECT key, CASE WHEN d <= 5 THEN k END AS closest FROM r WHERE n = 1""",
+)
 def closest_key(spark, d):
-    return K.closest_key(V.documents(spark, d).select(F.regexp_replace(F.left("text", F.lit(6)), "[^ -~]", "?").alias("key")), KNOWN)
+    """Event types as they are, and mistyped in three ways."""
+    key = F.expr("CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN concat(event_type, 's') WHEN 2 THEN reverse(event_type) ELSE concat('my ', event_type, ' key') END")
+    return K.closest_key(spark.read.parquet(f"{d}/events.parquet").select(key.alias("key")), KNOWN)
 
 
 @query("scan_images", "SELECT CASE page_id % 6 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/gif' WHEN 3 THEN 'image/bmp' WHEN 4 THEN 'image/svg+xml' END AS kind, count(*) AS n FROM pages GROUP BY 1")
@@ -149,9 +166,9 @@ def clean_html(spark, d):
     return V.pages(spark, d).select("page_id", B.clean_html(F.col("html")).alias("text"))
 
 
-@query("conflict_log", f"WITH {BASE} SELECT doc_id, lang, length(content) AS n FROM base WHERE doc_id % 3 = 0")
+@query("conflict_log", f"WITH {BASE} SELECT doc_id, lang, length(content) AS n FROM base")
 def conflict_log(spark, d):
-    rows = V.base(spark, d).where("doc_id % 3 = 0").select(F.to_json(F.struct("doc_id", "lang", F.length("content").cast("long").alias("n"))).alias("line"))
+    rows = V.base(spark, d).select(F.to_json(F.struct("doc_id", "lang", F.length("content").cast("long").alias("n"))).alias("line"))
     return rows.select(F.from_json("line", "doc_id long, lang string, n long").alias("x")).select("x.*")
 
 
@@ -199,9 +216,9 @@ def snake_key(spark, d):
     return e.select("event_type", X.snake_key(F.concat(F.lit("my-"), F.initcap("event_type"), F.lit("HTTPKey"))).alias("key"))
 
 
-@query("edit_distance", "SELECT doc_id, levenshtein(left(text, 20), source) AS d FROM documents WHERE regexp_matches(left(text, 20), '^[ -~\\n]*$')")
+@query("edit_distance", "SELECT p_partkey, levenshtein(p_name, p_type) AS d FROM part")
 def edit_distance(spark, d):
-    return long(V.documents(spark, d).where(F.left("text", F.lit(20)).rlike(r"^[ -~\n]*$")).select("doc_id", F.levenshtein(F.left("text", F.lit(20)), F.col("source")).alias("d")), "d")
+    return long(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.levenshtein("p_name", "p_type").alias("d")), "d")
 
 
 @query("safe_filename", """SELECT page_id, trim(left(regexp_replace(url, '[<>:"/\\\\|?*]', '_', 'g'), 100)) AS name FROM pages""")

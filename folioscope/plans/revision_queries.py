@@ -250,9 +250,9 @@ def blocks_to_nodes_json(spark, d):
     return B.blocks_to_nodes_json(typed(spark, d))
 
 
-@query("drop_title_heading", f"WITH {BLOCKS}, f AS (SELECT doc_id, min(pos) AS pos FROM blocks WHERE text LIKE '# %' GROUP BY doc_id), h AS (SELECT f.doc_id, f.pos FROM f JOIN blocks b ON b.doc_id = f.doc_id AND b.pos = f.pos JOIN documents t ON t.doc_id = f.doc_id WHERE regexp_replace(regexp_extract(b.text, '^# (.*)', 1), '^\\s+|\\s+$', '', 'g') = regexp_replace(left(string_split(t.text, chr(10))[1], 30), '^\\s+|\\s+$', '', 'g')) SELECT doc_id, count(*) AS n FROM blocks WHERE (doc_id, pos) NOT IN (SELECT (doc_id, pos) FROM h) GROUP BY doc_id")
+@query("drop_title_heading", f"WITH {BLOCKS}, f AS (SELECT doc_id, min(pos) AS pos FROM blocks WHERE text LIKE '# %' GROUP BY doc_id), h AS (SELECT f.doc_id, f.pos FROM f JOIN blocks b ON b.doc_id = f.doc_id AND b.pos = f.pos JOIN documents t ON t.doc_id = f.doc_id WHERE regexp_replace(regexp_extract(b.text, '^# (.*)', 1), '^\\s+|\\s+$', '', 'g') = regexp_replace(string_split(t.text, chr(10))[1], '^\\s+|\\s+$', '', 'g')) SELECT doc_id, count(*) AS n FROM blocks WHERE (doc_id, pos) NOT IN (SELECT (doc_id, pos) FROM h) GROUP BY doc_id")
 def drop_title_heading(spark, d):
-    titles = V.documents(spark, d).select("doc_id", X.strip(F.left(F.get(F.split("text", "\n"), F.lit(0)), F.lit(30))).alias("title"))
+    titles = V.documents(spark, d).select("doc_id", X.strip(F.get(F.split("text", "\n"), F.lit(0))).alias("title"))
     return B.drop_title_heading(B.split_blocks(lines(spark, d)), titles).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
