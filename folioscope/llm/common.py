@@ -48,7 +48,19 @@ def checkpointed(df: DataFrame, lasting: bool = False) -> DataFrame:
     top = _open[-1] if _open and not lasting else shared_dir(spark)
     path = f"{top}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Removes a table of checkpointed() that nothing will read again."""
+    remove(table.sparkSession, table.table_path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager
@@ -65,8 +77,7 @@ def tidy(spark: SparkSession) -> Iterator[str]:
         yield _open[-1]
     finally:
         spark.conf.set(key, before)
-        path = spark._jvm.org.apache.hadoop.fs.Path(_open.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, _open.pop())
 
 
 def fresh_name(df: DataFrame, name: str) -> str:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import checkpointed, fresh_name, tidy
+from folioscope.llm.common import checkpointed, discard, fresh_name, tidy
 
 WIDTH, NUM, DEN = 4, 85, 100
 #: At most so many n-grams are ordered last; a batch reports those that LOCAL of its documents hold.
@@ -605,12 +605,16 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int
 
 
 def _similar_groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    sig = checkpointed(signatures(docs, width, num, den))
+    wide = checkpointed(signatures(docs, width, num, den))
+    sig = checkpointed(wide.select("doc_id", "n", "node"))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")).alias("one")
-    nodes = sig.where("node is not null").groupBy("node").agg(one, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("rough").alias("rough"))
-    nodes = checkpointed(nodes.select("node", "one.doc_id", "one.key", "n", "prefix", "sketch", "rough"))
+    nodes = wide.where("node is not null").groupBy("node").agg(one, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("rough").alias("rough"))
+    prefixes = checkpointed(nodes.select("node", "one.doc_id", "one.key", "n", "prefix", "sketch", "rough"))
+    discard(wide)  # each table goes as soon as a smaller one has what is read later
 
-    members = checkpointed(block_members(nodes))
+    members = checkpointed(block_members(prefixes))
+    nodes = checkpointed(prefixes.drop("prefix"))
+    discard(prefixes)
     leads = members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     leads = checkpointed(near_pairs(leads, nodes, num, den))
     links = checkpointed(verified(nearest(leads), docs, nodes, width, num, den))
