@@ -23,10 +23,20 @@ def bucket_comments(comments: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def comments_at_risk(changes: DataFrame, comments: DataFrame) -> DataFrame:
-    """Removed or changed lines that hold the quote of an open comment: doc_id, j, kind, comment_ids."""
-    q = open_comments(comments).where("trim(quote) <> ''").select("doc_id", "comment_id", F.trim("quote").alias("quote"))
-    hit = changes.where("kind IN ('remove', 'change')").join(q, "doc_id").where("instr(old, quote) > 0")
-    return hit.groupBy("doc_id", "j", "kind").agg(F.array_join(F.transform(F.sort_array(F.collect_set("comment_id")), lambda x: x.cast("string")), ",").alias("comment_ids"))
+    """doc_id, j, kind, reasons, comment_ids of removed or changed lines that are risky to write over, one row each.
+
+    Reasons, joined in this order: comment (the old text holds the quote of an open comment; all such comments are named),
+    native_glyph (the line is a native check box), style_upgrade (the old text is the new one behind a literal quote
+    mark). changes has doc_id, j, kind, old, new and native.
+    """
+    risky = changes.where("kind IN ('remove', 'change')")
+    q = open_comments(comments).where("quote <> ''").select("doc_id", "comment_id", "quote")
+    hit = risky.select("doc_id", "j", "old").join(q, "doc_id").where("instr(old, quote) > 0")
+    ids = hit.groupBy("doc_id", "j").agg(F.array_join(F.transform(F.sort_array(F.collect_set("comment_id")), lambda x: x.cast("string")), ",").alias("comment_ids"))
+    x = risky.join(ids, ["doc_id", "j"], "left")
+    upgrade = F.col("old").startswith("> ") & (F.substring("old", 3, 1 << 30) == F.coalesce("new", F.lit("")))
+    reasons = F.array_compact(F.array(F.when(F.col("comment_ids").isNotNull(), "comment"), F.when(F.col("native"), "native_glyph"), F.when(upgrade, "style_upgrade")))
+    return x.where(F.size(reasons) > 0).select("doc_id", "j", "kind", F.array_join(reasons, ",").alias("reasons"), F.coalesce("comment_ids", F.lit("")).alias("comment_ids"))
 
 
 def comment_digest(comments: DataFrame, replies: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioscope.operators import comments as C
 from folioscope.operators import diff as D
 from folioscope.plans import fixtures as V
 
@@ -112,3 +113,47 @@ def diff_summary_numbered(spark, d):
 )
 def merge3_numbered(spark, d):
     return D.merge3(numbered(spark, d), numbered(spark, d, V.OURS), numbered(spark, d, V.THEIRS)).withColumn("conflict_count", F.col("conflict_count").cast("long"))
+
+
+#: Lines that were removed, changed or kept; quote marks taken off or not; native check boxes; comments that quote one word.
+RISKS = """
+ split AS (SELECT doc_id, string_split(text, chr(10)) AS ls, string_split(text, ' ') AS ws FROM documents),
+ lines AS (SELECT doc_id, i AS j, ls[i + 1] AS line FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM split)),
+ changes AS (
+   SELECT doc_id, j, CASE (doc_id + j) % 4 WHEN 0 THEN 'remove' WHEN 1 THEN 'unchanged' ELSE 'change' END AS kind,
+     CASE WHEN j % 3 = 0 THEN concat('> ', line) ELSE line END AS old,
+     CASE WHEN (doc_id + j) % 4 = 0 THEN NULL WHEN (doc_id + j) % 4 = 2 THEN line ELSE concat(line, '.') END AS new,
+     (doc_id + j) % 5 = 0 AS native
+   FROM lines),
+ quoting AS (
+   SELECT c.conv_id AS comment_id, s.doc_id, c.conv_id % 4 = 3 AS resolved, s.ws[1 + c.conv_id % len(s.ws)] AS quote
+   FROM conversations c JOIN split s ON s.doc_id = c.conv_id // 2 WHERE c.turn = 0)"""
+
+
+@query(
+    "comments_at_risk_rules",
+    f"""WITH {RISKS},
+ ids AS (
+   SELECT x.doc_id, x.j, string_agg(DISTINCT cast(q.comment_id AS varchar), ',' ORDER BY cast(q.comment_id AS varchar)) AS ids
+   FROM changes x JOIN quoting q ON q.doc_id = x.doc_id AND NOT q.resolved AND q.quote <> '' AND contains(x.old, q.quote)
+   GROUP BY x.doc_id, x.j),
+ judged AS (
+   SELECT x.*, ids.ids, starts_with(old, '> ') AND substr(old, 3) = coalesce(new, '') AS upgrade
+   FROM changes x LEFT JOIN ids ON ids.doc_id = x.doc_id AND ids.j = x.j WHERE kind <> 'unchanged')
+ SELECT doc_id, j, kind, concat_ws(',', CASE WHEN ids IS NOT NULL THEN 'comment' END, CASE WHEN native THEN 'native_glyph' END, CASE WHEN upgrade THEN 'style_upgrade' END) AS reasons,
+   coalesce(list_aggregate(list_sort(list_transform(string_split(ids, ','), lambda x: x::bigint)), 'string_agg', ','), '') AS comment_ids
+ FROM judged WHERE ids IS NOT NULL OR native OR upgrade""",
+)
+def comments_at_risk_rules(spark, d):
+    """Every line of every document by rule, so that all reasons and their combinations come up."""
+    x = V.documents(spark, d).select("doc_id", F.posexplode(F.split("text", "\\n", -1)).alias("j", "line"))
+    changes = x.selectExpr(
+        "doc_id", "cast(j AS bigint) AS j", "CASE (doc_id + j) % 4 WHEN 0 THEN 'remove' WHEN 1 THEN 'unchanged' ELSE 'change' END AS kind",
+        "CASE WHEN j % 3 = 0 THEN concat('> ', line) ELSE line END AS old",
+        "CASE WHEN (doc_id + j) % 4 = 0 THEN NULL WHEN (doc_id + j) % 4 = 2 THEN line ELSE concat(line, '.') END AS new",
+        "(doc_id + j) % 5 = 0 AS native",
+    )
+    first = V.conversations(spark, d).where("turn = 0").selectExpr("conv_id AS comment_id", "conv_id div 2 AS doc_id", "conv_id % 4 = 3 AS resolved")
+    words = V.documents(spark, d).select("doc_id", F.split("text", " ", -1).alias("ws"))
+    quoting = first.join(words, "doc_id").selectExpr("comment_id", "doc_id", "resolved", "get(ws, cast(comment_id % size(ws) AS int)) AS quote")
+    return C.comments_at_risk(changes, quoting)

@@ -541,7 +541,8 @@ def coalesce_runs(spark, d):
 
 @query("comments_at_risk")
 def comments_at_risk(spark, d):
-    x = ops(spark, d).where("kind <> 'unchanged'").select("doc_id", F.col("l").alias("j"), "kind", "old")
+    native = F.col("old").rlike(r"^- \[[ xX]\] ")
+    x = ops(spark, d).where("kind <> 'unchanged'").select("doc_id", F.col("l").alias("j"), "kind", "old", "new", native.alias("native"))
     return C.comments_at_risk(x, V.comments(spark, d))
 
 
