@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.sources.tables import kept
+
 
 def page_tree(pages: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     """root, page_id, depth, place: descendants to a depth, in depth-first order; one join for each level.
@@ -17,7 +19,8 @@ def page_tree(pages: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     level = roots.select(F.col("page_id").alias("root"), "page_id", F.lit(0).alias("depth"), F.array("page_id").alias("path"))
     out = level
     for k in range(1, max_depth + 1):
-        level = level.join(kids, "page_id").where(~F.array_contains("path", F.col("kid"))).select("root", F.col("kid").alias("page_id"), F.lit(k).alias("depth"), F.array_append("path", F.col("kid")).alias("path")).checkpoint()
+        level = level.join(kids, "page_id").where(~F.array_contains("path", F.col("kid"))).select("root", F.col("kid").alias("page_id"), F.lit(k).alias("depth"), F.array_append("path", F.col("kid")).alias("path"))
+        level = kept(level)
         if level.isEmpty():
             break
         out = out.unionByName(level)

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.sources.tables import kept
+
 
 def increasing(pairs: DataFrame, group: list[str]) -> DataFrame:
     """The longest increasing run of (l, r) pairs in each group.
@@ -56,7 +58,8 @@ def diff_align(left: DataFrame, right: DataFrame) -> DataFrame:
     keyed = lambda x, n: x.select("doc_id", F.col("j").cast("int").alias(n), F.xxhash64("line").alias("h"), "line")
     a, b = keyed(left, "l"), keyed(right, "r")
     once = lambda x, n: x.groupBy("doc_id", "h", "line").agg(F.min(n).alias(n), F.count("*").alias("c")).where("c = 1").drop("c")
-    anchor = increasing(once(a, "l").join(once(b, "r"), ["doc_id", "h", "line"]).select("doc_id", "l", "r"), ["doc_id"])
+    anchor = kept(increasing(once(a, "l").join(once(b, "r"), ["doc_id", "h", "line"]).select("doc_id", "l", "r"), ["doc_id"]))
+
     def gaps(x: DataFrame, n: str) -> DataFrame:
         marks = x.join(anchor.select("doc_id", n, F.lit(1).alias("is_anchor")), ["doc_id", n], "left")
         return marks.withColumn("gap", F.sum(F.coalesce("is_anchor", F.lit(0))).over(W.partitionBy("doc_id").orderBy(n))).where("is_anchor IS NULL").drop("is_anchor")
@@ -120,7 +123,7 @@ def diff_assign(left: DataFrame, right: DataFrame, matches: DataFrame) -> DataFr
     steps = [(F.col("l_style"), F.col("r_style")), (kind("l"), kind("r")), (F.when(kind("l") == "rest", "left").otherwise("right"), F.when(kind("r") == "rest", "right").otherwise("left"))]
     out = None
     for left_key, right_key in steps:
-        won = dealt(a, b, left_key, right_key).checkpoint()
+        won = kept(dealt(a, b, left_key, right_key))
         a, b = a.join(won.select("doc_id", "l"), ["doc_id", "l"], "left_anti"), b.join(won.select("doc_id", "r"), ["doc_id", "r"], "left_anti")
         out = won if out is None else out.unionByName(won)
     return out.select("doc_id", "l", "r", structural_score(F.col("l_style"), F.col("r_style")).alias("score"))
@@ -136,7 +139,7 @@ def style_align(left: DataFrame, right: DataFrame) -> DataFrame:
 def opcodes(left: DataFrame, right: DataFrame, matches: DataFrame) -> DataFrame:
     """doc_id, kind, j (place), old, new, edit: unmatched lines between two matches form one edit; they pair up by
     position as change, what is left over is remove or add. Matched lines are unchanged."""
-    m = matches.withColumn("e", F.row_number().over(W.partitionBy("doc_id").orderBy("l")))
+    m = kept(matches.withColumn("e", F.row_number().over(W.partitionBy("doc_id").orderBy("l"))))
 
     def side(x: DataFrame, n: str, text: str) -> DataFrame:
         y = x.select("doc_id", F.col("j").cast("int").alias(n), F.col("line").alias(text)).join(m.select("doc_id", n, "e"), ["doc_id", n], "left")
@@ -186,7 +189,7 @@ def merge3(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """
     o = diff_align(base, ours).withColumnRenamed("r", "o")
     t = diff_align(base, theirs).withColumnRenamed("r", "t")
-    stable = o.join(t, ["doc_id", "l"]).withColumn("region", F.row_number().over(W.partitionBy("doc_id").orderBy("l")))
+    stable = kept(o.join(t, ["doc_id", "l"]).withColumn("region", F.row_number().over(W.partitionBy("doc_id").orderBy("l"))))
 
     def texts(x: DataFrame, place: str, name: str) -> DataFrame:
         s = stable.select("doc_id", F.col(place).alias("j"), "region")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.operators import comments as C
 from folioscope.operators import diff as D
 from folioscope.plans import fixtures as V
+from folioscope.sources.tables import kept
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -48,7 +49,7 @@ def numbered(spark, d, rule: str | None = None):
 
 
 def ops(spark, d):
-    a, b = numbered(spark, d), numbered(spark, d, V.OURS)
+    a, b = kept(numbered(spark, d)), kept(numbered(spark, d, V.OURS))
     return D.opcodes(a, b, D.diff_align(a, b))
 
 

@@ -15,6 +15,7 @@ from folioscope.operators import links as L
 from folioscope.operators import sections as S
 from folioscope.operators import sync as Y
 from folioscope.plans import fixtures as V
+from folioscope.sources.tables import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -503,7 +504,7 @@ def changed_lines(spark, d, left, right):
     a, b = left(spark, d).select("doc_id", "content"), right(spark, d).select("doc_id", "content")
     differ = a.select("doc_id", F.xxhash64("content").alias("x")).join(b.select("doc_id", F.xxhash64("content").alias("y")), "doc_id").where("x <> y").select("doc_id")
     split = lambda x: x.join(differ, "doc_id").select("doc_id", F.posexplode(F.split("content", "\n", -1)).alias("j", "line"))
-    return split(a), split(b)
+    return kept(split(a)), kept(split(b))
 
 
 def ops(spark, d):
@@ -568,7 +569,7 @@ def merge3(spark, d):
     whole = lambda x, n: x.join(taken.where(F.col("take") == n), "doc_id").select("doc_id", F.col(n).alias("merged"), F.lit(False).alias("has_conflicts"), F.lit(0).cast("long").alias("conflict_count"))
     both = taken.where("take IS NULL").select("doc_id")
     split = lambda x, n: x.join(both, "doc_id").select("doc_id", F.posexplode(F.split(n, "\n", -1)).alias("j", "line"))
-    merged = D.merge3(split(b, "b"), split(o, "o"), split(t, "t"))
+    merged = D.merge3(*(kept(split(x, n)) for x, n in ((b, "b"), (o, "o"), (t, "t"))))
     return merged.unionByName(whole(o, "o")).unionByName(whole(t, "t"))
 
 
@@ -615,9 +616,7 @@ def diff_repair(spark, d):
 
 @query("diff_assign")
 def diff_assign(spark, d):
-    from folioscope.sources.files import ensure_checkpoints
 
-    ensure_checkpoints(spark)
     a, b = restyled_sides(spark, d)
     return D.diff_assign(a, b, D.diff_align(a, b))
 

@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators.crawl import LARGEST_IMAGE, image_type
+from folioscope.sources.tables import shared_folder  # noqa: F401
 
 PAGE = "id string, title string, space_key string, version int, status string, created_date string, modified_date string, creator string, last_modifier string, parent_id string, url string, labels array<string>"
 CONFLICT = "doc_id long, local string, kind string, at string"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="folioscope-")
-    return f"{top}/{name}-{uuid.uuid4().hex}"
-
-
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """A place for checkpoints: spark.checkpoint.dir if it is set, else a local one (tests)."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
-
-
 def is_folder(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
