@@ -216,8 +216,14 @@ def conflict_counts(contents: DataFrame) -> DataFrame:
 
 
 def text_similarity(left: DataFrame, right: DataFrame) -> DataFrame:
-    """doc_id, bag_ratio: twice the shared words over all words of two texts, words counted as often as they come."""
+    """doc_id, bag_ratio, severity: twice the shared words over all words of two texts, words counted as often as they come.
+
+    Documents of either side have a row; a null or missing text has no words, and two sides without words are alike. Below
+    0.95 the severity is medium, below 0.8 high, else null.
+    """
     words = lambda x, n: x.select("doc_id", F.explode(F.filter(F.split("content", r"\s+"), lambda w: w != "")).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias(n))
     both = words(left, "a").join(words(right, "b"), ["doc_id", "w"], "full")
     s = both.groupBy("doc_id").agg(F.sum(F.least(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0)))).alias("both"), F.sum(F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0))).alias("all"))
-    return s.select("doc_id", F.round(2 * F.col("both") / F.col("all"), 6).alias("bag_ratio"))
+    docs = left.select("doc_id").unionByName(right.select("doc_id")).distinct()
+    r = docs.join(s, "doc_id", "left").select("doc_id", F.round(F.coalesce(2 * F.col("both") / F.col("all"), F.lit(1.0)), 6).alias("bag_ratio"))
+    return r.withColumn("severity", F.when(F.col("bag_ratio") < 0.8, "high").when(F.col("bag_ratio") < 0.95, "medium"))

@@ -552,9 +552,30 @@ def diff_guard(spark, d):
     return D.diff_guard(B.lines(V.base(spark, d)), B.lines(V.ours(spark, d)))
 
 
-@query("text_similarity", f"WITH {OURS}, a AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(content, '\\s+')) AS w FROM base) WHERE w <> '' GROUP BY ALL), b AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(content, '\\s+')) AS w FROM ours) WHERE w <> '' GROUP BY ALL) SELECT doc_id, round(2 * sum(least(coalesce(a.n, 0), coalesce(b.n, 0)))::double / sum(coalesce(a.n, 0) + coalesce(b.n, 0))::double, 6) AS bag_ratio FROM a FULL JOIN b USING (doc_id, w) GROUP BY doc_id")
+#: Ours, but an eleventh of the documents is half rewritten, another lost its text on both sides.
+REWRITTEN = """
+ left_side AS (SELECT doc_id, CASE WHEN doc_id % 11 = 5 THEN ' ' ELSE content END AS content FROM base),
+ right_side AS (
+   SELECT doc_id, CASE WHEN doc_id % 11 = 5 THEN NULL WHEN doc_id % 11 = 6 THEN concat(content, ' ', upper(content)) WHEN doc_id % 11 = 7 THEN '' ELSE content END AS content
+   FROM ours)"""
+
+
+@query(
+    "text_similarity",
+    f"""WITH {OURS}, {REWRITTEN},
+    a AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(content, '\\s+')) AS w FROM left_side) WHERE w <> '' GROUP BY ALL),
+    b AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(content, '\\s+')) AS w FROM right_side) WHERE w <> '' GROUP BY ALL),
+    s AS (
+      SELECT doc_id, 2 * sum(least(coalesce(a.n, 0), coalesce(b.n, 0)))::double / sum(coalesce(a.n, 0) + coalesce(b.n, 0))::double AS r
+      FROM a FULL JOIN b USING (doc_id, w) GROUP BY doc_id),
+    t AS (SELECT base.doc_id, round(coalesce(s.r, 1.0), 6) AS bag_ratio FROM base LEFT JOIN s USING (doc_id))
+    SELECT doc_id, bag_ratio, CASE WHEN bag_ratio < 0.8 THEN 'high' WHEN bag_ratio < 0.95 THEN 'medium' END AS severity FROM t""",
+)
 def text_similarity(spark, d):
-    return D.text_similarity(V.base(spark, d), V.ours(spark, d))
+    i, text = F.col("doc_id") % 11, F.col("content")
+    left = V.base(spark, d).select("doc_id", F.when(i == 5, " ").otherwise(text).alias("content"))
+    right = V.ours(spark, d).select("doc_id", F.when(i == 5, F.lit(None)).when(i == 6, F.concat(text, F.lit(" "), F.upper(text))).when(i == 7, "").otherwise(text).alias("content"))
+    return D.text_similarity(left, right)
 
 
 @query("merge3")
