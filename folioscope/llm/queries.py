@@ -1,4 +1,4 @@
-"""The queries of the ten operators over their whole tables, and their SQL."""
+"""The queries of the training-data operators over their whole tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.bpe_codec import encode_decode
 from folioscope.llm.common import table
 from folioscope.llm.packing import pack
-from folioscope.llm import html_extract, language_id, license_scan, media, ngram_join, quality_classifier, quality_rules, sharding
+from folioscope.llm import html_extract, language_id, license_scan, media, ngram_join, periodic_runs, quality_classifier, quality_rules, sharding
 from folioscope.llm.quality_classifier import held_out
 
 
@@ -64,6 +64,30 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text: a tenth of the documents, by a hash of the id, repeats a stretch of its words to the end."""
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.when(h % 10 == 0, words).alias("w"), F.floor(h / 10).cast("long").alias("g"))
+    docs = docs.withColumn("n", F.size("w").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    docs = docs.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    repeated = F.array_join(F.expr("transform(w, (x, i) -> CASE WHEN i < a THEN x ELSE get(w, cast(a + (i - a) % p AS int)) END)"), " ")
+    return docs.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    none = F.lit(None).cast("struct<start: long, length: long, period: long>")
+    better = lambda s, r: s.isNull() | (r["length"] * s["period"] > s["length"] * r["period"])
+    found = found.withColumn("best", F.aggregate("runs", none, lambda s, r: F.when(better(s, r), r).otherwise(s)))
+    rows = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    ended = F.when(F.size("runs") > 0, F.concat(rows, F.lit("\n"))).otherwise("")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(ended.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_language_id": op2_language_id,
@@ -75,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_packing": op9_packing,
     "op10_bpe_codec": op10_bpe_codec,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {}
