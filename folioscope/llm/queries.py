@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.bpe_codec import encode_decode
 from folioscope.llm.common import table
 from folioscope.llm.packing import pack
-from folioscope.llm import html_extract, language_id, license_scan, media, ngram_join, periodic_runs, quality_classifier, quality_rules, sharding
+from folioscope.llm import conversation_trie, html_extract, language_id, license_scan, media, ngram_join, periodic_runs, quality_classifier, quality_rules, sharding, substring_dedup
 from folioscope.llm.quality_classifier import held_out
 
 
@@ -64,6 +64,15 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """doc_id, text: a tenth of the documents, by a hash of the id, repeats a stretch of its words to the end."""
     words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
@@ -99,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_packing": op9_packing,
     "op10_bpe_codec": op10_bpe_codec,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
