@@ -6,6 +6,10 @@ together.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,27 +44,36 @@ def block_type(text: Column, rules: list[tuple[str, str]] = BLOCK_RULES) -> Colu
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, j, line, in_code of every line; a fence's own lines are in the code, an unclosed fence runs to the end.
 
-    A fence ends with a line of the same character and length. Where every fence is the plain one of three
-    backticks, a line is in code if an odd number of fences came before; other documents are folded line by line.
+    A fence ends with a line of the same character and length. A null content is an empty one: one empty line. Where every fence is
+    the plain one of three backticks, the content is cut in front of each fence, and every second part is code; other
+    documents are gone through line by line. Both take time in proportion to the lines, and nothing is shuffled.
     """
-    ls = F.col("ls")
-    mark = lambda x: F.regexp_extract(x, r"^(`{3,}|~{3,})", 1)
-    at = F.filter(F.transform(ls, lambda x, i: F.when(x.startswith("```"), i).otherwise(-1)), lambda i: i >= 0)
-    before = lambda i: F.size(F.filter(F.col("at"), lambda p: p < i))
-    plain = F.transform(ls, lambda x, i: ((before(i) % 2) == 1) | x.startswith("```"))
-    start = F.struct(F.lit("").alias("open"), F.array().cast("array<boolean>").alias("flags"))
-
-    def step(s: Column, x: Column) -> Column:
-        m = mark(x)
-        closes = (s["open"] != "") & (m == s["open"])
-        opens = (s["open"] == "") & (m != "")
-        return F.struct(F.when(closes, "").when(opens, m).otherwise(s["open"]).alias("open"), F.array_append(s["flags"], (s["open"] != "") | opens).alias("flags"))
-
-    odd = F.exists(ls, lambda x: x.rlike(r"^(`{4,}|~{3,})"))
-    df = docs.select("doc_id", F.split("content", "\n", -1).alias("ls")).withColumn("at", at)
-    flags = F.when(F.size("at") == 0, F.transform(ls, lambda x: x.startswith("~~~"))).otherwise(plain)
-    df = df.select("doc_id", "ls", F.when(odd, F.aggregate(ls, start, step, lambda s: s["flags"])).otherwise(flags).alias("flags"))
-    return df.select("doc_id", F.posexplode(F.arrays_zip("ls", "flags")).alias("j", "z")).select("doc_id", "j", F.col("z.ls").alias("line"), F.coalesce("z.flags", F.lit(False)).alias("in_code"))
+    docs = docs.select("doc_id", F.coalesce("content", F.lit("")).alias("content"))
+    odd = F.col("content").rlike(r"(?m)^(`{4,}|~{3,})")
+    parts = F.split(F.concat(F.lit("\n"), "content"), r"\n(?=```)", -1)
+    flagged = F.transform(parts, lambda p, k: F.transform(F.split(p, "\n", -1), lambda x, i: F.struct(x.alias("line"), ((k % 2 == 1) | ((i == 0) & (k > 0))).alias("in_code"))))
+    # the first line is that of the line end put in front
+    plain = docs.where(~odd).select("doc_id", F.flatten(flagged).alias("z")).select("doc_id", F.posexplode(F.slice("z", 2, F.size("z"))).alias("j", "z")).select("doc_id", "j", "z.line", "z.in_code")
+    return plain.unionByName(docs.where(odd).mapInArrow(fenced, plain.schema))
+
+
+def fenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (doc_id, content) to their lines, fence by fence."""
+    mark = re.compile("^(`{3,}|~{3,})")
+    for batch in batches:
+        docs, places, texts, flags = [], [], [], []
+        for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            open_ = ""
+            for j, line in enumerate(content.split("\n")):
+                m = mark.match(line)
+                within = open_ != ""
+                if m and open_ in ("", m.group(1)):
+                    open_ = "" if within else m.group(1)
+                docs.append(doc)
+                places.append(j)
+                texts.append(line)
+                flags.append(within or open_ != "")
+        yield pa.RecordBatch.from_arrays([pa.array(docs, batch.schema.field(0).type), pa.array(places, pa.int32()), pa.array(texts, pa.string()), pa.array(flags, pa.bool_())], ["doc_id", "j", "line", "in_code"])
 
 
 def split_blocks(line_rows: DataFrame) -> DataFrame:
@@ -97,23 +110,6 @@ def explode_links(line_rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "j", "k", F.col("m").startswith("!").alias("image"), F.regexp_extract("m", r"\[([^\]]*)\]", 1).alias("label"), F.regexp_extract("m", r"\(([^)\s]*)\)$", 1).alias("href"))
 
 
-#: Inline marks: name and pattern; at one place the earlier pattern wins.
-INLINE = [
-    ("code", r"`[^`\n]+`"), ("bold_italic", r"\*\*\*[^*\n]+\*\*\*"), ("bold", r"\*\*[^*\n]+\*\*"), ("italic", r"\*[^*\n]+\*"), ("strike", r"~~[^~\n]+~~"),
-    ("highlight", r"==[^=\n]+=="), ("wikilink", r"\[\[[^\]\n]+\]\]"), ("mention", r"@[A-Za-z][A-Za-z0-9_]*"), ("emoji", r":[a-z_]+:"), ("macro", r"\{[a-z-]+:[^}\n]*\}"),
-]
-
-
-def explode_inline(line_rows: DataFrame) -> DataFrame:
-    """doc_id, j, k, kind, raw of every inline mark; of overlapping ones the leftmost."""
-    pattern = "(" + "|".join(p for _, p in INLINE) + ")"
-    rows = line_rows.where(~F.col("in_code")).select("doc_id", "j", F.posexplode(F.regexp_extract_all("line", F.lit(pattern), F.lit(1))).alias("k", "raw"))
-    kind = F.when(F.lit(False), "")
-    for name, p in INLINE:
-        kind = kind.when(F.col("raw").rlike(f"^{p}$"), name)
-    return rows.select("doc_id", "j", "k", kind.alias("kind"), "raw")
-
-
 def explode_cells(blocks: DataFrame) -> DataFrame:
     """doc_id, pos, row, col, cell of pipe tables; the line of dashes is left out, short rows are filled to the widest."""
     rows = blocks.where(F.col("kind") == "table").select("doc_id", "pos", F.filter(F.split("text", "\n"), lambda x: ~x.rlike(r"^\|[ :|-]+\|\s*$")).alias("rows"))
@@ -180,14 +176,6 @@ def blocks_to_markdown(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("content"))
 
 
-def blocks_to_nodes_json(blocks: DataFrame) -> DataFrame:
-    """doc_id, body: each document's blocks as a node-tree document in JSON."""
-    kinds = F.create_map(*[F.lit(x) for p in (("heading", "heading"), ("code", "codeBlock"), ("mermaid", "codeBlock"), ("quote", "blockquote"), ("task_list", "taskList"), ("bullets", "bulletList"), ("ordered", "orderedList"), ("rule", "rule"), ("table", "table")) for x in p])
-    node = F.struct("pos", F.struct(F.coalesce(F.try_element_at(kinds, F.col("kind")), F.lit("paragraph")).alias("type"), F.when(F.col("kind") == "heading", F.struct(F.length(F.regexp_extract("text", "^(#+)", 1)).alias("level"))).alias("attrs"), F.array(F.struct(F.lit("text").alias("type"), F.col("text"))).alias("content")).alias("node"))
-    content = F.transform(F.sort_array(F.collect_list(node)), lambda x: x["node"])
-    return blocks.groupBy("doc_id").agg(F.to_json(F.struct(F.lit(1).alias("version"), F.lit("doc").alias("type"), content.alias("content"))).alias("body"))
-
-
 def drop_title_heading(blocks: DataFrame, titles: DataFrame) -> DataFrame:
     """blocks without a document's first level-1 heading, where it says the title."""
     first = blocks.where(F.col("text").rlike("^# ")).groupBy("doc_id").agg(F.min_by(F.struct("pos", "text"), "pos").alias("h"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from folioscope.functions import expr as X
 from folioscope.operators import blocks as B
 from folioscope.operators import crawl as K
-from folioscope.operators import tree as N
 from folioscope.plans import fixtures as V
 from folioscope.plans.revision_queries import BASE, LINES, LINKS, SLUG, TYPED, lines, long, typed
 from folioscope.sources import files
@@ -29,47 +28,6 @@ def query(name: str, sql: str | None = None):
 
 
 PAGES = V.SQL_PAGES
-NODE = "CASE kind WHEN 'heading' THEN 'heading' WHEN 'code' THEN 'codeBlock' WHEN 'mermaid' THEN 'codeBlock' WHEN 'quote' THEN 'blockquote' WHEN 'task_list' THEN 'taskList' WHEN 'bullets' THEN 'bulletList' WHEN 'ordered' THEN 'orderedList' WHEN 'rule' THEN 'rule' WHEN 'table' THEN 'table' ELSE 'paragraph' END"
-
-
-def nodes(spark, d):
-    trees = B.blocks_to_nodes_json(typed(spark, d)).withColumn("body", F.when(F.col("doc_id") % 41 == 0, F.replace("body", F.lit('"type":"heading"'), F.lit('"kind":"heading"'))).otherwise(F.col("body")))
-    return N.flatten_nodes(trees)
-
-
-@query("node_types", f"WITH {TYPED}, t AS (SELECT CASE WHEN doc_id % 41 = 0 AND {NODE} = 'heading' THEN NULL ELSE {NODE} END AS type, 1 AS depth FROM typed UNION ALL SELECT 'text', 2 FROM typed UNION ALL SELECT 'doc', 0 FROM (SELECT DISTINCT doc_id FROM typed)) SELECT type, depth, count(*) AS n FROM t GROUP BY ALL")
-def node_types(spark, d):
-    return long(nodes(spark, d).groupBy("type", "depth").agg(F.count("*").alias("n")), "depth")
-
-
-@query("node_violations", f"WITH {TYPED} SELECT doc_id, pos, 1 AS depth, 'no_type' AS violation FROM typed WHERE doc_id % 41 = 0 AND kind = 'heading'")
-def node_violations(spark, d):
-    return long(N.node_violations(nodes(spark, d)), "pos", "depth")
-
-
-@query("compare_trees", f"WITH {TYPED}, ge AS (SELECT doc_id, kind AS type, count(*) AS n FROM typed GROUP BY ALL), ex AS (SELECT doc_id, kind AS type, count(*) AS n FROM typed WHERE (doc_id + pos) % 5 <> 0 GROUP BY ALL) SELECT doc_id, type, ge.n AS n_generated, coalesce(ex.n, 0) AS n_existing FROM ge LEFT JOIN ex USING (doc_id, type) WHERE ge.n <> coalesce(ex.n, 0)")
-def compare_trees(spark, d):
-    t = typed(spark, d).select("doc_id", "pos", F.col("kind").alias("type"))
-    return N.compare_trees(t, t.where("(doc_id + pos) % 5 <> 0"))
-
-
-@query("docs_json_blocks")
-def docs_json_blocks(spark, d):
-    return nodes(spark, d).where("depth = 1").select("doc_id", "pos", "type", "level")
-
-
-@query("flatten_tabs", "WITH RECURSIVE t AS (SELECT doc_id // 20 AS doc_id, doc_id AS tab_id, CASE WHEN doc_id % 20 > 0 THEN doc_id // 20 * 20 + (doc_id % 20 - 1) // 3 END AS parent_id, doc_id % 7 AS pos FROM documents), r AS (SELECT doc_id, tab_id, 0 AS depth, [pos] AS path, [tab_id] AS ids FROM t WHERE parent_id IS NULL UNION ALL SELECT t.doc_id, t.tab_id, r.depth + 1, list_append(r.path, t.pos), list_append(r.ids, t.tab_id) FROM r JOIN t ON t.doc_id = r.doc_id AND t.parent_id = r.tab_id) SELECT doc_id, count(*) AS tabs, max(depth) AS depth FROM r GROUP BY doc_id")
-def flatten_tabs(spark, d):
-    tabs = V.documents(spark, d).selectExpr("doc_id div 20 AS doc_id", "doc_id AS tab_id", "CASE WHEN doc_id % 20 > 0 THEN doc_id div 20 * 20 + (doc_id % 20 - 1) div 3 END AS parent_id", "doc_id % 7 AS pos")
-    return N.flatten_tabs(tabs).groupBy("doc_id").agg(F.count("*").alias("tabs"), F.max("depth").cast("long").alias("depth"))
-
-
-@query("foreign_headings", f"WITH {LINES} SELECT doc_id, heading_id, min(tab) AS tab FROM (SELECT doc_id, substr(line, 4) AS heading_id, j % 3 AS tab FROM flagged WHERE NOT in_code AND line LIKE '## _%') GROUP BY doc_id, heading_id HAVING count(DISTINCT tab) = 1")
-def foreign_headings(spark, d):
-    h = lines(spark, d).where("NOT in_code AND line LIKE '## _%'").selectExpr("doc_id", "substring(line, 4) AS heading_id", "cast(j % 3 AS bigint) AS tab")
-    return N.foreign_headings(h)
-
-
 @query("cell_align", f"WITH {LINES}, c AS (SELECT doc_id, j, line FROM flagged WHERE line LIKE '| x |%') SELECT doc_id, j, line FROM c WHERE (doc_id + j) % 3 = 0")
 def cell_align(spark, d):
     """Cells of one side without a partner at the same place."""

@@ -204,11 +204,6 @@ def extract_refs(spark, d):
     return B.explode_links(lines(spark, d)).groupBy("href", "image").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
-@query("explode_inline")
-def explode_inline(spark, d):
-    return B.explode_inline(lines(spark, d))
-
-
 @query("explode_cells", f"WITH {TYPED}, r AS (SELECT doc_id, pos, list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\\|[ :|-]+\\|\\s*$')) AS rows FROM typed WHERE kind = 'table'), q AS (SELECT doc_id, pos, generate_subscripts(rows, 1) - 1 AS row, unnest(rows) AS t FROM r), c AS (SELECT doc_id, pos, row, string_split(regexp_replace(t, '^\\||\\|$', '', 'g'), '|') AS cs FROM q) SELECT doc_id, pos, row, generate_subscripts(cs, 1) - 1 AS col, trim(unnest(cs)) AS cell FROM c")
 def explode_cells(spark, d):
     return long(B.explode_cells(typed(spark, d)), "row", "col")
@@ -246,11 +241,6 @@ def blocks_to_markdown(spark, d):
     return B.blocks_to_markdown(B.split_blocks(lines(spark, d)))
 
 
-@query("blocks_to_nodes_json")
-def blocks_to_nodes_json(spark, d):
-    return B.blocks_to_nodes_json(typed(spark, d))
-
-
 @query("drop_title_heading", f"WITH {BLOCKS}, f AS (SELECT doc_id, min(pos) AS pos FROM blocks WHERE text LIKE '# %' GROUP BY doc_id), h AS (SELECT f.doc_id, f.pos FROM f JOIN blocks b ON b.doc_id = f.doc_id AND b.pos = f.pos JOIN documents t ON t.doc_id = f.doc_id WHERE regexp_replace(regexp_extract(b.text, '^# (.*)', 1), '^\\s+|\\s+$', '', 'g') = regexp_replace(string_split(t.text, chr(10))[1], '^\\s+|\\s+$', '', 'g')) SELECT doc_id, count(*) AS n FROM blocks WHERE (doc_id, pos) NOT IN (SELECT (doc_id, pos) FROM h) GROUP BY doc_id")
 def drop_title_heading(spark, d):
     titles = V.documents(spark, d).select("doc_id", X.strip(F.get(F.split("text", "\n"), F.lit(0))).alias("title"))
