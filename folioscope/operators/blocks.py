@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.functions.expr import strip
+from folioscope.functions.expr import mermaid_key, private_use_only, strip
 
 #: Rules by priority: type and the pattern of a block's text. They are data: other rules may be given.
 BLOCK_RULES = [
@@ -131,13 +131,55 @@ def markdown_to_plain(text: Column) -> Column:
 
 
 def project_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Kept blocks and a residue (doc_id, pos, reason): blank ones that are no quotes and private-use glyphs go, titles become headings."""
-    blank, glyph = F.col("text").rlike(r"^\s*$") & (F.col("quote_depth") == 0), strip(F.col("text")).rlike("^[\\uE000-\\uF8FF]+$")
-    reason = F.when(blank, "empty_paragraph").when(glyph, "private_use_glyph").when(F.col("style").isin("TITLE", "SUBTITLE"), "paragraph_style")
-    df = blocks.withColumn("reason", reason)
-    style = F.when(F.col("style") == "TITLE", "HEADING_1").when(F.col("style") == "SUBTITLE", "HEADING_2").otherwise(F.col("style"))
-    kept = df.where(F.coalesce(F.col("reason") == "paragraph_style", F.lit(True))).withColumn("style", style).drop("reason")
-    return kept, df.where("reason IS NOT NULL").select("doc_id", "pos", "reason")
+    """Blocks as markdown can say them, and a residue (doc_id, pos, reason).
+
+    Empty ones that are no quotes go (empty_paragraph), and those of private-use glyphs alone (private_use_glyph). A prefix of
+    glyphs that the backend draws itself, render_prefix, goes from a text; unless `mono` says that the rest is monospaced, it is
+    reported (ambiguous_code_prefix). Titles become headings (paragraph_style). The first rule that holds counts. render_prefix
+    and mono may be missing. What is kept is projected to itself.
+    """
+    prefix = F.coalesce("render_prefix", F.lit("")) if "render_prefix" in blocks.columns else F.lit("")
+    mono = F.coalesce("mono", F.lit(False)) if "mono" in blocks.columns else F.lit(False)
+    rule = (
+        F.when((F.coalesce("text", F.lit("")) == "") & (F.col("quote_depth") == 0), "empty_paragraph").when(private_use_only(F.col("text")), "private_use_glyph")
+        .when(prefix != "", F.when(mono, "code_prefix").otherwise("ambiguous_code_prefix")).when(F.col("style").isin("TITLE", "SUBTITLE"), "paragraph_style")
+    )
+    df = blocks.withColumn("reason", rule)
+    is_style = F.coalesce(F.col("reason") == "paragraph_style", F.lit(False))
+    style = F.when(is_style & (F.col("style") == "TITLE"), "HEADING_1").when(is_style, "HEADING_2").otherwise(F.col("style"))
+    shown = F.coalesce(F.col("reason").isin("code_prefix", "ambiguous_code_prefix"), F.lit(False))
+    text = F.when(shown & F.startswith("text", prefix), F.substring("text", F.length(prefix) + 1, F.length("text"))).otherwise(F.col("text"))
+    out = df.where(~F.coalesce(F.col("reason").isin("empty_paragraph", "private_use_glyph"), F.lit(False))).withColumns({"style": style, "text": text})
+    if "render_prefix" in blocks.columns:
+        out = out.withColumn("render_prefix", F.when(shown, "").otherwise(F.col("render_prefix")))
+    return out.drop("reason"), df.where("reason IS NOT NULL AND reason <> 'code_prefix'").select("doc_id", "pos", "reason")
+
+
+def grouped_code(nodes: DataFrame) -> DataFrame:
+    """doc_id, first_pos, last_pos, lang, n of every code block among paragraphs (doc_id, pos, text, code, blank).
+
+    Code lines that follow each other are one block; blank ones between belong to it if more code follows. A plain line of three
+    backticks and a language right before the first code line names the language and belongs to the block. Such a line before a
+    blank one that no code line follows is an empty block of these two.
+    """
+    w = W.partitionBy("doc_id").orderBy("pos")
+    df = nodes.select("doc_id", "pos", "code", "blank", F.when(~F.col("code") & ~F.col("blank") & F.col("text").startswith("```"), F.substring("text", 4, 1 << 30)).alias("mark"))
+    solid = F.when(~F.col("blank"), F.col("code"))
+    before = F.last(solid, True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    after = F.first(solid, True).over(w.rowsBetween(1, W.unboundedFollowing))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    df = df.withColumns({"inside": F.col("code") | (F.col("blank") & no(before) & no(after)), "lang": F.lag("mark").over(w)})
+    df = df.withColumn("start", F.col("inside") & ~no(F.lag("inside").over(w)))
+    df = df.withColumns({"run": F.sum(F.col("start").cast("int")).over(w), "empty": F.col("mark").isNotNull() & no(F.lead("blank").over(w)) & ~no(F.lead("code", 2).over(w))})
+    marked = F.max(F.when(F.col("start") & F.col("lang").isNotNull(), 1)).isNotNull()
+    runs_ = df.where("inside").groupBy("doc_id", "run").agg((F.min("pos") - F.when(marked, 1).otherwise(0)).alias("first_pos"), F.max("pos").alias("last_pos"), F.max(F.when(F.col("start"), F.col("lang"))).alias("lang"), F.count("*").alias("n")).drop("run")
+    return runs_.unionByName(df.where("empty").select("doc_id", F.col("pos").alias("first_pos"), (F.col("pos") + 1).alias("last_pos"), F.col("mark").alias("lang"), F.lit(0).cast("long").alias("n")))
+
+
+def mermaid_diagrams(docs: DataFrame) -> DataFrame:
+    """doc_id, k, code, key of every fenced diagram: what stands between its fences, and the stable name of it."""
+    found = F.regexp_extract_all("content", F.lit(r"(?ms)^```mermaid[ \t]*\n(.*?)\n?^```[ \t]*$"), F.lit(1))
+    return docs.select("doc_id", F.posexplode(found).alias("k", "code")).select("doc_id", "k", "code", mermaid_key(F.col("code")).alias("key"))
 
 
 def code_runs(line_rows: DataFrame) -> DataFrame:
@@ -181,14 +223,3 @@ def drop_title_heading(blocks: DataFrame, titles: DataFrame) -> DataFrame:
     first = blocks.where(F.col("text").rlike("^# ")).groupBy("doc_id").agg(F.min_by(F.struct("pos", "text"), "pos").alias("h"))
     drop = first.join(titles, "doc_id").where(strip(F.regexp_extract("h.text", "^# (.*)", 1)) == F.col("title")).select("doc_id", F.col("h.pos").alias("pos"))
     return blocks.join(drop, ["doc_id", "pos"], "left_anti")
-
-
-def clean_html(html: Column) -> Column:
-    """Raw page to text, in this order: scripts, styles and head go; blocks end lines; tags go; references; blank lines and zero-width characters."""
-    steps = [
-        (r"(?is)<(script|style|head)\b.*?</(script|style|head)>", ""), (r"(?s)<!--.*?-->", ""), (r"(?i)<br\s*/?>", "\n"), (r"(?i)<li\b[^>]*>", "\n- "), (r"(?i)</?(p|div|h[1-6]|ul|ol|article|nav|footer|table|tr)\b[^>]*>", "\n\n"),
-        (r"<[^>]*>", ""), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"), ("[​‌﻿]", ""), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"),
-    ]
-    for pattern, to in steps:
-        html = F.regexp_replace(html, pattern, to)
-    return strip(html)

@@ -57,13 +57,18 @@ def labels_of(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", label.alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 
 
-def closest_key(keys: DataFrame, known: list[str], most: int = 5) -> DataFrame:
-    """key, closest: the known key at the least edit distance, of equals the first; null beyond `most`.
+def closest_key(keys: DataFrame, known: list[str], most: int = 5, aliases: dict[str, str] | None = None, any_case: bool = False) -> DataFrame:
+    """key, closest: the key of an alias, else the known key at the least edit distance, of equals the first; null beyond `most`.
 
-    The list of known keys is a fixed one, so it goes into the expression and nothing is joined.
+    Keys of documents take 5, those of configurations 3 in any case. The list of known keys is a fixed one, so it goes into the
+    expression and nothing is joined.
     """
-    ranked = F.array_min(F.array(*[F.struct(F.levenshtein(F.col("key"), F.lit(k)).alias("d"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(known)]))
-    return keys.select("key").distinct().withColumn("b", ranked).select("key", F.when(F.col("b.d") <= most, F.col("b.k")).alias("closest"))
+    fold = F.lower if any_case else (lambda c: c)
+    ranked = F.array_min(F.array(*[F.struct(F.levenshtein(fold(F.col("key")), fold(F.lit(k))).alias("d"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(known)]))
+    alias = F.lit(None).cast("string")
+    for name, k in (aliases or {}).items():
+        alias = F.when(F.col("key") == name, k).otherwise(alias)
+    return keys.select("key").distinct().withColumn("b", ranked).select("key", F.coalesce(alias, F.when(F.col("b.d") <= most, F.col("b.k"))).alias("closest"))
 
 
 #: First bytes of image files.

@@ -83,18 +83,37 @@ def text_of(line: Column) -> Column:
     return F.regexp_replace(line, r"^(#{1,6} |\s*[-*+] \[[ xX]\] |\s*[-*+] |(> ?)+)", "")
 
 
-def unmatched(side: DataFrame, matches: DataFrame, place: str) -> DataFrame:
-    x = side.select("doc_id", F.col("j").cast("int").alias(place), style_of(F.col("line")).alias(f"{place}_style"), text_of(F.col("line")).alias("text"))
+def unmatched(side: DataFrame, matches: DataFrame, place: str, texts: Column | None = None) -> DataFrame:
+    x = side.select("doc_id", F.col("j").cast("int").alias(place), style_of(F.col("line")).alias(f"{place}_style"), (text_of(F.col("line")) if texts is None else texts).alias("text"))
     return x.join(matches.select("doc_id", place), ["doc_id", place], "left_anti")
 
 
+#: A text that an exported check box puts before its own.
+BOX = "[ ] "
+
+
+def boxed_text(line: Column) -> Column:
+    """A line without its mark, but with the box of a check box."""
+    return F.regexp_replace(line, r"^(#{1,6} |\s*[-*+] |(> ?)+)", "")
+
+
 def diff_repair(left: DataFrame, right: DataFrame, matches: DataFrame) -> DataFrame:
     """doc_id, l, r, l_style, r_style, text: unmatched lines with the same text are one line in another style.
 
-    Only texts that are unmatched once on either side; repeated ones are dealt by diff_assign. Blank texts are left out.
+    Only texts that are unmatched once on either side; repeated ones are dealt by diff_assign. Blank texts are left out. If left
+    has a column `native`, a box on the right, "[ ] ", is no part of the text where what follows is that of a native check box
+    on the left, and part of it everywhere else; without the column no box is.
     """
     once = lambda x, p: x.where(r"text RLIKE '\\S'").groupBy("doc_id", "text").agg(F.min(p).alias(p), F.min(f"{p}_style").alias(f"{p}_style"), F.count("*").alias("c")).where("c = 1").drop("c")
-    return once(unmatched(left, matches, "l"), "l").join(once(unmatched(right, matches, "r"), "r"), ["doc_id", "text"])
+    matches = kept(matches)
+    if "native" not in left.columns:
+        return once(unmatched(left, matches, "l"), "l").join(once(unmatched(right, matches, "r"), "r"), ["doc_id", "text"])
+    box = boxed_text(F.col("line"))
+    boxes = left.where("native").select("doc_id", box.alias("rest")).distinct().withColumn("is_native", F.lit(True))
+    rest = F.when(box.startswith(BOX), F.substring(box, F.lit(len(BOX) + 1), F.length(box)))
+    target = right.withColumn("rest", rest).join(boxes, ["doc_id", "rest"], "left")
+    text = F.when(F.col("is_native"), F.col("rest")).otherwise(box)
+    return once(unmatched(left, matches, "l", box), "l").join(once(unmatched(target, matches, "r", text), "r"), ["doc_id", "text"])
 
 
 def structural_score(a: Column, b: Column) -> Column:
@@ -118,7 +137,8 @@ def diff_assign(left: DataFrame, right: DataFrame, matches: DataFrame) -> DataFr
     the same kind (headings, list items, the rest), by rank again. Last, what is left of `the rest` on one side meets
     headings and items of the other side; these two score nothing with each other.
     """
-    a, b = (unmatched(x, matches, p).where(r"text RLIKE '\\S'") for x, p in ((left, "l"), (right, "r")))
+    matches = kept(matches)
+    a, b = (kept(unmatched(x, matches, p).where(r"text RLIKE '\\S'")) for x, p in ((left, "l"), (right, "r")))
     kind = lambda p: F.when(F.col(f"{p}_style").startswith("HEADING"), "heading").when(F.col(f"{p}_style").isin("TASK", "ITEM"), "item").otherwise("rest")
     steps = [(F.col("l_style"), F.col("r_style")), (kind("l"), kind("r")), (F.when(kind("l") == "rest", "left").otherwise("right"), F.when(kind("r") == "rest", "right").otherwise("left"))]
     out = None
@@ -219,11 +239,13 @@ def text_similarity(left: DataFrame, right: DataFrame) -> DataFrame:
     """doc_id, bag_ratio, severity: twice the shared words over all words of two texts, words counted as often as they come.
 
     Documents of either side have a row; a null or missing text has no words, and two sides without words are alike. Below
-    0.95 the severity is medium, below 0.8 high, else null.
+    0.95 the severity is medium, below 0.8 high, else null. Equal texts are told by a hash; only words of others are shuffled.
     """
-    words = lambda x, n: x.select("doc_id", F.explode(F.filter(F.split("content", r"\s+"), lambda w: w != "")).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias(n))
+    side = lambda x, h: x.select("doc_id", F.sha2(F.coalesce("content", F.lit("")), 256).alias(h))
+    docs = kept(side(left, "a").join(side(right, "b"), "doc_id", "full").select("doc_id", (F.col("a") == F.col("b")).alias("same")))
+    differ = docs.where("NOT coalesce(same, false)").select("doc_id")
+    words = lambda x, n: x.join(differ, "doc_id").select("doc_id", F.explode(F.filter(F.split("content", r"\s+"), lambda w: w != "")).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias(n))
     both = words(left, "a").join(words(right, "b"), ["doc_id", "w"], "full")
     s = both.groupBy("doc_id").agg(F.sum(F.least(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0)))).alias("both"), F.sum(F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0))).alias("all"))
-    docs = left.select("doc_id").unionByName(right.select("doc_id")).distinct()
-    r = docs.join(s, "doc_id", "left").select("doc_id", F.round(F.coalesce(2 * F.col("both") / F.col("all"), F.lit(1.0)), 6).alias("bag_ratio"))
+    r = docs.join(s, "doc_id", "left").select("doc_id", F.round(F.coalesce(2 * F.col("both") / F.col("all"), F.lit(1.0)), 6).alias("bag_ratio")).distinct()
     return r.withColumn("severity", F.when(F.col("bag_ratio") < 0.8, "high").when(F.col("bag_ratio") < 0.95, "medium"))

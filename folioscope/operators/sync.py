@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.operators.ranks import ranked
+
 
 def with_hash(docs: DataFrame) -> DataFrame:
     """doc_id and sha, the SHA-256 of content."""
@@ -119,13 +121,13 @@ def push_order(manifest: DataFrame, present: DataFrame) -> DataFrame:
 def file_moves(tracked: DataFrame, current: DataFrame) -> DataFrame:
     """Tracked paths (status not deleted) that are no longer there: renamed to an untracked path of the same base name, else deleted.
 
-    One new path takes one old path; both sides are dealt in order of path.
+    One new path takes one old path; both sides are dealt in order of path. Ranks are counted by ranges of paths, so that a base
+    name that most files share is in no one task.
     """
     name = F.element_at(F.split("path", "/"), -1)
     gone = tracked.where("status <> 'deleted'").join(current.select("path"), "path", "left_anti").select("path", name.alias("name"))
     fresh = current.select("path").distinct().join(tracked.select("path"), "path", "left_anti").select(F.col("path").alias("new_path"), name.alias("name"))
-    gone = gone.withColumn("k", F.row_number().over(W.partitionBy("name").orderBy("path")))
-    fresh = fresh.withColumn("k", F.row_number().over(W.partitionBy("name").orderBy("new_path")))
+    gone, fresh = ranked(gone, ["name"], ["path"]), ranked(fresh, ["name"], ["new_path"])
     return gone.join(fresh, ["name", "k"], "left").select("path", "new_path", F.when(F.col("new_path").isNull(), "deleted").otherwise("renamed").alias("change"))
 
 
@@ -157,3 +159,9 @@ def mapping_violations(mappings: DataFrame) -> DataFrame:
         F.when(F.concat(F.lit("/"), F.col("local"), F.lit("/")).contains("/../"), "escapes_folder"),
     ]
     return mappings.select("doc_id", F.explode(F.array_compact(F.array(*rules))).alias("violation"))
+
+
+def quote_violations(blocks: DataFrame) -> DataFrame:
+    """doc_id, pos, violation: a block is a quote exactly if its quote depth is above 0; null counts as no quote, and as depth 0."""
+    quote, depth = F.coalesce("is_blockquote", F.lit(False)), F.coalesce("quote_depth", F.lit(0))
+    return blocks.where(quote != (depth > 0)).select("doc_id", "pos", F.when(quote, "quote_without_depth").otherwise("depth_without_quote").alias("violation"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import expr as X
 from folioscope.operators import blocks as B
 from folioscope.operators import crawl as K
+from folioscope.operators import html as H
 from folioscope.plans import fixtures as V
 from folioscope.plans.revision_queries import BASE, LINES, LINKS, SLUG, TYPED, lines, long, typed
 from folioscope.sources import files
@@ -28,13 +29,6 @@ def query(name: str, sql: str | None = None):
 
 
 PAGES = V.SQL_PAGES
-@query("cell_align", f"WITH {LINES}, c AS (SELECT doc_id, j, line FROM flagged WHERE line LIKE '| x |%') SELECT doc_id, j, line FROM c WHERE (doc_id + j) % 3 = 0")
-def cell_align(spark, d):
-    """Cells of one side without a partner at the same place."""
-    c = lines(spark, d).where("line LIKE '| x |%'").select("doc_id", "j", "line")
-    return long(c.join(c.where("(doc_id + j) % 3 <> 0").select("doc_id", "j"), ["doc_id", "j"], "left_anti"), "j")
-
-
 @query("scan_crawl", f"WITH {PAGES} SELECT page_id, title, parent_id, space_key, status, labels FROM meta")
 def scan_crawl(spark, d):
     return V.pages(spark, d).select("page_id", "title", "parent_id", "space_key", "status", "labels")
@@ -121,7 +115,7 @@ def checkbox_recover(spark, d):
 
 @query("clean_html", None)
 def clean_html(spark, d):
-    return V.pages(spark, d).select("page_id", B.clean_html(F.col("html")).alias("text"))
+    return V.pages(spark, d).select("page_id", H.clean_html(F.col("html")).alias("text"))
 
 
 @query("conflict_log", f"WITH {BASE} SELECT doc_id, lang, length(content) AS n FROM base")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from folioscope.sources.files import is_folder, shared_folder
 
@@ -30,24 +31,50 @@ def revision_columns(events: DataFrame) -> DataFrame:
 ACTION = "doc_id long, version string, status string, action string, seen string"
 
 
-def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Actions of one document's new revisions; the state, its last synced version, moves on success only."""
-    seen = state.get[0] if state.exists else None
-    rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-    out = []
-    for version, status in zip(rows["version"], rows["status"]):
-        action = "error" if status == "error" else "first-sync" if seen is None else "up-to-date" if seen == version else "fast-forward"
-        out.append((key[0], version, status, action, seen))
-        if status == "success":
-            seen = version
-    if seen is not None:
-        state.update((seen,))
-    yield pd.DataFrame(out, columns=["doc_id", "version", "status", "action", "seen"])
+#: State of a document that had no revision for so long goes.
+KEPT_FOR = 30 * 24 * 3600 * 1000
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_sync_action(stream: DataFrame) -> DataFrame:
-    """An action for each revision as it arrives, with state kept by document across batches."""
-    return stream.groupBy("doc_id").applyInPandasWithState(decide, ACTION, "seen string", "append", GroupStateTimeout.NoTimeout)
+class Decisions(StatefulProcessor):
+    """Actions of each document's new revisions; the state is its last synced version, which moves on success only.
+
+    The state expires once a document had no success for `kept_for` milliseconds; a revision after that is a first sync again.
+    """
+
+    def __init__(self, kept_for: int = KEPT_FOR):
+        self.kept_for = kept_for
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "version string", self.kept_for)
+
+    def handleInitialState(self, key: tuple, initial: pd.DataFrame, timers) -> None:  # noqa: N802
+        self.seen.update((str(initial["version"].iloc[0]),))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+        seen = self.seen.get()[0] if self.seen.exists() else None
+        df = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        good = df["version"].where(df["status"] == "success")
+        before = good.shift().ffill()
+        before = before.where(before.notna(), seen)
+        action = np.select([df["status"] == "error", before.isna(), before == df["version"]], ["error", "first-sync", "up-to-date"], "fast-forward")
+        if good.notna().any():
+            self.seen.update((good.dropna().iloc[-1],))
+        yield pd.DataFrame({"doc_id": key[0], "version": df["version"], "status": df["status"], "action": action, "seen": before.where(before.notna(), None)})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_sync_action(stream: DataFrame, synced: DataFrame | None = None, kept_for: int = KEPT_FOR) -> DataFrame:
+    """An action for each revision as it arrives, with state kept by document across batches, and across runs from one checkpoint.
+
+    synced (doc_id, version) is the state to begin with. State is in RocksDB stores, which this kind of state needs: the
+    session's setting for new streams is changed to it.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    start = None if synced is None else synced.select("doc_id", "version").groupBy("doc_id")
+    return stream.groupBy("doc_id").transformWithStateInPandas(Decisions(kept_for), ACTION, "Append", "ProcessingTime", initialState=start)
 
 
 def stream_run_summary(stream: DataFrame, window: str = "300 seconds", late: str = "600 seconds") -> DataFrame:
@@ -55,18 +82,26 @@ def stream_run_summary(stream: DataFrame, window: str = "300 seconds", late: str
     return stream.withWatermark("ts", late).groupBy(F.window("ts", window), "status").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "status", "n")
 
 
-def drained(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def drained(stream: DataFrame, keys: list[str] | None = None, folder: str | None = None) -> DataFrame:
     """All that a stream over files has to give now: one run that ends when the input is used up.
 
-    Rows and the stream's state go to the shared folder. With keys, rows are updates and the last of each key counts.
+    Rows and the stream's state go to the shared folder; a run over the folder of an earlier one goes on from there. With keys,
+    rows are updates and the last of each key counts.
     """
     spark = stream.sparkSession
-    folder = shared_folder(spark, "stream")
+    folder = folder or shared_folder(spark, "stream")
     run = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    if keys is None:
-        run.outputMode("append").format("parquet").start(f"{folder}/rows").awaitTermination()
-        return spark.read.parquet(f"{folder}/rows")
-    run.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")).start().awaitTermination()
+    # state that expires would ask for empty batches without end
+    empty = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(empty)
+    spark.conf.set(empty, "false")
+    try:
+        if keys is None:
+            run.outputMode("append").format("parquet").start(f"{folder}/rows").awaitTermination()
+            return spark.read.parquet(f"{folder}/rows")
+        run.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")).start().awaitTermination()
+    finally:
+        spark.conf.set(empty, before)
     rows = spark.read.parquet(f"{folder}/rows")
     rest = [c for c in rows.columns if c not in (*keys, "batch")]
     return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in rest])
