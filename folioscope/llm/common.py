@@ -42,17 +42,25 @@ def checkpointed(df: DataFrame, lasting: bool = False) -> DataFrame:
     """The rows of df, written to the shared folder and read again: lineage is cut and a lost executor costs no recomputation.
 
     A table, not checkpoint(): that computes the last stage twice and keeps estimated sizes, which joins multiply from
-    round to round. Inside tidy() the table goes when the block ends, unless it is `lasting`.
+    round to round. Inside tidy() the table goes when the block ends, unless it is `lasting`; any other goes with the application.
     """
     spark = df.sparkSession
     top = _open[-1] if _open and not lasting else shared_dir(spark)
     path = f"{top}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if lasting or not _open:
+        removed_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out
 
 
+def removed_at_exit(spark: SparkSession, folder: str) -> None:
+    """The application owns a folder that outlives the call it was made in: it goes when the driver's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def discard(table: DataFrame) -> None:
     """Removes a table of checkpointed() that nothing will read again."""
     remove(table.sparkSession, table.table_path)

@@ -8,6 +8,7 @@ limit for words is each language's own: a share of the distance that a text with
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
@@ -23,8 +24,11 @@ SYMBOLS = r"[#*$%&|<>]+"
 CLASSES = ("lower", "upper", "digit", "symbol", "other")
 #: Words of a language's histogram; only words of so many letters at most can be among them, which bounds the count.
 COMMON_WORDS, WORD_LETTERS = 16, 4
-#: So many languages' references are spelt out in the plan; those of all others are a table, at most so many rows of which are broadcast.
-MOST_LANGS, BROADCAST_LANGS = 16, 10_000
+#: Languages with at least this share of all words have a reference, so there are no more than 1 / LEAST_SHARE. Rows of rarer ones are
+#: judged by the nearest reference, as all rows are.
+LEAST_SHARE = 0.001
+#: So many references' distances are spelt out in the plan, which is compiled; of more, the same distances are taken over an array.
+SPELT_OUT = 16
 #: Shorter documents are not compared: their histograms say little.
 LEAST_CHARS, LEAST_WORDS = 120, 50
 CHAR_LIMIT, WORD_LIMIT = 0.30, 0.75
@@ -62,7 +66,6 @@ class References:
     shares: list[list[float]] = field(default_factory=list)
     langs: list[str] = field(default_factory=list)
     lacking: list[float] = field(default_factory=list)  # share of its documents that hold none of the words
-    more: DataFrame | None = None  # further languages: _lang, _classes, _words, _shares, _scale (null where the words are not telling)
 
     def telling(self, i: int) -> bool:
         """Whether texts of the language i can be expected to hold some of its common words."""
@@ -79,65 +82,39 @@ def distance_without(shares: list[float]) -> float:
 
 
 def learn(docs: DataFrame, lang: str = "lang") -> References:
-    """From every row with a language and a text. References of the MOST_LANGS languages with most words come to the
-    driver, COMMON_WORDS words and a few sums each; those of all other languages stay in a table.
-    """
+    """From every row with a language and a text; of each language of LEAST_SHARE or more COMMON_WORDS words and a few sums come to the driver."""
     base = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull()).select(F.col(lang).cast("string").alias("lang"), "text")
     short = F.when(F.length("w") <= WORD_LETTERS, F.col("w"))  # all longer words are counted together
     counts = base.select("lang", F.explode(words(F.col("text"))).alias("w")).groupBy("lang", short.alias("w")).agg(F.count("*").alias("n"))
     letters = F.when(F.col("w").rlike(rf"^\p{{L}}{{1,{WORD_LETTERS}}}$"), F.lower("w"))
     counts = checkpointed(counts.groupBy("lang", letters.alias("w")).agg(F.sum("n").alias("n")))
-    top = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS + 1).collect()
-    further, top = len(top) > MOST_LANGS, top[:MOST_LANGS]
+    all_words = counts.agg(F.sum("n")).first()[0] or 0
+    top = counts.groupBy("lang").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_SHARE * all_words).orderBy(F.desc("n"), "lang").collect()
+    out = References()
+    if not top:
+        return out
+    names = [r.lang for r in top]
     order = W.partitionBy("lang").orderBy(F.desc("n"), "w")
-    common = counts.where("w IS NOT NULL").withColumn("k", F.row_number().over(order)).where(F.col("k") <= COMMON_WORDS)
-    ranked, common = common, common.where(F.col("lang").isin([r.lang for r in top])).collect() if top else []
-    own = {r.lang: [x.w for x in sorted((x for x in common if x.lang == r.lang), key=lambda x: x.k)] for r in top}
-    none = F.lit(True)
-    for x, ws in own.items():
-        none = F.when(F.col("lang") == x, ~F.col("text").rlike(rf"(?iu)(?:\A|{SPACE})(?:{'|'.join(ws)})(?:{SPACE}|\z)") if ws else F.lit(True)).otherwise(none)
-    j = base.where(F.col("lang").isin(list(own))).select("lang", "text", F.regexp_replace("text", SPACE, "").alias("j")).withColumn("rest", rest_of(F.col("j")))
+    common = counts.where(F.col("w").isNotNull() & F.col("lang").isin(names)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= COMMON_WORDS).collect()
+    own = {x: sorted((r for r in common if r.lang == x), key=lambda r: r.k) for x in names}
+    # a text without any of its language's words; no word, no such text with one
+    pattern = lambda ws: rf"(?iu)(?:\A|{SPACE})(?:{'|'.join(r.w for r in ws)})(?:{SPACE}|\z)" if ws else "(?!)"
+    patterns = docs.sparkSession.createDataFrame([(x, pattern(own[x])) for x in names], "lang string, pattern string")
+    j = base.join(F.broadcast(patterns), "lang").select("lang", "text", "pattern", F.regexp_replace("text", SPACE, "").alias("j")).withColumn("rest", rest_of(F.col("j")))
     long = (F.length("j") >= LEAST_CHARS) & (F.length("text") - F.length("j") >= LEAST_WORDS)
-    c = j.select("lang", F.length("j").alias("all"), *[x.alias(k) for x, k in zip(class_counts(F.col("j"), F.col("rest")), CLASSES)], long.alias("long"), (long & none).alias("none"))
-    sums = {r.lang: r for r in c.groupBy("lang").agg(F.sum("all").alias("all"), *[F.sum(k).alias(k) for k in CLASSES[:-1]], F.count_if("long").alias("long"), F.count_if("none").alias("none")).collect()} if top else {}
-    out = References()
+    c = j.select("lang", F.length("j").alias("all"), *[x.alias(k) for x, k in zip(class_counts(F.col("j"), F.col("rest")), CLASSES)], long.alias("long"), (long & ~F.rlike("text", "pattern")).alias("none"))
+    sums = {r.lang: r for r in c.groupBy("lang").agg(F.sum("all").alias("all"), *[F.sum(k).alias(k) for k in CLASSES[:-1]], F.count_if("long").alias("long"), F.count_if("none").alias("none")).collect()}
     for r in top:
         out.langs.append(r.lang)
         n = sums[r.lang]
         out.classes.append([n[k] / n["all"] for k in CLASSES[:-1]] + [1 - sum(n[k] for k in CLASSES[:-1]) / n["all"]])
-        shares = [x.n / r.n for x in sorted((x for x in common if x.lang == r.lang), key=lambda x: x.k)]
-        out.words.append(own[r.lang])
+        shares = [x.n / r.n for x in own[r.lang]]
+        out.words.append([x.w for x in own[r.lang]])
         out.shares.append([*shares, 1 - sum(shares)])
         out.lacking.append(n["none"] / max(1, n["long"]))
-    if further:
-        other = ~F.col("lang").isin([r.lang for r in top])
-        out.more = more_references(base.where(other), counts.where(other), ranked.where(other))
     return out
 
 
-def more_references(base: DataFrame, counts: DataFrame, common: DataFrame) -> DataFrame:
-    """The same as a table; counts: lang, w, n of all words, common: lang, w, n, k of the common ones."""
-    of = F.sort_array(F.collect_list(F.struct("k", "w", "n")))
-    sums = counts.groupBy("lang").agg(F.sum("n").alias("all_words"))
-    refs = sums.join(common.groupBy("lang").agg(of.alias("c")), "lang", "left").withColumn("c", F.coalesce("c", F.expr("cast(array() AS array<struct<k: int, w: string, n: bigint>>)")))
-    shares = F.transform("c", lambda x: x["n"] / F.col("all_words"))
-    refs = checkpointed(refs.select("lang", F.col("c.w").alias("_words"), F.concat(shares, F.array(1 - total(shares))).alias("_shares")))
-    j = base.join(refs.select("lang", "_words"), "lang").select("lang", "text", "_words", F.regexp_replace("text", SPACE, "").alias("j")).withColumn("rest", rest_of(F.col("j")))
-    long = (F.length("j") >= LEAST_CHARS) & (F.length("text") - F.length("j") >= LEAST_WORDS)
-    none = ~F.exists(words(F.col("text")), lambda x: F.array_contains("_words", F.lower(x)))
-    counted = [F.sum(x.cast("double")).alias(k) for x, k in zip(class_counts(F.col("j"), F.col("rest")), CLASSES)]
-    sums = j.groupBy("lang").agg(F.sum(F.length("j")).alias("all"), *counted, F.count_if(long).alias("long"), F.count_if(long & none).alias("none"))
-    classes = F.array(*[F.col(k) / F.col("all") for k in CLASSES[:-1]])
-    last = F.element_at("_shares", -1)
-    middle = (1 + last) / 2
-    without = F.sqrt(F.greatest(F.lit(0.0), (1 - last - F.log2(middle) + F.coalesce(last * F.log2(last / middle), F.lit(0.0))) / 2))
-    telling = (F.size("_words") > 0) & (F.col("none") <= MOST_LACKING * F.greatest(F.lit(1), F.col("long")))
-    scale = F.when(telling, WORD_LIMIT / F.least(F.lit(WORD_LIMIT), WORD_SHARE * without))
-    out = refs.join(sums, "lang").select(F.col("lang").alias("_lang"), F.concat(classes, F.array(1 - total(classes))).alias("_classes"), "_words", "_shares", scale.alias("_scale"))
-    out = checkpointed(out)
-    return F.broadcast(out) if out.count() <= BROADCAST_LANGS else out
-
-
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
@@ -154,9 +131,10 @@ def js_distance(p: Column, q: list[float]) -> Column:
 
 
 def js_between(p: Column, q: Column) -> Column:
-    """js_distance of two arrays of shares."""
+    """js_distance of two arrays of shares; null where either is null."""
     xlogx = lambda x: F.coalesce(x * F.log2(x), F.lit(0.0))
-    return F.sqrt(F.greatest(F.lit(0.0), total(F.zip_with(p, q, lambda x, y: xlogx(x) + xlogx(y) - 2 * xlogx((x + y) / 2))) / 2))
+    found = F.sqrt(F.greatest(F.lit(0.0), total(F.zip_with(p, q, lambda x, y: xlogx(x) + xlogx(y) - 2 * xlogx((x + y) / 2))) / 2))
+    return F.when(p.isNotNull() & q.isNotNull(), found)
 
 
 def covered(places: Column) -> Column:
@@ -229,9 +207,9 @@ def measure(docs: DataFrame, refs: References, rules: str = "rules", lang: str =
     A null text has no words. Distances are null where a text is too short to be compared, or without
     references; such a text is kept if the base rules keep it. Word distances are scaled for each language so that
     WORD_LIMIT is its limit. They are null, too, for a row of a language whose texts need not hold its common words
-    (without a language: if there is any such one). The nearest language is one of the MOST_LANGS with most words or the
-    row's own; with more languages than that, rows without one have no distances. Each row is judged by itself, so repeated rows, ties and empty
-    tables need no care; texts are read whole; other columns are kept as they are. No shuffle with BROADCAST_LANGS further languages or fewer.
+    (without a language: if there is any such one). The nearest of all references counts, however many there are. Each row is judged
+    by itself, so repeated rows, ties and empty tables need no care; texts are read whole; other columns are kept as they are.
+    No shuffle.
     """
     own = "_q"
     while any(c.lower().startswith(own) for c in docs.columns):
@@ -247,11 +225,7 @@ def measure(docs: DataFrame, refs: References, rules: str = "rules", lang: str =
     spaced = F.array_join(F.transform(hit, lambda x: F.concat(F.lit(" "), F.lower(x), F.lit(" "))), "") if known else F.lit("")
 
     own_lang = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
-    df = docs
-    if refs.more is not None:  # the row's own language, if it is none of those that are spelt out
-        df = put(df, lang=own_lang).join(refs.more.select(*[F.col(x).alias(own + x) for x in ("_lang", "_classes", "_words", "_shares", "_scale")]), F.col(own + "lang") == F.col(own + "_lang"), "left")
-        df = put(df, known=own_lang.isin(refs.langs) | c("_lang").isNotNull())
-    df = put(df, w=words(F.col("text")), lines=F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    df = put(docs, w=words(F.col("text")), lines=F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = put(df, n=F.size(c("w")), joined=F.array_join(c("w"), ""), hashes=windows.hashes())
     df = put(df, rest=rest_of(c("joined")), packed=windows.packed(c("hashes")))
     df = put(df, enough=(c("n") >= LEAST_WORDS) & (F.length(c("joined")) >= LEAST_CHARS), chars=F.length(c("joined")), counts=F.array(*[x.cast("double") for x in class_counts(c("joined"), c("rest"))]), twins=windows.twins(c("packed")))
@@ -266,18 +240,23 @@ def measure(docs: DataFrame, refs: References, rules: str = "rules", lang: str =
         found = [(F.length(c("common")) - F.length(F.replace(c("common"), F.lit(f" {x} "), F.lit("")))) / F.lit(len(x) + 2) / n for x in ws]
         return F.when(c("enough"), F.array(*found))
 
-    df = put(df, **{f"words{i}": word_shares(ws) for i, ws in enumerate(refs.words) if i in telling})
-    df = put(df, **{f"words{i}": F.concat(c(f"words{i}"), F.array(1 - total(c(f"words{i}")))) for i, ws in enumerate(refs.words) if i in telling})
-    df = put(df, char=nearest([js_distance(c("shares"), q) for q in refs.classes]), word=nearest([js_distance(c(f"words{i}"), refs.shares[i]) * F.lit(WORD_LIMIT / refs.limit(i)) for i in telling]))
-    if refs.more is not None:
-        hits = F.filter(c("w"), lambda x: F.array_contains(c("_words"), F.lower(x)))
-        own_shares = F.transform(c("_words"), lambda x: F.size(F.filter(c("hits"), lambda y: y == x)) / c("n"))
-        df = put(df, hits=F.when(c("enough"), F.transform(hits, F.lower)))
-        df = put(df, own=own_shares)
-        df = put(df, char=F.when(c("known"), F.least(c("char"), F.when(c("enough"), js_between(c("shares"), c("_classes"))))))
-        df = put(df, word=F.least(c("word"), F.when(c("enough"), js_between(F.concat(c("own"), F.array(1 - total(c("own")))), c("_shares")) * c("_scale"))))
-    if refs.more is not None or len(telling) < len(refs.langs):
-        df = put(df, word=F.when(own_lang.isin([refs.langs[i] for i in telling]) | (c("_scale").isNotNull() if refs.more is not None else F.lit(False)), c("word")))
+    if len(refs.langs) <= SPELT_OUT:
+        df = put(df, **{f"words{i}": word_shares(ws) for i, ws in enumerate(refs.words) if i in telling})
+        df = put(df, **{f"words{i}": F.concat(c(f"words{i}"), F.array(1 - total(c(f"words{i}")))) for i, ws in enumerate(refs.words) if i in telling})
+        df = put(df, char=nearest([js_distance(c("shares"), q) for q in refs.classes]), word=nearest([js_distance(c(f"words{i}"), refs.shares[i]) * F.lit(WORD_LIMIT / refs.limit(i)) for i in telling]))
+    else:
+        fixed = lambda rows, kind: F.from_json(F.lit(json.dumps(rows)), kind)
+        classes = fixed(refs.classes, "array<array<double>>")
+        told = fixed([{"w": refs.words[i], "s": refs.shares[i], "k": WORD_LIMIT / refs.limit(i)} for i in telling], "array<struct<w: array<string>, s: array<double>, k: double>>")
+        df = put(df, hits=F.when(c("enough"), F.transform(hit, F.lower)))
+        df = put(df, hits=F.map_from_entries(F.transform(F.array_distinct(c("hits")), lambda x: F.struct(x, F.size(F.filter(c("hits"), lambda y: y == x)))))) if known else put(df, hits=F.lit(None))
+        found = lambda r: F.transform(r["w"], lambda x: F.coalesce(F.try_element_at(c("hits"), x), F.lit(0)) / F.greatest(c("n"), F.lit(1)))
+        own_words = F.transform(told, lambda r: F.struct(found(r).alias("own"), r["s"].alias("s"), r["k"].alias("k")))
+        df = put(df, told=F.when(c("enough"), own_words) if known else F.lit(None))
+        word = F.array_min(F.transform(c("told"), lambda r: js_between(F.concat(r["own"], F.array(1 - total(r["own"]))), r["s"]) * r["k"])) if known else F.lit(None).cast("double")
+        df = put(df, char=F.when(c("enough"), F.array_min(F.transform(classes, lambda q: js_between(c("shares"), q)))), word=word)
+    if len(telling) < len(refs.langs):
+        df = put(df, word=F.when(own_lang.isin([refs.langs[i] for i in telling]), c("word")))
     kept = ~c("failed") & F.coalesce(c("char") <= CHAR_LIMIT, F.lit(True)) & F.coalesce(c("word") <= WORD_LIMIT, F.lit(True))
     dup_lines = F.size(c("lines")) - F.size(F.array_distinct(c("lines")))
     found = {"n_words": c("n").cast("long"), "word_chars": c("chars").cast("long"), "n_symbols": F.get(c("counts"), F.lit(3)).cast("long"), "n_dup_lines": dup_lines.cast("long"), "n_repeat_words": c("repeat"), "base_failed": c("failed"), "char_distance": c("char"), "word_distance": c("word"), "kept": kept}

@@ -171,28 +171,49 @@ def test_text_without_common_words_is_rejected(spark):
     assert not got[100].kept and all(got[200 + i].kept and got[200 + i].word_distance is None for i in range(3))
 
 
-def test_more_languages_than_are_spelt_out(spark, monkeypatch):
-    rnd = random.Random(6)
-
-    def text(stock, letters, n):
-        return " ".join(rnd.choice(stock) if rnd.random() < 0.3 else "".join(rnd.choice(letters) for _ in range(7)) for _ in range(n))
-
-    latin, georgian = "abcdefgh", "ბგდევზთი"
-    rows = [(f"l{k}", text([f"{a}{chr(97 + k)}" for a in "xyzw"], latin, 90)) for k in range(3) for _ in range(12)]
-    rows += [("ka", text(["და", "არ", "ეს", "რომ"], georgian, 80)) for _ in range(12)] + [("ka", text(["ჯჯჯჯჯჯჯ"], georgian, 80).replace("ჯჯჯჯჯჯჯ", "ბგბგ" * 2)), (None, text(["და", "არ", "ეს", "რომ"], georgian, 80)), (None, text(["xa", "ya", "za", "wa"], latin, 90))]
-    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(rows)], "doc_id long, text string, lang string")
-    whole = {r.doc_id: r.rules for r in quality_rules.measure(docs, quality_rules.learn(docs)).collect()}
-    assert [i for i, r in whole.items() if not r.kept] == [48]
-    monkeypatch.setattr(quality_rules, "MOST_LANGS", 2)
-    for broadcast in (100, 0):
-        monkeypatch.setattr(quality_rules, "BROADCAST_LANGS", broadcast)
-        got = quality_rules.measure(docs, quality_rules.learn(docs))
-        assert got.columns == [*docs.columns, "rules"]
-        got = {r.doc_id: r.rules for r in got.collect()}
-        assert len(got) == len(rows) and {i: r.kept for i, r in got.items()} == {i: r.kept for i, r in whole.items()}
-        for i in range(49):  # each row's own language is the nearest one
-            assert abs(got[i].char_distance - whole[i].char_distance) < 1e-9 or rows[i][0] != "ka"
-            assert abs(got[i].word_distance - whole[i].word_distance) < 1e-9
+def many_languages(n, rnd):
+    """Texts of n languages; each language's last one is laden with symbols. Then junk and clean texts without a language."""
+    def text(k, words):
+        return " ".join(rnd.choice([f"{a}{chr(97 + k)}" for a in "xyzw"]) if rnd.random() < 0.3 else "".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(words))
+
+    rows = [(f"l{k:02}", text(k, 90)) for k in range(n) for _ in range(8)]
+    bad = [(f"l{k:02}", " ".join(w + "#" * len(w) for w in text(k, 90).split())) for k in range(n)]
+    junk = " ".join("%$|" * 3 + w for w in text(0, 80).split())
+    return rows, bad, [(None, junk), (None, text(0, 90)), ("rare", text(1, 90))]
+
+
+def test_any_number_of_languages(spark):
+    """20 languages are judged as 4 or 16 are, whether distances are spelt out or taken over an array."""
+    for n in (4, 16, 17, 20):
+        rows, bad, others = many_languages(n, random.Random(6))
+        docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate([*rows, *bad, *others])], "doc_id long, text string, lang string")
+        refs = quality_rules.learn(docs.where("lang <> 'rare'"))
+        assert len(refs.langs) == n
+        got = {r.doc_id: r.rules for r in quality_rules.measure(docs, refs).collect()}
+        assert all(got[i].kept for i in range(len(rows)))
+        assert all(not got[i].base_failed and not got[i].kept and got[i].char_distance > quality_rules.CHAR_LIMIT for i in range(len(rows), len(rows) + n))
+        last = [got[len(rows) + n + k] for k in range(3)]
+        assert [r.kept for r in last] == [False, True, True] and last[0].char_distance > quality_rules.CHAR_LIMIT
+
+
+def test_both_ways_to_the_nearest_language_are_equal(spark, monkeypatch):
+    rows, bad, others = many_languages(5, random.Random(7))
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate([*rows, *bad, *others, ("l01", None), ("l01", ""), ("l02", "short text")])], "doc_id long, text string, lang string")
+    refs = quality_rules.learn(docs)
+    want = {r.doc_id: r.rules for r in quality_rules.measure(docs, refs).collect()}
+    monkeypatch.setattr(quality_rules, "SPELT_OUT", 2)
+    got = {r.doc_id: r.rules for r in quality_rules.measure(docs, refs).collect()}
+    for i, r in want.items():
+        same = lambda a, b: a is None and b is None or abs(a - b) < 1e-9
+        assert r.kept == got[i].kept and same(r.char_distance, got[i].char_distance) and same(r.word_distance, got[i].word_distance)
+
+
+def test_rare_languages_have_no_reference(spark, monkeypatch):
+    rows, _, _ = many_languages(3, random.Random(8))
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate([*rows, ("few", "a b c")])], "doc_id long, text string, lang string")
+    assert len(quality_rules.learn(docs).langs) == 4
+    monkeypatch.setattr(quality_rules, "LEAST_SHARE", 0.01)
+    assert quality_rules.learn(docs).langs == ["l00", "l01", "l02"] or sorted(quality_rules.learn(docs).langs) == ["l00", "l01", "l02"]
 
 
 def long_hash(values, seed=42):
