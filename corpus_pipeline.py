@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import language_id, ngram_join, quality_rules
-from folioscope.llm.common import fresh_name, shared_dir, table
+from folioscope.llm.common import fresh_name, remove, removed_at_exit, shared_dir, table
 from folioscope.llm.packing import pack
 
 #: A language below this share of the likelihood is no decision.
@@ -49,13 +49,22 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read again."""
+    """All stages over documents; each stage's rows are written to the shared folder and read again.
+
+    A stage's table goes once the next one is written; that of the last but one, which the result is made from, goes with the
+    application. Null texts have no words and fail the quality rules, as do empty ones; texts are read whole, of any length;
+    repeated rows are one group of near duplicates; of equals the smallest doc_id stays. Extra columns are carried to the last
+    stage, whatever their names. An empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
+            removed_at_exit(spark, f"{folder}/{k}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}")
             docs = spark.read.parquet(f"{folder}/{k}")
     return docs
 
