@@ -1,14 +1,16 @@
 """License scan with a positional index of licence texts.
 
-Every word of every licence template has its position, and a weight by its inverse document frequency over all
-documents. A template whose key phrases have all their words in a file is looked up by the rarest of these words, at
-every place it stands. A place minus the word's position is where the template would begin: it is verified by its key
-phrases, which must stand at their positions, and by the weight of its words in place. No template is left untried.
+Every word of a template's key phrases has postings: the templates it stands in, and its position there. A file's licence words
+are looked up from the highest inverse document frequency (over all documents) down. A word's place in the file minus its
+position is where the template would begin; the next words' postings leave those begins at which they stand, too, LOOKUPS
+words of a template at most. What is left is verified by the key phrases, which must stand at their positions, and by the weight
+of the template's words in place. Every template whose key words are all in the file is tried at each of its begins.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -55,16 +57,22 @@ TEMPLATES = [
     ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary", ["anyone is free to copy modify publish use compile sell"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
     ("reserved", "copyright all rights reserved", ["all rights reserved"]),
+    ("mit", "mit license", ["mit license"]),
+    ("mpl-2.0", "mozilla public license 2 0", ["mozilla public license 2 0"]),
+    ("mpl-2.0", "mozilla public license version 2 0", ["mozilla public license version 2 0"]),
+    ("epl", "eclipse public license", ["eclipse public license"]),
+    ("bsl-1.0", "boost software license version 1 0", ["boost software license"]),
 ]
 
-#: Label and how the words of a licence identifier line begin.
-IDENTIFIERS = [("mit", "mit"), ("apache-2.0", "apache 2 0"), ("gpl", "gpl"), ("lgpl", "lgpl"), ("agpl", "agpl"), ("bsd", "bsd"), ("isc", "isc"), ("mpl-2.0", "mpl 2 0"), ("cc-by-nc", "cc by nc"), ("cc-by-sa", "cc by sa"), ("cc-by", "cc by 4 0"), ("cc-by", "cc by 3 0"), ("cc0", "cc0 1 0"), ("unlicense", "unlicense")]
-TEMPLATES += [(label, f"spdx license identifier {name}", [f"spdx license identifier {name}"]) for label, name in IDENTIFIERS]
+#: Label and how the words of a licence identifier begin; the longest that fits counts.
+IDENTIFIERS = [("mit", "mit"), ("apache-2.0", "apache 2 0"), ("gpl", "gpl"), ("lgpl", "lgpl"), ("agpl", "agpl"), ("bsd", "bsd"), ("isc", "isc"), ("mpl-2.0", "mpl 2 0"), ("cc-by-nc", "cc by nc"), ("cc-by-sa", "cc by sa"), ("cc-by", "cc by 4 0"), ("cc-by", "cc by 3 0"), ("cc0", "cc0 1 0"), ("unlicense", "unlicense"), ("epl", "epl"), ("bsl-1.0", "bsl 1 0")]
+#: What an identifier line begins with; what may follow an identifier; what joins two.
+IDENTIFIER_LINE, VERSIONS, JOINTS = "spdx license identifier", re.compile(rb"[0-9]+|only|plus|clause|later"), (b"or", b"and")
 
 #: Digits, letters in lower case and all bytes of other characters; the rest are spaces.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Words that must agree on a beginning, least share of weight found.
-AGREE, LEAST_SHARE = 2, 0.5
+#: Words of a template that are looked up at most; words that must agree on a beginning, least share of weight found.
+LOOKUPS, AGREE, LEAST_SHARE = 3, 2, 0.5
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -96,14 +104,58 @@ class Index:
     def __init__(self, df: dict[bytes, int], n: int, source=TEMPLATES, base=BASE):
         self.templates = templates(source)
         self.base = [(p.encode().split(), label) for p, label in base.items()]
-        self.vocabulary = frozenset(w for x in self.templates for w in x.words) | {w for p, _ in self.base for w in p}
+        self.line = IDENTIFIER_LINE.encode().split()
+        self.vocabulary = frozenset(w for x in self.templates for w in x.words) | {w for p, _ in self.base for w in p} | frozenset(self.line)
         self.idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1e-6 for w in self.vocabulary}
         self.weight = [sum(self.idf[w] for w in x.words) for x in self.templates]
-        self.anchors: list[tuple[frozenset[bytes], bytes, int]] = []  # words that must be there, the rarest, its position
-        for x in self.templates:
-            placed = [(i + j, w) for i, k in x.keys for j, w in enumerate(k)]
-            i, w = min(placed, key=lambda p: (-self.idf[p[1]], p))
-            self.anchors.append((frozenset(w for _, w in placed), w, i))
+        self.needs = [frozenset(w for _, k in x.keys for w in k) for x in self.templates]
+        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)  # of words of key phrases: template, position
+        for t, x in enumerate(self.templates):
+            for position, w in sorted({(i + j, w) for i, k in x.keys for j, w in enumerate(k)}):
+                self.postings[w].append((t, position))
+        # the licence words from the rarest on, ties by the word
+        self.order = {w: k for k, w in enumerate(sorted(self.postings, key=lambda w: (-self.idf[w], w)))}
+        self.identifiers = sorted(((label, name.encode().split()) for label, name in IDENTIFIERS), key=lambda x: -len(x[1]))
+
+    def begins(self, words: list[bytes], present: frozenset[bytes], at: dict[bytes, list[int]]) -> dict[int, list[int]]:
+        """Where each template may begin, by the file's licence words from the rarest on."""
+        tried = {t for t, needs in enumerate(self.needs) if present.issuperset(needs)}
+        found: dict[int, list[int]] = {}
+        used: Counter = Counter()
+        for w in sorted(present.intersection(self.order), key=self.order.__getitem__) if tried else ():
+            for t, position in self.postings[w]:
+                if t not in tried or used[t] >= LOOKUPS:
+                    continue
+                used[t] += 1
+                if t in found:
+                    found[t] = [b for b in found[t] if 0 <= b + position < len(words) and words[b + position] == w]
+                else:
+                    found[t] = [place - position for place in at[w]]
+                if not found[t]:
+                    tried.discard(t)
+        return found
+
+    def identified(self, words: list[bytes], at: dict[bytes, list[int]]) -> set[str]:
+        """Labels of all licences in the expressions of identifier lines."""
+        labels: set[str] = set()
+        for i in at.get(self.line[0], ()):
+            if words[i : i + len(self.line)] != self.line:
+                continue
+            i += len(self.line)
+            while True:
+                name = next(((label, k) for label, k in self.identifiers if words[i : i + len(k)] == k), None)
+                if name is None:
+                    break
+                labels.add(name[0])
+                i += len(name[1])
+                while i < len(words) and (VERSIONS.fullmatch(words[i]) or words[i : i + 2] == [b"or", b"later"]):
+                    i += 1
+                if words[i : i + 1] == [b"with"]:  # an exception, of a few words
+                    i = next((k for k in range(i, min(i + 6, len(words))) if words[k] in JOINTS), len(words))
+                if i >= len(words) or words[i] not in JOINTS:
+                    break
+                i += 1
+        return labels
 
     def scan(self, words: list[bytes]) -> tuple[int, int | None, int | None, str, str, float]:
         """n_base, first_word, last_word, base_labels, labels, score."""
@@ -124,12 +176,12 @@ class Index:
                     starts += found
                     base.add(label)
         labels, score = set(base), 1.0 if base else 0.0
-        for t, (needs, word, position) in enumerate(self.anchors):
-            if not present.issuperset(needs):
-                continue
+        named = self.identified(words, at) if present.issuperset(self.line) else set()
+        if named:
+            labels, score = labels | named, 1.0
+        for t, places in self.begins(words, present, at).items():
             x = self.templates[t]
-            for place in at[word]:
-                begin = place - position
+            for begin in places:
                 if any(begin + i < 0 or words[begin + i : begin + i + len(k)] != k for i, k in x.keys):
                     continue
                 there = [self.idf[w] for i, w in enumerate(x.words) if 0 <= begin + i < len(words) and words[begin + i] == w]
@@ -164,8 +216,9 @@ def scan(docs: DataFrame, source=TEMPLATES, base=BASE) -> DataFrame:
 
     Null texts count as empty: no words, null first_word and last_word, empty labels, score 0. The score is the
     largest share, by weight, of a verified template's words that stand in place; 1 where a base phrase stands.
-    Texts are scanned whole; repeated rows give equal rows; other columns are not read. Two passes over the
-    texts, no shuffle of texts; the index is a fixed list of notices.
+    Texts are scanned whole, of any length; repeated rows give equal rows; words of one frequency are looked up in order of the
+    word, which the result does not depend on; an empty table gives an empty result; other columns are not read. Two passes
+    over the texts, no shuffle of texts; the index is a fixed list of notices.
     """
     vocabulary = Index({}, 0, source, base).vocabulary
     df, n = document_frequencies(docs, vocabulary)

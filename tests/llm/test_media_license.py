@@ -96,10 +96,22 @@ def test_several_notices_in_one_file():
     assert set(index.scan(license_scan.words_of(every.encode()))[4].split(",")) == {label for label, _, _ in license_scan.TEMPLATES}
 
 
+def plain_identifiers(text):
+    """Labels of the licences that expressions of identifier lines name, by one pattern."""
+    names = "|".join(sorted((name for _, name in license_scan.IDENTIFIERS), key=lambda x: (-len(x.split()), x)))
+    one = rf"(?:{names})(?: (?:[0-9]+|only|plus|clause|later)(?= )| or(?= later ))*"
+    out = set()
+    for m in re.finditer(rf"(?= spdx license identifier ((?:{one})(?:(?: with(?: (?!or |and )[^ ]+){{0,4}})? (?:or|and) {one})*) )", f" {text} "):
+        for x in re.split(" (?:or|and) (?!later)", m.group(1)):
+            out.add(next(label for label, name in sorted(license_scan.IDENTIFIERS, key=lambda y: -len(y[1].split())) if f"{x} ".startswith(f"{name} ")))
+    return out
+
+
 def plain_labels(index, words):
     """Labels and score from every template at every place of a text, without an index."""
     base = {label for phrase, label in license_scan.BASE.items() if f" {phrase} " in f" {b' '.join(words).decode()} "}
-    labels, score = set(base), 1.0 if base else 0.0
+    named = plain_identifiers(" ".join(w.decode() for w in words))
+    labels, score = base | named, 1.0 if base | named else 0.0
     for label, notice, keys in license_scan.TEMPLATES:
         notice = notice.encode().split()
         weights = [index.idf[w] for w in notice]
@@ -144,6 +156,11 @@ def test_several_notices_names_and_identifier_lines():
     assert labels("GNU Lesser General Public License v3") == "gpl,lgpl"
     assert labels("// SPDX-License-Identifier: MPL-2.0") == "mpl-2.0" and labels("# SPDX-License-Identifier: GPL-3.0-or-later") == "gpl"
     assert labels("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.") == "mit"
+    assert labels("MIT License\n\nCopyright") == "mit" and labels("Mozilla Public License 2.0") == "mpl-2.0" and labels("Eclipse Public License - v 2.0") == "epl" and labels("Boost Software License, Version 1.0") == "bsl-1.0"
+    assert labels("SPDX-License-Identifier: (MIT OR Apache-2.0)") == "apache-2.0,mit" and labels("SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 AND BSD-3-Clause") == "bsd,gpl"
+    assert labels("SPDX-License-Identifier: EPL-2.0 OR (GPL-2.0-only AND ISC) x MIT") == "epl,gpl,isc" and labels("SPDX-License-Identifier: MIT or so") == "mit" and labels("SPDX license identifier") == ""
+    tied = license_scan.Index({w: 5 for w in license_scan.Index({}, 0).vocabulary}, 10)  # all words alike
+    assert tied.scan(license_scan.words_of(b"released under the mit license"))[4] == "mit"
     assert labels("License: MIT-like words, spdx identifier license mit") == ""
     one = license_scan.Index({}, 10, base={"copyleft": "copyleft"})
     assert one.scan([b"copyleft"])[:5] == (1, 0, 0, "copyleft", "copyleft")
