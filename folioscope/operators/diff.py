@@ -211,20 +211,22 @@ def merge3(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
     t = diff_align(base, theirs).withColumnRenamed("r", "t")
     stable = kept(o.join(t, ["doc_id", "l"]).withColumn("region", F.row_number().over(W.partitionBy("doc_id").orderBy("l"))))
 
-    def texts(x: DataFrame, place: str, name: str) -> DataFrame:
+    def side(x: DataFrame, place: str, name: str) -> DataFrame:
+        """Lines of one side with their region; a stable line of the base opens its region."""
         s = stable.select("doc_id", F.col(place).alias("j"), "region")
         y = x.select("doc_id", F.col("j").cast("int").alias("j"), "line").join(s, ["doc_id", "j"], "left").withColumn("reg", F.coalesce(F.max("region").over(W.partitionBy("doc_id").orderBy("j")), F.lit(0)))
-        return y.where("region IS NULL").groupBy("doc_id", F.col("reg").alias("region")).agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "line"))), lambda z: z["line"]).alias(name))
+        y = y if name == "b" else y.where("region IS NULL")
+        return y.select("doc_id", F.col("reg").alias("region"), F.when(F.col("region").isNotNull(), "kept").otherwise(name).alias("side"), "j", "line")
 
-    none = F.expr("cast(array() AS array<string>)")
-    keep = base.select("doc_id", F.col("j").cast("int").alias("l"), F.col("line").alias("kept")).join(stable.select("doc_id", "l", "region"), ["doc_id", "l"]).select("doc_id", "region", "kept")
-    r = texts(base, "l", "b").join(texts(ours, "o", "o"), ["doc_id", "region"], "full").join(texts(theirs, "t", "t"), ["doc_id", "region"], "full").join(keep, ["doc_id", "region"], "full")
-    b, x, y = (F.coalesce(c, none) for c in ("b", "o", "t"))
+    every = side(base, "l", "b").unionByName(side(ours, "o", "o")).unionByName(side(theirs, "t", "t"))
+    of = lambda name: F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == name, F.struct("j", "line")))), lambda z: z["line"]).alias(name)
+    r = every.groupBy("doc_id", "region").agg(*[of(x) for x in ("kept", "b", "o", "t")])
+    b, x, y = (F.col(c) for c in ("b", "o", "t"))
     clash = (x != y) & (x != b) & (y != b)
     marked = F.concat(F.array(F.lit("<<<<<<< ours")), x, F.array(F.lit("=======")), y, F.array(F.lit(">>>>>>> theirs")))
     body = F.when(x == y, x).when(x == b, y).when(y == b, x).otherwise(marked)
     # a region's own stable line comes before its lines
-    r = r.select("doc_id", "region", F.concat(F.when(F.col("kept").isNotNull(), F.array("kept")).otherwise(none), body).alias("ls"), clash.alias("clash"))
+    r = r.select("doc_id", "region", F.concat("kept", body).alias("ls"), clash.alias("clash"))
     out = r.groupBy("doc_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("region", "ls"))), lambda z: z["ls"])).alias("ls"), F.count_if("clash").alias("conflict_count"))
     return out.select("doc_id", F.array_join("ls", "\n").alias("merged"), (F.col("conflict_count") > 0).alias("has_conflicts"), "conflict_count")
 

@@ -9,6 +9,7 @@ from urllib.parse import parse_qs, urlparse
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from folioscope.functions.expr import strip
 
@@ -79,7 +80,7 @@ def marked_up(page: str | None) -> str | None:
     return _REFERENCE.sub(lambda m: html.unescape(m.group(0)).translate(_HELD) if html.unescape(m.group(0)) != m.group(0) else m.group(0), page)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _marked_up(pages: pd.Series) -> pd.Series:
     return pages.map(marked_up, na_action="ignore")
 

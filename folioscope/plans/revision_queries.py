@@ -369,8 +369,8 @@ NAMES = (
 )
 
 
-def manifest(spark, d):
-    s = S.section_slugs(S.split_sections(lines(spark, d), 2))
+def manifest(spark, d, sections=None):
+    s = kept(S.section_slugs(S.split_sections(lines(spark, d), 2) if sections is None else sections))
     return s.join(S.section_files(s), ["doc_id", "section"])
 
 
@@ -389,8 +389,9 @@ def earlier(m):
     FROM names""",
 )
 def section_slugs(spark, d):
-    s = S.split_sections(lines(spark, d), 2).withColumn("heading_id", F.concat(F.lit("h."), F.col("section").cast("string")))
-    return S.section_slugs(s, earlier(manifest(spark, d))).select("doc_id", F.col("section").cast("long").alias("section"), "slug")
+    sections = kept(S.split_sections(lines(spark, d), 2))
+    s = sections.withColumn("heading_id", F.concat(F.lit("h."), F.col("section").cast("string")))
+    return S.section_slugs(s, earlier(manifest(spark, d, sections))).select("doc_id", F.col("section").cast("long").alias("section"), "slug")
 
 
 @query("section_files", f"WITH {NAMES} SELECT doc_id, section, filename FROM names")
@@ -402,7 +403,7 @@ OLD_NEW = NAMES + ", o AS (SELECT doc_id, section AS pos, CASE WHEN section % 5
 
 
 def old_new(spark, d):
-    m = manifest(spark, d)
+    m = kept(manifest(spark, d))
     hid = "CASE WHEN section % 5 = 3 THEN '' ELSE concat('h', section) END AS heading_id"
     o = m.selectExpr("doc_id", "section AS pos", hid, "slug", "filename")
     n = m.where("(doc_id + section) % 4 <> 0").selectExpr("doc_id", "section AS pos", hid, "CASE WHEN section % 2 = 1 THEN concat(slug, 'x') ELSE slug END AS slug", "CASE WHEN section % 3 = 0 THEN filename ELSE concat('9', filename) END AS filename")
@@ -587,7 +588,7 @@ def merge3(spark, d):
 @query("merge3_one_side", f"WITH {OURS} SELECT b.doc_id, o.content AS merged, false AS has_conflicts, 0 AS conflict_count FROM base b JOIN ours o USING (doc_id)")
 def merge3_one_side(spark, d):
     """merge(base, ours, base) is ours, for every document."""
-    split = lambda x: x.select("doc_id", F.posexplode(F.split("content", "\n", -1)).alias("j", "line"))
+    split = lambda x: kept(x.select("doc_id", F.posexplode(F.split("content", "\n", -1)).alias("j", "line")))
     b = split(V.base(spark, d))
     return long(D.merge3(b, split(V.ours(spark, d)), b), "conflict_count")
 
@@ -615,7 +616,7 @@ def restyled(spark, d):
 
 
 def restyled_sides(spark, d):
-    split = lambda x: x.select("doc_id", F.posexplode(F.split("content", "\n", -1)).alias("j", "line"))
+    split = lambda x: kept(x.select("doc_id", F.posexplode(F.split("content", "\n", -1)).alias("j", "line")))
     return split(V.base(spark, d)), split(restyled(spark, d))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators.crawl import LARGEST_IMAGE, image_type
-from folioscope.sources.tables import shared_folder  # noqa: F401
+from folioscope.sources.tables import removed_at_exit, shared_folder  # noqa: F401
 
 PAGE = "id string, title string, space_key string, version int, status string, created_date string, modified_date string, creator string, last_modifier string, parent_id string, url string, labels array<string>"
 CONFLICT = "doc_id long, local string, kind string, at string"
@@ -22,6 +24,17 @@ def scan_documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
+def folder_of(path: Column, top: str) -> Column:
+    """The folders between a top folder and a file, from a path as scans give it."""
+    return F.regexp_extract(path, f"/{re.escape(top.rstrip('/').rsplit('/', 1)[-1])}/(.*)/[^/]*$", 1)
+
+
+def write_each(rows: DataFrame, folder: str, content: str, by: list[str]) -> None:
+    """Writes the content of each row (text or bytes, and a line end) to a file of its own, in folders by column."""
+    rows.select(F.col(content).cast("string").alias("value"), *by).write.option("maxRecordsPerFile", 1).partitionBy(*by).text(folder)
+    removed_at_exit(rows.sparkSession, folder)
+
+
 def scan_crawl(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(PAGE).json(folder)
 

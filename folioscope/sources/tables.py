@@ -20,7 +20,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The rows of df, written once and read again: for what several branches of a plan read, and to cut lineage."""
-    path = shared_folder(df.sparkSession, "kept")
+    """The rows of df, written once and read again: for what several branches of a plan read, and to cut lineage.
+
+    The application owns the table, which goes when the driver's JVM ends.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, "kept")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    removed_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed_at_exit(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
