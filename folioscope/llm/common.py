@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -101,6 +101,15 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def spread_over(data: Column, most: int, piece: int = 1024) -> Column:
+    """Bytes to learn from: all of data (binary) if it has `most` at most, else `most` in pieces that lie in equal steps from its
+    start to its end, a space between."""
+    n = most // (piece + 1)
+    at = [F.floor((F.length(data) - piece) * i / (n - 1)).cast("int") + 1 for i in range(n)]
+    pieces = [x for a in at for x in (F.substring(data, a, F.lit(piece)), F.lit(b" "))]
+    return F.when(F.length(data) <= most, data).otherwise(F.concat(*pieces))
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

@@ -18,9 +18,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import bytes_of, id_and_text
+from folioscope.llm.common import bytes_of, id_and_text, spread_over
 
-#: Bounds of what is learnt from: rows a language, bytes of a row, different words a language.
+#: Bounds of what is learnt from: rows a language, bytes of a row, spread over its text, different words a language.
 ROWS_A_LANG = 250
 BYTES_A_ROW = 8192
 WORDS_A_LANG = 12_000
@@ -200,7 +200,7 @@ def train(docs: DataFrame, path: str | None = None, rows_a_lang: int = ROWS_A_LA
     ids = rows.withColumn("r", F.row_number().over(near)).where(F.col("r") <= rows_a_lang).withColumn("r", F.row_number().over(far)).where(F.col("r") <= rows_a_lang)
     got = ids.select("doc_id", "lang", "h").collect()
     wanted = docs.sparkSession.createDataFrame([(r.doc_id, r.lang) for r in got], "doc_id long, lang string")
-    sample = docs.where("text is not null").select("doc_id", "lang", F.substring(F.col("text").cast("binary"), 1, BYTES_A_ROW).alias("b")).join(F.broadcast(wanted), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("b").alias("b")).collect()  # of repeated ids one row
+    sample = docs.where("text is not null").select("doc_id", "lang", spread_over(F.col("text").cast("binary"), BYTES_A_ROW).alias("b")).join(F.broadcast(wanted), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("b").alias("b")).collect()  # of repeated ids one row
     langs = sorted({r.lang for r in sample})
     pieces = vocabulary(path)
     longest = min(16, max(map(len, pieces), default=1))

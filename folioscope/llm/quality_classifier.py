@@ -15,15 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import bytes_of, id_and_text
+from folioscope.llm.common import bytes_of, id_and_text, spread_over
 
-#: Bounds of what is learnt from: rows a class for each of dictionaries and curve, and bytes of a row.
+#: Bounds of what is learnt from: rows a class for each of dictionaries and curve, and bytes of a row, spread over its text.
 ROWS_A_CLASS = 800
 BYTES_A_ROW = 16_384
 DICT_BYTES = 112_640
 #: Texts are compressed in blocks of so many bytes, so that a dictionary weighs as much in a long text as in a short one.
 BLOCK = 1024
 LEVEL = 3
+#: Part of a text by which a sample's share of a dictionary begins later than that of the sample before.
+STEP = 0.6180339887
 
 
 def held_out(doc_id, folds: int, fold: int):
@@ -93,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS)
     for q in (0, 1):  # at most 2 * rows_a_class ids a class: bounded, so they may be broadcast
         part = labels.where(F.col("quality") == q).select("doc_id", "quality", F.xxhash64("doc_id").alias("h")).orderBy(*order).limit(2 * rows_a_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = id_and_text(docs).where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("h", "doc_id", "quality").agg(F.min(F.substring(F.col("text").cast("binary"), 1, BYTES_A_ROW)).alias("b"))
+    texts = id_and_text(docs).where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("h", "doc_id", "quality").agg(F.min(spread_over(F.col("text").cast("binary"), BYTES_A_ROW)).alias("b"))
     rows = sorted(texts.collect(), key=lambda r: (r.quality, r.h, r.doc_id))  # of repeated ids one row
     by = {q: [bytes(r.b) for r in rows if r.quality == q] for q in (0, 1)}
     total = sum(counts.values())
@@ -114,9 +116,10 @@ def train(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS)
 
 
 def dictionary(samples: list[bytes], most: int = DICT_BYTES) -> bytes:
-    """The content of a dictionary: an equal share of every sample's start."""
+    """The content of a dictionary: an equal share of every sample, from another part of each, so that all parts of texts have their say."""
     share = max(64, most // len(samples))
-    return b"".join([s[:share] for s in samples])[:most]
+    starts = [int(max(0, len(s) - share) * (k * STEP % 1)) for k, s in enumerate(samples)]
+    return b"".join([s[a : a + share] for s, a in zip(samples, starts)])[:most]
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

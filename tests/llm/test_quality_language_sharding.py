@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import xxhash
 import zstandard
+from pyspark.sql import functions as F
 
 from folioscope.llm import language_id, quality_classifier, quality_rules, sharding
 from folioscope.llm.queries import QUERIES
@@ -216,6 +217,18 @@ def test_rare_languages_have_no_reference(spark, monkeypatch):
     assert quality_rules.learn(docs).langs == ["l00", "l01", "l02"] or sorted(quality_rules.learn(docs).langs) == ["l00", "l01", "l02"]
 
 
+def test_learning_reads_all_parts_of_a_text(spark):
+    from folioscope.llm.common import spread_over
+
+    texts = [b"", b"short", bytes(range(97, 123)) * 40, b"0123456789" * 5000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t binary").select("i", spread_over(F.col("t"), 2050, 1024).alias("b")).collect()
+    got = {r.i: bytes(r.b) for r in rows}
+    assert [got[i] for i in range(3)] == texts[:3]
+    assert got[3] == texts[3][:1024] + b" " + texts[3][-1024:] + b" "
+    samples = [b"a" * 1000 + b"b" * 1000 + b"c" * 1000 for _ in range(30)]
+    assert set(quality_classifier.dictionary(samples, 3000)) == set(b"abc")
+
+
 def long_hash(values, seed=42):
     """Spark's xxhash64 of longs, a null leaves the hash as it is; ints are given as bytes."""
     for v in values:
