@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.llm.bpe_codec import encode_decode
@@ -97,6 +98,19 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5 counts before any reference comes in, which SQL can say."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.measure(docs, quality_rules.References()).select("doc_id", *[f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")])
+
+
+def sharding_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each of op6's shards: its rows, its slots, and the sizes and texts of all shards together."""
+    out = op6_sharding(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n_rows"), F.count_distinct("slot").alias("slots"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.sum("size").alias("size"), F.bit_xor("doc_id").alias("ids"))
+    every = W.partitionBy()  # one row a shard
+    return out.select(F.col("shard").cast("long").alias("shard"), "n_rows", "slots", "first_slot", "last_slot", F.sum("size").over(every).alias("total_size"), F.bit_xor("ids").over(every).alias("all_ids"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_language_id": op2_language_id,
@@ -111,6 +125,55 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_substring_dedup": op11_substring_dedup,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_periodic_runs": op13_periodic_runs,
+    "quality_base_counts": quality_base_counts,
+    "sharding_laws": sharding_laws,
 }
 
-ORACLES: dict[str, str] = {}
+#: White space as the operators take it, and a text's words.
+_SPACE = "[\\x20\\x09-\\x0D]+"
+_WORDS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '')"
+#: crc32 of a number's decimal digits, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(cast({0} AS varchar), ''), lambda x: [ascii(x)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+   lambda c, b: xor(xor(c, b) >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384::bigint ELSE 0 END)), 4294967295::bigint)"""
+
+ORACLES: dict[str, str] = {
+    "op11_substring_dedup": f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+ k AS (SELECT doc_id, i, array_to_string(ws[i + 1 : i + 13], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(len(ws) - 12)) AS i FROM w)),
+ least AS (SELECT g, min(doc_id) AS first FROM k GROUP BY g),
+ gone AS (SELECT DISTINCT doc_id, i + unnest(range(13)) AS p FROM k JOIN least USING (g) WHERE first < doc_id),
+ placed AS (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS p, unnest(ws) AS word FROM w),
+ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM placed WHERE (doc_id, p) NOT IN (SELECT (doc_id, p) FROM gone) GROUP BY doc_id),
+ n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+ SELECT w.doc_id, len(ws) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(kept.kept, '')) AS kept_sha256 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op12_conversation_trie": f"""WITH t AS (
+   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ c AS (SELECT conv_id, count(*) AS size, {_CRC.format('conv_id')} % 4 AS h FROM t GROUP BY conv_id),
+ r AS (
+   SELECT c.conv_id, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.pos < c.h
+   UNION ALL
+   SELECT c.conv_id, t.pos - c.h + least(c.h, coalesce(b.size, 0)), t.role, t.text FROM c JOIN t USING (conv_id) LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 20 WHERE t.pos >= c.h),
+ seq AS (
+   SELECT c.conv_id, coalesce(list(md5(concat(length(role), ':', role, text)) ORDER BY pos) FILTER (WHERE pos IS NOT NULL), []) AS ks,
+     coalesce(list(len({_WORDS}) ORDER BY pos) FILTER (WHERE pos IS NOT NULL), []) AS ns
+   FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+ m AS (SELECT conv_id, d, array_to_string(ks[:d], '') AS node, CASE WHEN d > 0 THEN ns[d] ELSE 0 END AS words, d = len(ks) AS ends FROM (SELECT *, unnest(range(len(ks) + 1)) AS d FROM seq)),
+ nodes AS (
+   SELECT node, d, min(conv_id) AS conv_id, count(*) AS n, any_value(words) AS words, sha256(coalesce(string_agg(cast(conv_id AS varchar), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+   FROM m GROUP BY node, d),
+ kids AS (SELECT node[: 32 * (d - 1)] AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+ v AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (node)),
+ up AS (SELECT node[: 32 * a] AS node, count_if(n_children = 0) AS n_leaves, sum((n - 1) * words)::bigint AS saved FROM (SELECT *, unnest(range(d + 1)) AS a FROM v) GROUP BY 1)
+ SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n AS n_convs, v.n_children, up.n_leaves, up.saved AS saved_tokens, v.ends_sha256
+ FROM v JOIN up USING (node) LEFT JOIN v p ON v.d > 0 AND p.d = v.d - 1 AND p.node = v.node[: 32 * (v.d - 1)]""",
+    "quality_base_counts": f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
+ l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM w),
+ k AS (SELECT doc_id, i, ws[i + 1 : i + 3] AS g FROM (SELECT doc_id, ws, unnest(range(len(ws) - 2)) AS i FROM w)),
+ twice AS (SELECT doc_id, g FROM k GROUP BY doc_id, g HAVING count(*) > 1),
+ covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, i + unnest(range(3)) AS p FROM k JOIN twice USING (doc_id, g)) GROUP BY doc_id)
+ SELECT doc_id, len(ws) AS n_words, length(regexp_replace(text, '{_SPACE}', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+   len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(n, 0) > 50 * len(ws) AS base_failed
+ FROM w JOIN l USING (doc_id) LEFT JOIN covered USING (doc_id)""",
+    "sharding_laws": """WITH s AS (SELECT unnest(range(24)) AS shard), t AS (SELECT count(*) AS n, sum(octet_length(encode(coalesce(text, ''))) + 8)::bigint AS total_size, bit_xor(doc_id) AS all_ids FROM documents),
+ c AS (SELECT shard, ((shard + 1) * n + 23) // 24 - (shard * n + 23) // 24 AS n_rows, total_size, all_ids FROM s, t)
+ SELECT shard, n_rows, n_rows AS slots, 0 AS first_slot, n_rows - 1 AS last_slot, total_size, all_ids FROM c""",
+}
