@@ -106,7 +106,7 @@ def remote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_COMMENTS = """comments AS (SELECT c.conv_id AS comment_id, d.doc_id, c.text AS body, c.conv_id % 3 = 0 AS resolved, CASE WHEN c.conv_id % 13 <> 0 THEN concat('user', c.conv_id % 9) END AS author,
-  CASE WHEN c.conv_id % 17 <> 0 THEN left(list_extract(string_split(b.content, chr(10)), cast(c.conv_id % len(string_split(b.content, chr(10))) AS integer) + 1), 20) END AS quote
+  CASE WHEN c.conv_id % 17 <> 0 THEN list_extract(string_split(b.content, chr(10)), cast(c.conv_id % len(string_split(b.content, chr(10))) AS integer) + 1) END AS quote
   FROM conversations c JOIN (SELECT doc_id FROM documents) d ON d.doc_id = c.conv_id JOIN base b ON b.doc_id = d.doc_id WHERE c.turn = 0)"""
 
 
@@ -120,7 +120,7 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir).select("doc_id", F.split("content", "\n", -1).alias("ls"))
     return first.join(b, first.conv_id == b.doc_id).selectExpr(
         "conv_id AS comment_id", "doc_id", "text AS body", "conv_id % 3 = 0 AS resolved", "CASE WHEN conv_id % 13 <> 0 THEN concat('user', conv_id % 9) END AS author",
-        "CASE WHEN conv_id % 17 <> 0 THEN left(get(ls, cast(conv_id % size(ls) AS int)), 20) END AS quote",
+        "CASE WHEN conv_id % 17 <> 0 THEN get(ls, cast(conv_id % size(ls) AS int)) END AS quote",
     )
 
 

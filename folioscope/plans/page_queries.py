@@ -65,10 +65,16 @@ def crawl_limit(spark, d):
     return V.pages(spark, d).select("page_id", "title").orderBy("page_id").limit(20)
 
 
-@query("version_history", "SELECT page_id, v AS version, v AS place, CASE WHEN v > 1 THEN -7 END AS delta FROM (SELECT page_id, unnest(range(1, 2 + page_id % 5)) AS v FROM pages)")
+@query(
+    "version_history",
+    """WITH v AS (SELECT page_id, length(html) AS n, unnest(range(1, 3 + page_id % 7)) AS k FROM pages),
+    x AS (SELECT page_id, k * 3 AS version, n + (k * k * 7 + page_id) % 31 AS len FROM v)
+    SELECT page_id, version, row_number() OVER w AS place, len - lag(len) OVER w AS delta FROM x WINDOW w AS (PARTITION BY page_id ORDER BY version)""",
+)
 def version_history(spark, d):
-    v = V.pages(spark, d).select("page_id", F.explode(F.expr("sequence(1, cast(1 + page_id % 5 AS int))")).alias("version"), F.length("html").alias("n"))
-    return long(K.version_history(v.withColumn("length", F.col("n") - 7 * F.col("version"))), "version", "place", "delta")
+    """Versions with gaps between, whose lengths go up and down."""
+    v = V.pages(spark, d).select("page_id", F.length("html").alias("n"), F.explode(F.expr("sequence(1, cast(2 + page_id % 7 AS int))")).alias("k"))
+    return long(K.version_history(v.select("page_id", (F.col("k") * 3).alias("version"), F.expr("n + (k * k * 7 + page_id) % 31").alias("length"))), "version", "place", "delta")
 
 
 @query("tags_and_labels", f"WITH {PAGES}, l AS (SELECT DISTINCT page_id, trim(unnest(string_split(labels, ','))) AS label FROM meta) SELECT label, count(*) AS n FROM l WHERE label <> '' GROUP BY label")
@@ -145,15 +151,25 @@ def norm_path(spark, d):
     return V.documents(spark, d).select("doc_id", X.norm_path(p).alias("path"))
 
 
-@query("page_url", "SELECT page_id, CAST(page_id AS varchar) AS id, CASE WHEN page_id % 3 <> 0 THEN concat('S', page_id % 4) END AS space FROM pages")
+#: Addresses of pages: an id alone, with and without a title, without an id, with a name for one, of other places.
+PAGE_URLS = """CASE page_id % 6 WHEN 0 THEN cast(page_id AS string) WHEN 1 THEN concat('https://x.example.com/wiki/spaces/S', page_id % 4, '/pages/', page_id, '/T') WHEN 2 THEN concat('https://x.example.com/wiki/spaces/S', page_id % 4, '/overview')
+  WHEN 3 THEN concat('/wiki/spaces/S', page_id % 4, '/pages/', page_id) WHEN 4 THEN concat('https://x.example.com/wiki/spaces/S/pages/p', page_id) ELSE url END"""
+
+
+@query("page_url", "SELECT page_id, CASE WHEN page_id % 6 IN (0, 1, 3) THEN CAST(page_id AS varchar) END AS id, CASE WHEN page_id % 6 IN (1, 3) THEN concat('S', page_id % 4) END AS space FROM pages")
 def page_url(spark, d):
-    u = F.expr("CASE WHEN page_id % 3 = 0 THEN cast(page_id AS string) ELSE concat('https://x.example.com/wiki/spaces/S', page_id % 4, '/pages/', page_id, '/T') END")
+    u = F.expr(PAGE_URLS)
     return V.pages(spark, d).select("page_id", X.page_id_of_url(u).alias("id"), X.space_of_url(u).alias("space"))
 
 
-@query("unwrap_redirect", "SELECT page_id, url FROM pages")
+@query("unwrap_redirect", "SELECT page_id, CASE page_id % 5 WHEN 3 THEN concat('https://www.google.com/url?sa=t&u=', url) WHEN 4 THEN concat('https://other.example.com/url?q=', url) ELSE url END AS url FROM pages")
 def unwrap_redirect(spark, d):
-    u = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://www.google.com/url?sa=t&q="), F.url_encode("url"), F.lit("&ust=1"))).otherwise(F.col("url"))
+    """Redirects with the address first or later, without one, of another host, and plain addresses."""
+    i, encoded = F.col("page_id") % 5, F.url_encode("url")
+    u = (
+        F.when(i == 0, F.concat(F.lit("https://www.google.com/url?q="), encoded, F.lit("&sa=D#x"))).when(i == 1, F.concat(F.lit("http://www.google.com/url?sa=t&q="), encoded, F.lit("&ust=1")))
+        .when(i == 3, F.concat(F.lit("https://www.google.com/url?sa=t&u="), "url")).when(i == 4, F.concat(F.lit("https://other.example.com/url?q="), "url")).otherwise(F.col("url"))
+    )
     return V.pages(spark, d).select("page_id", X.unwrap_redirect(u).alias("url"))
 
 
@@ -162,10 +178,20 @@ def norm_page_name(spark, d):
     return V.pages(spark, d).select("page_id", X.norm_page_name(F.col("title")).alias("name"))
 
 
-@query("snake_key", "SELECT DISTINCT event_type, concat('my_', lower(event_type), '_http_key') AS key FROM events")
+@query(
+    "snake_key",
+    """SELECT DISTINCT event_type, k, CASE k WHEN 0 THEN concat('my_', event_type, '_http_key') WHEN 1 THEN concat('html_parser_', event_type) WHEN 2 THEN concat(event_type, '_2_nd_key') WHEN 3 THEN upper(event_type)[:0] || lower(event_type) ELSE concat('a_', event_type, '_b') END AS key
+    FROM (SELECT event_type, event_id % 5 AS k FROM events)""",
+)
 def snake_key(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").select("event_type").distinct()
-    return e.select("event_type", X.snake_key(F.concat(F.lit("my-"), F.initcap("event_type"), F.lit("HTTPKey"))).alias("key"))
+    """Kebab, Pascal and camel case, abbreviations, digits and capitals alone."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_type", (F.col("event_id") % 5).alias("k")).distinct()
+    k, name, title = F.col("k"), F.col("event_type"), F.initcap("event_type")
+    key = (
+        F.when(k == 0, F.concat(F.lit("my-"), title, F.lit("HTTPKey"))).when(k == 1, F.concat(F.lit("HTMLParser"), title)).when(k == 2, F.concat(name, F.lit("_2_ndKey")))
+        .when(k == 3, F.upper(name)).otherwise(F.concat(F.lit("a-"), name, F.lit("-B")))
+    )
+    return e.select("event_type", "k", X.snake_key(key).alias("key"))
 
 
 @query("edit_distance", "SELECT p_partkey, levenshtein(p_name, p_type) AS d FROM part")
@@ -329,9 +355,13 @@ def heading_rank(spark, d):
     return long(h.select(X.heading_rank(F.concat(F.lit("HEADING_"), F.col("level").cast("string"))).alias("n")).groupBy("n").agg(F.count("*").alias("c")), "n")
 
 
-@query("editor_type", "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'v2' WHEN page_id % 4 = 1 THEN 'v2' WHEN page_id % 4 = 2 THEN 'v1' ELSE 'unknown' END AS editor FROM pages")
+@query("editor_type", "SELECT page_id, CASE WHEN page_id % 7 IN (0, 1, 4) THEN 'v2' WHEN page_id % 7 IN (2, 5) THEN 'v1' ELSE 'unknown' END AS editor FROM pages")
 def editor_type(spark, d):
-    body = F.expr("""CASE page_id % 4 WHEN 0 THEN '{"editor":"v2","body":{"storage":"x"}}' WHEN 1 THEN '{"body":{"atlas_doc_format":"x","storage":"y"}}' WHEN 2 THEN '{"body":{"storage":"x"}}' ELSE '{}' END""")
+    """The page's property before its bodies, bodies of both kinds, a property that is none, no JSON."""
+    body = F.expr(
+        """CASE page_id % 7 WHEN 0 THEN '{"editor":"v2","body":{"storage":"x"}}' WHEN 1 THEN '{"body":{"atlas_doc_format":"x","storage":"y"}}' WHEN 2 THEN '{"body":{"storage":"x"}}' WHEN 3 THEN '{}'
+          WHEN 4 THEN '{"editor":"v9","body":{"atlas_doc_format":{"a":1}}}' WHEN 5 THEN '{"editor":"v1","body":{"atlas_doc_format":"x"}}' ELSE url END"""
+    )
     return V.pages(spark, d).select("page_id", X.editor_type(body).alias("editor"))
 
 

@@ -518,7 +518,10 @@ def diff_align(spark, d):
 
 @query("diff_summary")
 def diff_summary(spark, d):
-    return D.diff_summary(ops(spark, d))
+    """Every document: those that are equal on both sides are told by a hash, and have their lines as unchanged."""
+    found = kept(D.diff_summary(ops(spark, d)))
+    same = V.base(spark, d).select("doc_id", F.size(F.split("content", "\n", -1)).cast("long").alias("n_unchanged")).join(found.select("doc_id"), "doc_id", "left_anti")
+    return found.unionByName(same.select("doc_id", *[F.lit(0).cast("long").alias(f"n_{k}") for k in ("add", "remove", "change")], "n_unchanged"))
 
 
 @query("churn_pairs")
