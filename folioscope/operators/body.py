@@ -66,9 +66,7 @@ def spans_of(elements: Column, fonts: list[str]) -> Column:
         style = "$.textRun.textStyle"
         link, lost = parsed_link(e)
         font = F.lower(F.coalesce(text_at(e, f"{style}.weightedFontFamily.fontFamily"), F.lit("")))
-        mono = F.lit(False)
-        for f in fonts:
-            mono = mono | font.contains(f)
+        mono = font.rlike("|".join(fonts))
         run = has(e, "$.textRun")
         return F.struct(
             F.when(run, F.coalesce(text_at(e, "$.textRun.content"), F.lit(""))).otherwise(person_name(e)).alias("text"), (run & flag(e, f"{style}.bold")).alias("bold"), (run & flag(e, f"{style}.italic")).alias("italic"),
@@ -102,15 +100,17 @@ def styled(spans: Column) -> Column:
     return F.exists(spans, lambda s: s["bold"] | s["italic"] | s["link"].isNotNull() | s["monospace"])
 
 
-def cells_of(table: Column) -> Column:
-    """Rows of cells (text, spans) of a table; an unstyled cell has no spans."""
+def raw_cells(table: Column) -> Column:
+    """Rows of cells of a table, each its spans as they are."""
+    spans = lambda c: spans_of(F.flatten(F.transform(variants(c, "$.content"), lambda p: variants(p, "$.paragraph.elements"))), ["courier", "mono"])
+    return F.transform(variants(table, "$.tableRows"), lambda r: F.transform(variants(r, "$.tableCells"), spans))
 
-    def cell(c: Column) -> Column:
-        elements = F.flatten(F.transform(variants(c, "$.content"), lambda p: variants(p, "$.paragraph.elements")))
-        spans = cut_spans(spans_of(elements, ["courier", "mono"]), True, r"\s")
-        return F.struct(strip(text_of(spans)).alias("text"), F.when(styled(spans), spans).otherwise(F.expr(f"cast(array() AS {SPANS})")).alias("spans"))
 
-    return F.transform(variants(table, "$.tableRows"), lambda r: F.transform(variants(r, "$.tableCells"), cell))
+def cells_of(raw: Column) -> Column:
+    """Rows of cells (text, spans) from raw_cells; an unstyled cell has no spans."""
+    none = F.expr(f"cast(array() AS {SPANS})")
+    cell = lambda spans: F.struct(strip(text_of(spans)).alias("text"), F.when(styled(spans), cut_spans(spans, True, r"\s")).otherwise(none).alias("spans"))
+    return F.transform(raw, lambda r: F.transform(r, cell))
 
 
 def render_prefix(elements: Column) -> Column:
@@ -143,7 +143,9 @@ def docs_json_blocks(docs: DataFrame) -> DataFrame:
     more = F.exists(elements, lambda x: ~has(x, "$.inlineObjectElement") & (~has(x, "$.textRun") | F.coalesce(text_at(x, "$.textRun.content"), F.lit("")).rlike(r"[^\n]")))
     kind = F.when(has(e, "$.paragraph") & (F.size(image) == 1) & ~more, "image").when(has(e, "$.paragraph"), "paragraph").otherwise("table")
     rows = rows.withColumn("kind", kind).withColumn("object_id", F.when(F.col("kind") == "image", text_at(F.get(image, F.lit(0)), "$.inlineObjectElement.inlineObjectId")))
-    rows = rows.withColumn("spans", F.when(F.col("kind") == "paragraph", cut_spans(spans_of(elements, MONOSPACE), False, r"\n")))
+    # each step is a column of its own, so that it is worked out once
+    rows = rows.withColumns({"spans": F.when(F.col("kind") == "paragraph", spans_of(elements, MONOSPACE)), "cells": F.when(F.col("kind") == "table", raw_cells(F.try_variant_get(e, "$.table", "variant")))})
+    rows = rows.withColumns({"spans": cut_spans(F.col("spans"), False, r"\n"), "cells": cells_of(F.col("cells"))})
 
     p = "$.paragraph.paragraphStyle"
     number = lambda v, path: F.try_variant_get(v, path, "double")
@@ -165,7 +167,7 @@ def docs_json_blocks(docs: DataFrame) -> DataFrame:
         "doc_id", "path", "tab_id", "pos", "kind", paragraph(F.coalesce(text_at(e, f"{p}.namedStyleType"), F.lit("NORMAL_TEXT"))).alias("style"), paragraph(text_of(F.col("spans"))).alias("text"),
         paragraph(has(e, "$.paragraph.bullet")).alias("is_list_item"), paragraph(F.when(has(e, "$.paragraph.bullet"), level).otherwise(0)).alias("nesting_level"), paragraph(box).alias("native_checkbox"),
         paragraph(text_at(e, f"{p}.headingId")).alias("heading_id"), paragraph(depth).alias("quote_depth"), paragraph(render_prefix(elements)).alias("render_prefix"), paragraph(F.col("next").isNotNull() & F.coalesce(boundary, F.lit(False))).alias("precedes_boundary"),
-        "spans", F.when(F.col("kind") == "table", cells_of(F.try_variant_get(e, "$.table", "variant"))).alias("cells"), "object_id", is_image(source).alias("src"), is_image(alt).alias("alt"),
+        "spans", "cells", "object_id", is_image(source).alias("src"), is_image(alt).alias("alt"),
         is_image(number(picture, f"{inner}.size.width.magnitude")).alias("width"), is_image(number(picture, f"{inner}.size.height.magnitude")).alias("height"),
     )
     none = tabs.where("v IS NULL").select("doc_id", "path", "tab_id", F.lit(-1).alias("pos"), F.lit("no_body").alias("kind"))

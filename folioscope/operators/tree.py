@@ -202,13 +202,14 @@ def compare_structure(source: DataFrame, converted: DataFrame) -> DataFrame:
 def compare_export(source: DataFrame, nodes: DataFrame) -> DataFrame:
     """doc_id, type, location, expected, actual, severity: headings, lists, code blocks and links of a source against its tree.
 
-    source: doc_id, headings, lists, code_blocks, links. Only a difference in headings is of high severity.
+    source: doc_id, headings, lists, code_blocks, links; a document without a tree has nothing there. Only a difference in headings is
+    of high severity.
     """
     links = F.size(F.filter("mark_list", lambda m: text_at(m, "$.type") == "link"))
     found = nodes.groupBy("doc_id").agg(F.count_if(F.col("type") == "heading").alias("h"), F.count_if(F.col("type").isin("bulletList", "orderedList")).alias("l"), F.count_if(F.col("type") == "codeBlock").alias("c"), F.sum(links).alias("k"))
-    row = lambda kind, name, a, b, s: F.struct(F.lit(kind).alias("type"), F.lit(name).alias("location"), F.col(a).cast("long").alias("expected"), F.col(b).cast("long").alias("actual"), F.lit(s).alias("severity"))
+    row = lambda kind, name, a, b, s: F.struct(F.lit(kind).alias("type"), F.lit(name).alias("location"), F.col(a).cast("long").alias("expected"), F.coalesce(b, F.lit(0)).cast("long").alias("actual"), F.lit(s).alias("severity"))
     rows = F.array(row("structure_mismatch", "headings", "headings", "h", "high"), row("structure_mismatch", "lists", "lists", "l", "medium"), row("structure_mismatch", "code_blocks", "code_blocks", "c", "medium"), row("link_mismatch", "links", "links", "k", "medium"))
-    return source.join(found, "doc_id").select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*").where("expected <> actual")
+    return source.join(found, "doc_id", "left").select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*").where("expected <> actual")
 
 
 def flatten_tabs(tabs: DataFrame) -> DataFrame:
