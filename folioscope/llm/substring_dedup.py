@@ -18,6 +18,7 @@ So hashes only propose; each removal was seen on words.
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import bytes_of, checkpointed, tidy
+from folioscope.llm.common import bytes_of, checkpointed, discard, tidy
 from folioscope.llm.word_stream import Hashed, joined
 
 WIDTH = 13
@@ -39,6 +40,8 @@ COPY_BYTES, HOT = 4 << 20, 10_000
 #: Bits of the sketch of windows that are looked for by their words.
 SKETCH = 1 << 22
 _LOW = np.uint64((1 << 48) - 1)
+#: Low bits that a key loses on its way to its documents: there it is told from the other keys of one document only.
+SHORT = np.uint64(12)
 
 
 @dataclass(frozen=True)
@@ -51,8 +54,9 @@ class Graph:
 
     @property
     def homes(self) -> int:
-        """Groups in which documents meet what was found of their edges; an odd number, so that ids in steps spread."""
-        return (1 << self.bits) + 1
+        """Groups in which documents meet what was found of their edges; an odd number, so that ids in steps spread. Of many buckets
+        each has a row for each group, so groups become more slowly: 129 for 128 buckets, 1,025 for 4,096."""
+        return (1 << (3 * self.bits + 7) // 4) + 1
 
     def keys(self, w: np.ndarray) -> np.ndarray:
         """Edges of all windows of hashed words; the bucket stands in the bits from 48 on."""
@@ -74,16 +78,80 @@ def groups_of(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]]) if len(sorted_values) else np.zeros(0, np.int64)
 
 
+def packed(values: np.ndarray, width: int) -> bytes:
+    """The lowest `width` bits of each value, without gaps."""
+    k = -(-width // 8)
+    return np.packbits(np.unpackbits(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - k :], axis=1)[:, 8 * k - width :]).tobytes()
+
+
+def unpacked(data: bytes, n: int, width: int) -> np.ndarray:
+    k = -(-width // 8)
+    bits = np.zeros((n, 8 * k), np.uint8)
+    bits[:, 8 * k - width :] = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width).reshape(n, width)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, 8 - k :] = np.packbits(bits, axis=1)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+_HEAD = struct.Struct("<IBQI")
+
+
+def ascending(values: np.ndarray) -> bytes:
+    """Integers in ascending order: 2 bits each and the logarithm of their mean step (Elias-Fano code)."""
+    values = values.view(np.uint64)
+    v, n = values - values[0], len(values)
+    low = max(0, (int(v[-1]) // n).bit_length() - 1)
+    high = (v >> np.uint64(low)).astype(np.int64)
+    marks = np.zeros(n + int(high[-1]), np.uint8)
+    marks[high + np.arange(n)] = 1
+    tail = np.packbits(marks).tobytes()
+    return _HEAD.pack(n, low, int(values[0]), len(tail)) + packed(v, low) + tail
+
+
+def ascended(data: bytes) -> tuple[np.ndarray, int]:
+    """The integers of ascending(), as unsigned ones, and where they end in data."""
+    n, low, first, size = _HEAD.unpack_from(data)
+    at = _HEAD.size + (n * low + 7) // 8
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, size, at))) - np.arange(n)
+    return (high.astype(np.uint64) << np.uint64(low) | unpacked(data[_HEAD.size : at], n, low)) + np.uint64(first), at + size
+
+
+def places(n: int) -> int:
+    """Bits of a number below n."""
+    return (n - 1).bit_length()
+
+
+def found_bytes(docs: np.ndarray, keys: np.ndarray, sources: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """docs in ascending order; keys without their SHORT low bits, as differences to the least; sources as distinct ones and places in them."""
+    keys = keys >> SHORT
+    least = keys.min()
+    keys -= least
+    width = int(keys.max()).bit_length()
+    used, at = np.unique(sources, return_inverse=True)
+    return ascending(docs), _HEAD.pack(len(keys), width, int(least), 0) + packed(keys, width), ascending(used) + packed(at, places(len(used)))
+
+
+def found_arrays(docs: bytes, keys: bytes, sources: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The arrays of found_bytes(); keys stay short."""
+    n, width, least, _ = _HEAD.unpack_from(keys)
+    used, end = ascended(sources)
+    at = unpacked(sources[end:], n, places(len(used))).astype(np.int64)
+    return ascended(docs)[0].view(np.int64), unpacked(keys[_HEAD.size :], n, width) + np.uint64(least), used.view(np.int64)[at]
+
+
 def to_homes(docs: np.ndarray, keys: np.ndarray, sources: np.ndarray, homes: int) -> list[tuple]:
-    """home, and as bytes docs, keys and sources of that home, by document."""
+    """home, and as bytes docs, keys and sources of that home, by document; and a row for each document that is a source (of itself)."""
+    marks = np.unique(sources)  # its text will be asked for
+    docs, keys, sources = np.concatenate([docs, marks]), np.concatenate([keys, np.full(len(marks), keys[0])]), np.concatenate([sources, marks])
     home = np.mod(docs, homes)
     order = np.lexsort((docs, home))
     docs, keys, sources, home = docs[order], keys[order], sources[order], home[order]
     edges = [*groups_of(home).tolist(), len(home)]
-    return [(int(home[a]), docs[a:b].tobytes(), keys[a:b].tobytes(), sources[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
+    return [(int(home[a]), *found_bytes(docs[a:b], keys[a:b], sources[a:b])) for a, b in zip(edges, edges[1:])]
 
 
-#: bucket; home (null: these are edges of the bucket), docs, keys, sources. Of edges: keys of 6 bytes, the places of their documents in docs.
+#: bucket; home (null: these are edges of the bucket), docs, keys, sources. Of edges: distinct documents, keys without their bucket, and the
+#: places of the keys' documents in docs. An edge takes about 6 bytes, 7 where buckets are so many that a slice has few edges for each.
 _ROWS = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("docs", pa.binary()), ("keys", pa.binary()), ("sources", pa.binary())])
 ROWS = "bucket int, home int, docs binary, keys binary, sources binary"
 
@@ -110,17 +178,13 @@ def slice_rows(ids: list[int], words: list[np.ndarray], graph: Graph) -> list[tu
     again = doc > least
     rows: list[tuple] = []
     if again.any():
-        d, k, s = doc_ids[doc[again]], keys[again], doc_ids[least[again]]
-        marks = np.unique(s)  # a document that is its own source: its text will be asked for
-        found = to_homes(np.concatenate([d, marks]), np.concatenate([k, np.zeros(len(marks), np.uint64)]), np.concatenate([s, marks]), graph.homes)
-        rows += [(h % (1 << graph.bits), h, *x) for h, *x in found]
+        rows += [(h % (1 << graph.bits), h, *x) for h, *x in to_homes(doc_ids[doc[again]], keys[again], doc_ids[least[again]], graph.homes)]
     keys, doc = keys[first], doc[first]
     bucket = (keys >> np.uint64(48)).astype(np.int64)
     edges = [*groups_of(bucket).tolist(), len(bucket)]
     for a, b in zip(edges, edges[1:]):
         used, at = np.unique(doc[a:b], return_inverse=True)
-        low = (keys[a:b] & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        rows.append((int(bucket[a]), None, doc_ids[used].tobytes(), low.tobytes(), at.astype("<u2").tobytes()))
+        rows.append((int(bucket[a]), None, ascending(doc_ids[used]), ascending(keys[a:b] & _LOW), packed(at, places(len(used)))))
     return rows
 
 
@@ -158,11 +222,9 @@ def sources_of(rows: DataFrame, graph: Graph) -> DataFrame:
             if home is not None:
                 out.append((home, d, k, s))
                 continue
-            at = np.frombuffer(s, "<u2")
-            wide = np.zeros((len(at), 8), np.uint8)
-            wide[:, :6] = np.frombuffer(k, np.uint8).reshape(-1, 6)
-            docs.append(np.frombuffer(d, np.int64)[at])
-            keys.append(wide.view("<u8").ravel())
+            used, low = ascended(d)[0].view(np.int64), ascended(k)[0]
+            docs.append(used[unpacked(s, len(low), places(len(used))).astype(np.int64)])
+            keys.append(low)
         if docs:
             top = np.uint64(table.column("bucket")[0].as_py()) << np.uint64(48)
             doc, key = np.concatenate(docs), np.concatenate(keys)
@@ -172,8 +234,8 @@ def sources_of(rows: DataFrame, graph: Graph) -> DataFrame:
             first = groups_of(key)
             least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.r_[first, len(key)]))
             more = doc > least
-            marks = np.unique(least[more])
-            out += to_homes(np.concatenate([doc[more], marks]), np.concatenate([key[more], np.zeros(len(marks), np.uint64)]), np.concatenate([least[more], marks]), graph.homes)
+            if more.any():
+                out += to_homes(doc[more], key[more], least[more], graph.homes)
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 4, schema)], schema=schema)
 
     return rows.groupBy("bucket").applyInArrow(bucket, "home int, docs binary, keys binary, sources binary")
@@ -208,7 +270,7 @@ def spans(docs: DataFrame, found: DataFrame, graph: Graph) -> DataFrame:
             return
         order = np.argsort(keys, kind="stable")
         keys, sources = keys[order], sources[order]
-        mine = graph.keys(hashed.hashes(data))
+        mine = graph.keys(hashed.hashes(data)) >> SHORT
         at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
         hit = keys[at] == mine
         source = sources[at]
@@ -234,7 +296,9 @@ def spans(docs: DataFrame, found: DataFrame, graph: Graph) -> DataFrame:
                     parts.append((a, b, c))
                     continue
                 if not closed:
-                    docs, keys, sources = (np.concatenate([np.frombuffer(x[k], t) for x in parts] or [np.zeros(0, t)]) for k, t in enumerate((np.int64, np.uint64, np.int64)))
+                    arrays = [found_arrays(*x) for x in parts]
+                    docs, keys, sources = (np.concatenate([x[k] for x in arrays] or [np.zeros(0, t)]) for k, t in enumerate((np.int64, np.uint64, np.int64)))
+                    del arrays
                     order = np.argsort(docs, kind="stable")
                     docs, keys, sources, parts, closed = docs[order], keys[order], sources[order], [], True
                 lo, hi = np.searchsorted(docs, doc), np.searchsorted(docs, doc, "right")
@@ -355,7 +419,8 @@ def _signed(h: int) -> int:
 
 def removed(docs: DataFrame, ranges: DataFrame, width: int) -> DataFrame:
     """doc_id, n_words, n_removed, kept, of every row of docs."""
-    cut = ranges.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("cut"))
+    # ranges grow with the documents and are broadcast at no size
+    cut = ranges.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("cut")).hint("merge")
     rows = docs.select("doc_id", text_hash().alias("text_hash"), "text").join(cut, ["doc_id", "text_hash"], "left").select("doc_id", "text", F.col("cut.start").alias("start"), F.col("cut.n").alias("n"))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
@@ -386,7 +451,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, strength: int = 48) -> D
     stay; so do those of rows with one doc_id, none of which is smaller, and those of rows without doc_id, which are nobody's
     source. A null or empty text has no words; a text of fewer than `width` words keeps them all. An empty table gives an
     empty result. Other columns are not read. Texts are read whole; very long ones are hashed in slices. The result does not
-    depend on `strength` (see Graph).
+    depend on `strength` (see Graph). The ranges to remove are found in the call and kept; texts are cut as the result is read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with tidy(docs.sparkSession):
@@ -396,9 +461,12 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, strength: int = 48) -> D
         graph = Graph(width, bits, strength)
         found = checkpointed(sources_of(edges(docs, graph), graph))
         paths = checkpointed(spans(docs, found, graph))
+        discard(found)
         ranges = checkpointed(verified(spread(paths), graph))
+        discard(paths)
         doubtful = ranges.where("words IS NOT NULL")
         sure = ranges.where("words IS NULL")
         if not doubtful.isEmpty():
             sure = sure.unionByName(by_words(docs, doubtful, width))
-        return checkpointed(removed(docs, sure, width), lasting=True)
+        sure = checkpointed(sure, lasting=True)
+    return removed(docs, sure, width)

@@ -1,7 +1,9 @@
 import hashlib
+import pathlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from folioscope.llm import queries
@@ -76,3 +78,64 @@ def test_sketch_is_the_sql_function(spark):
 
     got = spark.sql("SELECT xxhash64(cast('some words' AS binary)) AS h").first().h
     assert got == S._signed(xxhash.xxh64_intdigest(b"some words", 42))
+
+
+@pytest.mark.parametrize("bits", [7, 10])
+def test_an_edge_takes_few_bytes_however_many_buckets(bits):
+    rnd = np.random.default_rng(1)
+    ids, words = [3 * i for i in range(600)], [rnd.integers(0, 2**63, 1000, dtype=np.uint64) for _ in range(600)]
+    rows = S.slice_rows(ids, words, S.Graph(bits=bits))
+    assert all(home is None for _, home, *_ in rows)
+    assert sum(len(x) for _, _, *xs in rows for x in xs) < 7 * 600 * 988
+    keys = [(b << 48) + int(k) for b, _, _, k, _ in rows for k in S.ascended(k)[0]]
+    assert sorted(keys) == sorted(np.unique(np.concatenate([S.Graph(bits=bits).keys(w) for w in words])).tolist())
+
+
+@pytest.mark.parametrize("values", [[0], [-(2**63), 2**63 - 1], [-3, -3, 0, 9], list(range(70)), [2**62] * 9])
+def test_packed_integers_come_back(values):
+    a = np.array(values, np.int64)
+    data = S.ascending(a)
+    got, end = S.ascended(data + b"more")
+    assert end == len(data) and got.view(np.int64).tolist() == values
+    for width in (0, 1, 13, 34, 64):
+        low = a.view(np.uint64) & np.uint64((1 << width) - 1)
+        assert S.unpacked(S.packed(low, width), len(low), width).tolist() == low.tolist()
+    keys = np.arange(len(a), dtype=np.uint64)[::-1] << S.SHORT
+    docs, short, sources = S.found_arrays(*S.found_bytes(a, keys, a[::-1]))
+    assert docs.tolist() == values and short.tolist() == (keys >> S.SHORT).tolist() and sources.tolist() == values[::-1]
+
+
+def test_no_text_is_kept_and_one_table_at_a_time(spark, monkeypatch):
+    made = []
+
+    def checkpointed(df, lasting=False):
+        out = original(df, lasting)
+        here = [path for _, path, kept in made if not kept and pathlib.Path(path.removeprefix("file:")).exists()]
+        assert len(here) <= 1, "a table that nothing will read again is still there"
+        made.append((out.columns, out.table_path, lasting))
+        return out
+
+    original = S.checkpointed
+    monkeypatch.setattr(S, "checkpointed", checkpointed)
+    out = S.remove_repeats(spark.createDataFrame(texts(6), "doc_id long, text string"))
+    assert out.count() == len(texts(6))
+    assert [columns for columns, _, kept in made if kept] == [["doc_id", "text_hash", "start", "n", "words"]]
+
+
+def test_ranges_are_not_broadcast_at_any_size(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        out = S.remove_repeats(spark.createDataFrame(texts(7), "doc_id long, text string"))
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_many_buckets(spark, tmp_path, monkeypatch):
+    """Rows of a bucket and a group stay long where buckets are many."""
+    assert (S.Graph(bits=7).homes, S.Graph(bits=12).homes) == (129, 1025)
+    monkeypatch.setattr(S, "LEAST_BITS", 10)
+    check(spark, texts(8), tmp_path)
