@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from folioscope.operators import comments as C
 from folioscope.operators import diff as D
 from folioscope.plans import fixtures as V
-from folioscope.sources.tables import kept
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -49,7 +48,7 @@ def numbered(spark, d, rule: str | None = None):
 
 
 def ops(spark, d):
-    a, b = kept(numbered(spark, d)), kept(numbered(spark, d, V.OURS))
+    a, b = numbered(spark, d), numbered(spark, d, V.OURS)
     return D.opcodes(a, b, D.diff_align(a, b))
 
 
@@ -62,7 +61,7 @@ ALIGNED = f"""WITH {ACTS},
 
 @query("diff_align_numbered", f"{ALIGNED} SELECT doc_id, l, r FROM aligned")
 def diff_align_numbered(spark, d):
-    m = D.diff_align(kept(numbered(spark, d)), kept(numbered(spark, d, V.OURS)))
+    m = D.diff_align(numbered(spark, d), numbered(spark, d, V.OURS))
     return m.select("doc_id", F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"))
 
 
@@ -113,7 +112,7 @@ def diff_summary_numbered(spark, d):
  FROM bodies GROUP BY doc_id""",
 )
 def merge3_numbered(spark, d):
-    return D.merge3(*(kept(numbered(spark, d, rule)) for rule in (None, V.OURS, V.THEIRS))).withColumn("conflict_count", F.col("conflict_count").cast("long"))
+    return D.merge3(*(numbered(spark, d, rule) for rule in (None, V.OURS, V.THEIRS))).withColumn("conflict_count", F.col("conflict_count").cast("long"))
 
 
 #: Lines that were removed, changed or kept; quote marks taken off or not; native check boxes; comments that quote one word.
