@@ -584,14 +584,14 @@ def merge3(spark, d):
     whole = lambda x, n: x.join(taken.where(F.col("take") == n), "doc_id").select("doc_id", F.col(n).alias("merged"), F.lit(False).alias("has_conflicts"), F.lit(0).cast("long").alias("conflict_count"))
     both = taken.where("take IS NULL").select("doc_id")
     split = lambda x, n: x.join(both, "doc_id").select("doc_id", F.posexplode(F.split(n, "\n", -1)).alias("j", "line"))
-    merged = D.merge3(*(kept(split(x, n)) for x, n in ((b, "b"), (o, "o"), (t, "t"))))
+    merged = D.merge3(*(split(x, n) for x, n in ((b, "b"), (o, "o"), (t, "t"))))
     return merged.unionByName(whole(o, "o")).unionByName(whole(t, "t"))
 
 
 @query("merge3_one_side", f"WITH {OURS} SELECT b.doc_id, o.content AS merged, false AS has_conflicts, 0 AS conflict_count FROM base b JOIN ours o USING (doc_id)")
 def merge3_one_side(spark, d):
     """merge(base, ours, base) is ours, for every document."""
-    split = lambda x: kept(x.select("doc_id", F.posexplode(F.split("content", "\n", -1)).alias("j", "line")))
+    split = lambda x: x.select("doc_id", F.posexplode(F.split("content", "\n", -1)).alias("j", "line"))
     b = split(V.base(spark, d))
     return long(D.merge3(b, split(V.ours(spark, d)), b), "conflict_count")
 
