@@ -93,7 +93,7 @@ def boxes(spark, d):
     x = line_rows(spark, d).select("doc_id", F.col("i").alias("j"), F.concat(F.lit("n"), F.col("i").cast("string"), F.lit(" "), "line").alias("t"))
     left = x.select("doc_id", "j", F.col("t").alias("line"), (F.col("j") % 4 == 0).alias("native"))
     right = x.select("doc_id", "j", F.when(F.col("j") % 4 <= 1, F.concat(F.lit("- [ ] "), "t")).when(F.col("j") % 4 == 2, F.concat(F.lit("## "), "t")).otherwise(F.col("t")).alias("line"))
-    return kept(left), kept(right)
+    return left, right
 
 
 @query(
