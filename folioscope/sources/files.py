@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +24,21 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
 
 
+#: Names of files that the text reader decompresses.
+COMPRESSED = r"(?i)\.(gz|bz2|lz4|snappy|zst|zstd|deflate)$"
+
+
 def scan_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """path and content of text files, one row a file."""
-    return spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    """path and content of text files, one row a file.
+
+    Compressed files go through the text reader, which costs some milliseconds a file; all others are read as they are. Small
+    files would make a task for every few of them, so tasks are put together.
+    """
+    name, path = F.col("_metadata.file_name"), F.col("_metadata.file_path").alias("path")
+    whole = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).where(name.rlike(COMPRESSED)).select(path, F.col("value").alias("content"))
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(~name.rlike(COMPRESSED)).select(path, F.col("content").cast("string").alias("content"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return plain.coalesce(tasks).unionByName(whole.coalesce(tasks))
 
 
 def folder_of(path: Column, top: str) -> Column:
@@ -29,10 +46,48 @@ def folder_of(path: Column, top: str) -> Column:
     return F.regexp_extract(path, f"/{re.escape(top.rstrip('/').rsplit('/', 1)[-1])}/(.*)/[^/]*$", 1)
 
 
+#: What Hive's folder names escape, and the folder of nulls.
+ESCAPED, NO_VALUE = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]"""), "__HIVE_DEFAULT_PARTITION__"
+
+
 def write_each(rows: DataFrame, folder: str, content: str, by: list[str]) -> None:
-    """Writes the content of each row (text or bytes, and a line end) to a file of its own, in folders by column."""
-    rows.select(F.col(content).cast("string").alias("value"), *by).write.option("maxRecordsPerFile", 1).partitionBy(*by).text(folder)
-    removed_at_exit(rows.sparkSession, folder)
+    """Writes the content of each row (text or bytes, and a line end) to a file of its own, in folders by column.
+
+    In a local or mounted file system, where Spark starts a process for the rights of every single file, tasks write files
+    themselves. A file's name is the task's number and the file's in the task and folder, and it gets it once it is complete, so that a
+    task that runs again leaves the same files.
+    """
+    spark = rows.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    each = rows.select(F.col(content).cast("string").alias("value"), *by)
+    if fs.getScheme() != "file":
+        each.write.option("maxRecordsPerFile", 1).partitionBy(*by).text(folder)
+    elif fs.exists(where):
+        raise ValueError(f"{folder} is there already")
+    else:
+        fs.mkdirs(where)
+        top = where.toUri().getPath()
+        named = each.select(F.col("value").cast("binary").alias("value"), *[F.col(c).cast("string").alias(c) for c in by])
+        named.mapInArrow(lambda batches: written(batches, top), "n long").agg(F.sum("n")).collect()
+    removed_at_exit(spark, folder)
+
+
+def written(batches: Iterator[pa.RecordBatch], top: str) -> Iterator[pa.RecordBatch]:
+    """Writes the first column of each row to a file of its own below top, in folders by the other columns; the number of files."""
+    part, files = TaskContext.get().partitionId(), Counter()
+    for batch in batches:
+        names = batch.schema.names[1:]
+        for value, *keys in zip(*(c.to_pylist() for c in batch.columns)):
+            path = os.path.join(top, *(f"{c}={ESCAPED.sub(lambda m: f'%{ord(m[0]):02X}', k) if k else NO_VALUE}" for c, k in zip(names, keys)))
+            if path not in files:
+                os.makedirs(path, exist_ok=True)
+            name = f"part-{part:05}-{files[path]:09}.txt"
+            files[path] += 1
+            with open(f"{path}/.{name}", "wb") as f:
+                f.write((value or b"") + b"\n")
+            os.replace(f"{path}/.{name}", f"{path}/{name}")
+    yield pa.RecordBatch.from_arrays([pa.array([files.total()], pa.int64())], names=["n"])
 
 
 def scan_crawl(spark: SparkSession, folder: str) -> DataFrame:
