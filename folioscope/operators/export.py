@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.expr import strip
 from folioscope.operators.blocks import explode_cells
 from folioscope.operators.inline import quoted, with_inline_nodes
+from folioscope.sources.tables import kept
 
 LISTS = ["bullets", "ordered", "task_list"]
 #: Spaces of a level, and of a tab.
@@ -83,6 +84,7 @@ def blocks_to_nodes_json(blocks: DataFrame) -> DataFrame:
     Headings have a level, code its language, task items a state; list items nest; tables have rows of header and body cells;
     inline marks become marks of texts, images media nodes, mentions, emoji, states and dates nodes of their own.
     """
+    blocks = kept(blocks.select("doc_id", "pos", "text", "kind"))  # five branches read them
     kind, text = F.col("kind"), F.col("text")
     level = F.concat(F.lit(',"attrs":{"level":'), F.length(F.regexp_extract("text", "^(#+)", 1)).cast("string"), F.lit("}"))
     language = F.regexp_extract("text", r"^(?:`{3,}|~{3,})[ \t]*([^\s`]*)", 1)

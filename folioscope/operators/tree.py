@@ -73,22 +73,24 @@ NODE_TYPES = [
 MARK_TYPES = ["strong", "em", "code", "link", "strike", "underline", "textColor", "backgroundColor", "subsup"]
 
 
-def flatten_nodes(trees: DataFrame) -> DataFrame:
+def flatten_nodes(trees: DataFrame, only: list[str] | None = None) -> DataFrame:
     """Every node of doc_id, body (JSON): doc_id, path (places from the top, each from 0), depth, type, parent (its type),
     checked (all nodes above are containers), is_object, text, content and marks (list, other or null), mark_list, level (the node's own),
     version, attrs, n_children.
 
-    A body that is no JSON has one row, the root, that is no object.
+    A body that is no JSON has one row, the root, that is no object. With `only`, those columns beside doc_id and path: what is
+    not asked for is not worked out and not written.
     """
     body = trees.select("doc_id", F.try_parse_json("body").alias("v"))
 
     def pick(n: Column) -> dict[str, Column]:
         v = n["v"]
-        return {
+        every = {
             "depth": F.size(n["path"]), "type": text_at(v, "$.type"), "parent": F.substring_index(n["up"], " ", 1), "checked": ~F.coalesce(n["up"], F.lit("")).contains("!"), "is_object": F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)),
             "text": text_at(v, "$.text"), "content": shape_at(v, "$.content"), "marks": shape_at(v, "$.marks"), "mark_list": variants(v, "$.marks"), "level": text_at(v, "$.level"), "version": text_at(v, "$.version"), "attrs": F.try_variant_get(v, "$.attrs", "variant"),
             "n_children": F.size(variants(v, "$.content")),
         }
+        return every if only is None else {k: every[k] for k in only}
 
     # the parent's type, and a mark behind it once a node above is no container
     def inherit(n: Column) -> Column:
@@ -96,7 +98,8 @@ def flatten_nodes(trees: DataFrame) -> DataFrame:
         closed = (F.size(n["path"]) > 0) & ~kind.isin(*CONTAINERS) | F.coalesce(n["up"], F.lit("")).contains("!")
         return F.concat(kind, F.when(closed, " !").otherwise(" "))
 
-    return descend(body, ["doc_id"], lambda v: variants(v, "$.content"), pick, inherit)
+    handed = inherit if only is None or {"parent", "checked"} & set(only) else None
+    return descend(body, ["doc_id"], lambda v: variants(v, "$.content"), pick, handed)
 
 
 def node_violations(nodes: DataFrame, allowed: dict[str, list[str]] | None = None) -> DataFrame:

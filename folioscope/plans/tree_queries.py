@@ -172,7 +172,7 @@ def node_types(spark, d):
 def blocks_to_nodes_json(spark, d):
     """Lists nested by indent, exported, read back: every item's text at its depth, in document order."""
     trees = E.blocks_to_nodes_json(B.classify_blocks(B.split_blocks(B.lines(T.list_markdown(spark, d)))))
-    n = N.flatten_nodes(trees).where("type = 'text'")
+    n = N.flatten_nodes(trees, ["depth", "type", "text"]).where("type = 'text'")
     at = F.sort_array(F.collect_list(F.struct("path", "depth", "text")))
     return long(n.groupBy("doc_id").agg(at.alias("x")).select("doc_id", F.posexplode("x").alias("place", "x")).select("doc_id", "place", "x.depth", "x.text"), "place", "depth")
 
